@@ -89,7 +89,8 @@ def _node_ids(words: Words) -> tuple[np.ndarray, np.ndarray]:
     place = mix(order.astype(np.uint64))
     out = []
     for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-        total = np.concatenate(([0], np.cumsum(mix((words.hashes ^ np.uint64(salt)) + place), dtype=np.uint64))).astype(np.uint64)
+        total = np.zeros(len(words.hashes) + 1, np.uint64)
+        np.cumsum(mix((words.hashes ^ np.uint64(salt)) + place), out=total[1:])
         out.append(mix(total[words.first[1:]] - total[words.first[:-1]] + counts.astype(np.uint64)))
     return out[0], out[1]
 
