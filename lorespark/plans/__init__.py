@@ -1 +1,12 @@
-"""Package part: plans."""
+"""Registered queries: what each computes from the driver's tables, and the same in SQL."""
+
+from __future__ import annotations
+
+from lorespark.plans import progress
+
+MODULES = (progress,)
+
+
+def all_queries() -> dict[str, tuple]:
+    """name -> (function of (spark, sf_dir), SQL or None)"""
+    return {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
