@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import bpe, mixing, ngram_join, pii, quality, substring_dedup, token_store, topk, url_filter
+import corpus_pipeline
+from lorespark.llm import bpe, media, mixing, ngram_join, pii, quality, substring_dedup, token_store, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +29,10 @@ def queries() -> dict[str, Query]:
         "op5_exact_top_k": _on("embeddings", topk.op5),
         "op6_quality_classifier": op6,
         "op7_url_filter": _on("pages", url_filter.op7),
+        "op8_media": _on("documents", media.op8),
         "op9_mixing": _on("documents", mixing.op9),
         "op10_bpe": _on("documents", bpe.op10),
+        "pipeline": lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir),
     }
 
 
