@@ -38,6 +38,8 @@ TREES = 40
 DEPTH = 8
 TARGET_RECALL = 0.99999
 BLOCK = 256
+#: Candidate nodes (about 100 bytes each) are sent to the texts by broadcast up to so many, counted; else by shuffle.
+BROADCAST_NODES = 200_000
 
 
 def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> int:
@@ -221,6 +223,7 @@ def similar_documents(
     # A node's text is read from the row with its least id; _verify drops a row whose text is not the node's.
     ids = placed.withColumnRenamed("copy_id", "doc_id")
     source = documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    ids = F.broadcast(ids) if placed.count() <= BROADCAST_NODES else ids
     read = source.join(ids, source.doc_id.eqNullSafe(ids.doc_id)).drop(ids.doc_id)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high")))
     dealt = read.select("group", "block", "node", "copies", "text", F.explode(pairs).alias("pair")).select("group", "pair.low", "pair.high", "block", "node", "copies", "text")
@@ -231,7 +234,7 @@ def similar_documents(
     roots = written(roots, "roots")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     plain = nodes.select("node", "copy_id", "copies")
-    named = roots.join(plain, "node").groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    named = written(roots.join(plain, "node").groupBy("root").agg(F.min("copy_id").alias("class_id")), "named")
     classes = plain.join(roots.join(named, "root").select("node", "class_id"), "node", "left").join(links, "node", "left")
     classes = written(classes.select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "copy_id", "n_links")
