@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import make_blank, normalize_text, text_of
+from lorespark.functions.text import let, make_blank, normalize_text, text_of
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 #: Particles in the order in which they are tried.
@@ -40,15 +40,14 @@ _FIRST, _LAST = 0xAC00, 0xD7A3
 
 def strip_particle(word: Column) -> Column:
     """The word without brackets, final punctuation, and the first particle on the list that may be taken off."""
-    clean = F.regexp_replace(text_of(word), WORD_EDGES, "")
-    n = F.length(clean)
-    stems = []
-    for p in PARTICLES:
-        enough = n - len(p) >= 2
-        if p in AFTER_ONE_SYLLABLE:
-            enough = enough | ((n - len(p) == 1) & clean.rlike("^[가-힣]"))
-        stems.append(F.when(clean.endswith(p) & enough, F.substring(clean, F.lit(1), n - len(p))))
-    return F.coalesce(*stems, clean)
+    particles = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(p in AFTER_ONE_SYLLABLE).alias("one")) for p in PARTICLES))
+
+    def stem(clean: Column) -> Column:
+        rest = lambda x: F.length(clean) - F.length(x["p"])
+        fits = F.filter(particles, lambda x: clean.endswith(x["p"]) & ((rest(x) >= 2) | ((rest(x) == 1) & x["one"] & clean.rlike("^[가-힣]"))))
+        return F.when(clean.rlike("[가-힣]$"), F.coalesce(F.substring(clean, F.lit(1), rest(F.get(fits, F.lit(0)))), clean)).otherwise(clean)
+
+    return let(F.regexp_replace(text_of(word), WORD_EDGES, ""), stem)
 
 
 def keyword_candidates(sentence: Column) -> Column:

@@ -6,29 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.korean import to_jamo
-from lorespark.functions.text import normalize_text
+from lorespark.functions.text import let, normalize_text
 
 
-def bigrams(key: Column) -> Column:
-    """Bigrams of a normalised text, each with its number among equal ones, so that sets act as multisets."""
-    n = F.length(key)
-    grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("string")))
+def _pieces(key: Column, size: int) -> Column:
+    """All substrings of a length, in order. By slices of characters: a substring of UTF-8 is sought from its start."""
+
+    def cut(letters: Column) -> Column:
+        n = F.size(letters)
+        places = F.when(n >= size, F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice(letters, i, F.lit(size)), ""))
+
+    return let(F.filter(F.split(key, ""), lambda c: c != ""), cut)
+
+
+def pieces(text: Column, size: int) -> Column:
+    """All substrings of a length of the normalised text."""
+    return let(normalize_text(text), lambda k: _pieces(k, size))
+
+
+def bigrams(text: Column) -> Column:
+    """Bigrams of the normalised text, each with its number among equal ones, so that sets act as multisets.
+
+    For sentences: the numbers take time in the square of the length. Whole tables of texts go by :func:`gram_rows`.
+    """
+    number = lambda all_, g, i: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda x: x == g)).cast("string")
+    return let(pieces(text, 2), lambda all_: F.transform(all_, lambda g, i: F.concat(g, F.lit("#"), number(all_, g, i))))
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Dice coefficient of the bigram multisets; equality of the keys where neither has a bigram."""
-    ka, kb = normalize_text(a), normalize_text(b)
-    ga, gb = bigrams(ka), bigrams(kb)
-    total = F.size(ga) + F.size(gb)
-    return F.when(total == 0, (ka == kb).cast("double")).otherwise(2.0 * F.size(F.array_intersect(ga, gb)) / total)
+
+    def dice(x: Column) -> Column:
+        total = F.size(x["a"]) + F.size(x["b"])
+        return F.when(total == 0, (normalize_text(a) == normalize_text(b)).cast("double")).otherwise(2.0 * F.size(F.array_intersect(x["a"], x["b"])) / total)
+
+    return let(F.struct(bigrams(a).alias("a"), bigrams(b).alias("b")), dice)
 
 
 def containment(a: Column, b: Column) -> Column:
     """The share of a's bigrams that b has; substring where a has none."""
-    ka, kb = normalize_text(a), normalize_text(b)
-    ga = bigrams(ka)
-    return F.when(F.size(ga) == 0, F.contains(kb, ka).cast("double")).otherwise(F.size(F.array_intersect(ga, bigrams(kb))) / F.size(ga))
+
+    def share(x: Column) -> Column:
+        return F.when(F.size(x["a"]) == 0, F.contains(normalize_text(b), normalize_text(a)).cast("double")).otherwise(F.size(F.array_intersect(x["a"], x["b"])) / F.size(x["a"]))
+
+    return let(F.struct(bigrams(a).alias("a"), bigrams(b).alias("b")), share)
+
+
+def gram_rows(texts: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
+    """``id, gram, occ``: a row for each bigram of each text, numbered among equal ones."""
+    rows = texts.select(F.col(id_column).alias("id"), F.posexplode(pieces(F.col(text), 2)).alias("i", "gram"))
+    return rows.select("id", "gram", F.row_number().over(Window.partitionBy("id", "gram").orderBy("i")).alias("occ"))
 
 
 def jamo_edit_ratio(a: Column, b: Column) -> Column:
@@ -59,15 +87,21 @@ def similar_pairs(texts: DataFrame, threshold: float, id_column: str = "id", tex
 
     A pair at the threshold t has lengths in a ratio of t/(2-t) at least.
     """
-    keyed = texts.select(F.col(id_column).alias("id"), bigrams(normalize_text(F.col(text))).alias("grams"))
-    grams = keyed.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    left, right = (grams.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), "gram") for s in ("a", "b"))
+    grams = gram_rows(texts, id_column, text).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    left, right = (grams.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), "gram", "occ") for s in ("a", "b"))
     ratio = threshold / (2 - threshold)
     near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ratio)
-    common = left.join(right, "gram").where(near).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    common = left.join(right, ["gram", "occ"]).where(near).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
     return common.select("a", "b", (2.0 * F.col("common") / (F.col("n_a") + F.col("n_b"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def contained_share(items: DataFrame, contexts: DataFrame, item: str = "item", context: str = "context") -> DataFrame:
+    """``id, contained``: the share of each item's bigrams that the context with its id has; both have a column id."""
+    grams = gram_rows(items, "id", item)
+    common = grams.join(gram_rows(contexts, "id", context), ["id", "gram", "occ"]).groupBy("id").agg(F.count("*").alias("common"))
+    return grams.groupBy("id").agg(F.count("*").alias("n")).join(contexts.select("id"), "id").join(common, "id", "left").select("id", (F.coalesce("common", F.lit(0)) / F.col("n")).alias("contained"))
+
+
 def first_by_key(rows: DataFrame, key: Column, order: list[str], within: list[str] | None = None) -> DataFrame:
     """Rows whose key appears for the first time, in the given order."""
     window = Window.partitionBy(*(within or []), key).orderBy(*order)

@@ -37,6 +37,11 @@ SEPARATORS = (r"\s*(?:→|⇒|=>|->)\s*", r"\s*[:：]\s*", r"\s*=\s*", r"\t+", r
 _CLASS = "".join("\\" + c if c in "[]\\-^&" else c for c in PUNCTUATION)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, even where it is used for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -133,7 +138,7 @@ def importance_of(c: Column, heading_keyword: Column | None = None, first_under_
 
 def split_sentences(c: Column) -> Column:
     """The sentences of a text on one line: cut after final marks that white space follows."""
-    return F.filter(F.transform(F.split(text_of(c), r"(?<=[.!?。])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text_of(c), r"(?<=[.!?。])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def sentences_with_headings(c: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorespark.plans import progress
+from lorespark.plans import progress, quiz, texts
 
-MODULES = (progress,)
+MODULES = (progress, quiz, texts)
 
 
 def all_queries() -> dict[str, tuple]:
