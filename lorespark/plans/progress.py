@@ -16,7 +16,7 @@ from lorespark.sources.tables import latest, read_table, remove
 POINTS_SQL = """points AS (
   SELECT c_custkey AS point_id, c_nationkey AS unit_id, CAST(floor(abs(c_acctbal)) % 100 AS DOUBLE) AS level, nullif(c_custkey % 6, 0) AS importance,
          CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN NULL ELSE c_custkey * 1000 END AS last_studied_at
-  FROM customer WHERE c_nationkey % 7 <> 3
+  FROM customer
 ), graded AS (SELECT *, coalesce(importance, 3) AS imp FROM points)"""
 QUESTIONS_SQL = """questions AS (
   SELECT l_orderkey AS session_id, l_linenumber AS ord, l_partkey, l_suppkey, 1 + CAST(floor(l_quantity) AS BIGINT) % 5 AS importance,
@@ -29,8 +29,7 @@ ANSWERS_SQL = """answers AS (
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """Units with a number of 3 modulo 7 have no points."""
-    t = read_table(spark, d, "customer").where("c_nationkey % 7 <> 3")
+    t = read_table(spark, d, "customer")
     return t.select(
         F.col("c_custkey").alias("point_id"), F.col("c_nationkey").alias("unit_id"), (F.floor(F.abs("c_acctbal")) % 100).cast("double").alias("level"),
         F.nullif(F.col("c_custkey") % 6, F.lit(0)).alias("importance"),

@@ -65,8 +65,8 @@ def blank_cards_order(spark, d):
 
 
 def distractor_topn(spark, d):
-    """Three wrong options for each supplier's name among those of its nation."""
-    t = read_table(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("point_id"), F.col("p_brand").alias("unit_id"), F.col("p_type").alias("answer"))
+    """Three wrong options for each part's type among those of its brand."""
+    t = read_table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_brand").alias("unit_id"), F.col("p_type").alias("answer"))
     return q.distractors(t, 3)
 
 
@@ -162,7 +162,7 @@ SELECT unit_id, grp, targets, CAST(base + (row_number() OVER (PARTITION BY unit_
     "detail_rotation_topk": (detail_rotation_topk, f"WITH {POINTS_SQL} SELECT unit_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY last_studied_at IS NOT NULL, level, point_id) AS INT) AS n, point_id FROM points WHERE importance = 1 QUALIFY n <= 3"),
     "study_deck_topk": (study_deck_topk, f"WITH {POINTS_SQL} SELECT point_id, level - 8 * imp AS sort_key FROM graded ORDER BY sort_key, point_id LIMIT 20"),
     "blank_cards_order": (blank_cards_order, "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_size % 5 DESC, p_partkey) AS INT) AS n, '[      ] is the brand of ' || p_name AS card FROM part"),
-    "distractor_topn": (distractor_topn, f"""WITH o AS (SELECT p_partkey AS id, p_brand AS pool, p_type AS answer, {key_sql('p_type')} AS k FROM part WHERE p_partkey % 4 = 0), a AS (SELECT pool, k AS ok, min(answer) AS option FROM o WHERE k <> '' GROUP BY ALL)
+    "distractor_topn": (distractor_topn, f"""WITH o AS (SELECT p_partkey AS id, p_brand AS pool, p_type AS answer, {key_sql('p_type')} AS k FROM part), a AS (SELECT pool, k AS ok, min(answer) AS option FROM o WHERE k <> '' GROUP BY ALL)
 SELECT id AS point_id, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(length(k) - length(ok)), ok) AS INT) AS n, option FROM o JOIN a USING (pool) WHERE k <> '' AND NOT contains(k, ok) AND NOT contains(ok, k) AND regexp_matches(k, '[0-9]') = regexp_matches(ok, '[0-9]') QUALIFY n <= 3"""),
     "grade_answers": (grade_answers, f"""WITH g AS (SELECT p_partkey, ['OX', 'MULTIPLE_CHOICE', 'FILL_BLANK', 'SHORT_ANSWER', 'SUBJECTIVE', 'DESCRIPTIVE'][p_size % 6 + 1] AS kind, {key_sql('p_type')} AS k1, {key_sql('p_name')} AS k2,
   CASE p_partkey % 3 WHEN 0 THEN {key_sql('p_type')} WHEN 1 THEN {key_sql('p_name')} ELSE '' END AS u FROM part)

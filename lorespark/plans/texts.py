@@ -118,9 +118,9 @@ def page_number_filter(spark, d):
 
 
 def datetime_watermark(spark, d):
-    """Printed date-times are taken off lines; here the order's stamp is printed behind every tenth order's priority."""
+    """Printed date-times are taken off lines; here the order's stamp is printed behind its priority."""
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")
-    rows = read_table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", stamp).alias("line"))
+    rows = read_table(spark, d, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", stamp).alias("line"))
     return rows.select("o_orderkey", c.strip_printed_marks(F.col("line")).alias("clean"))
 
 
@@ -152,7 +152,7 @@ def repeated_line_df(spark, d):
 
 def keyword_repeat_count(spark, d):
     """In how many lines of its document each line's first long word occurs again."""
-    rows = lines(spark, d).where("doc_id % 5 = 0 and line <> ''").withColumn("word", F.regexp_extract("line", "([A-Za-z]{6,})", 1))
+    rows = lines(spark, d).where("line <> ''").withColumn("word", F.regexp_extract("line", "([A-Za-z]{6,})", 1))
     other = rows.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_n"), F.col("line").alias("_line"))
     again = rows.where("word <> ''").join(other, (F.col("doc_id") == F.col("_d")) & (F.col("line_no") != F.col("_n")) & F.contains("_line", F.col("word")))
     return again.groupBy("doc_id", "line_no").agg(F.count("*").alias("repeats"))
@@ -260,7 +260,7 @@ SELECT doc_id, count(*) AS joined, CAST(max(length(text)) AS INT) AS longest FRO
 SELECT doc_id, CAST(line_no AS INT) AS line_no, md5(clean) AS clean_md5 FROM k WHERE clean <> line"""),
     "page_number_filter": (page_number_filter, rf"""WITH {LINES_SQL}, a AS (SELECT 'p ' || (s_suppkey % 2000) AS line FROM supplier UNION ALL SELECT line FROM lines)
 SELECT line, count(*) AS n FROM a WHERE trim(line) <> '' AND length(trim(line)) <= 20 AND regexp_matches(trim(line), '\d') AND regexp_matches(trim(line), '{c.PAGE_NUMBER}') GROUP BY 1"""),
-    "datetime_watermark": (datetime_watermark, "SELECT o_orderkey, o_orderpriority AS clean FROM orders WHERE o_orderkey % 10 = 0"),
+    "datetime_watermark": (datetime_watermark, "SELECT o_orderkey, o_orderpriority AS clean FROM orders"),
     "noise_reason": (noise_reason, rf"""WITH {LINES_SQL}, b AS (SELECT regexp_replace(line, '\s+', '', 'g') AS b FROM lines), q AS (SELECT b, length(b) AS n, length(regexp_replace(b, '[^가-힣]', '', 'g')) AS h, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS l,
   length(regexp_replace(b, '[^0-9]', '', 'g')) AS dg, length(regexp_replace(b, '[^ㄱ-ㅎㅏ-ㅣ]', '', 'g')) AS j, length(regexp_replace(b, '[^.,·ㆍ:;()\[\]‘’“”''"\-~?!/%○●•▪■□★☆※<>「」『』…]', '', 'g')) AS m FROM b)
 SELECT CASE WHEN n = 0 THEN 'blank' WHEN h + l + dg = 0 THEN 'symbols' WHEN j >= 2 AND j >= h * 0.5 THEN 'loose_letters'
@@ -271,7 +271,7 @@ SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0
     "lexicon_counts": (lexicon_counts, rf"""WITH {LINES_SQL}, w AS (SELECT regexp_replace(unnest(regexp_split_to_array(line, '\s+')), '^[“"''‘(\[<《「『]+|[”"''’)\]>》」』.,!?;:·…]+$', '', 'g') AS stem FROM lines) SELECT stem, count(*) AS n FROM w WHERE stem <> '' GROUP BY 1 HAVING count(*) >= 20"""),
     "cleanup_log_counts": (cleanup_log_counts, None),
     "repeated_line_df": (repeated_line_df, f"WITH {LINES_SQL} SELECT md5(line) AS line_md5, count(DISTINCT doc_id) AS documents FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 3"),
-    "keyword_repeat_count": (keyword_repeat_count, f"WITH {LINES_SQL}, w AS (SELECT *, regexp_extract(line, '([A-Za-z]{{6,}})', 1) AS word FROM lines WHERE doc_id % 5 = 0 AND line <> '') SELECT a.doc_id, CAST(a.line_no AS INT) AS line_no, count(*) AS repeats FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.line_no <> b.line_no AND a.word <> '' AND contains(b.line, a.word) GROUP BY ALL"),
+    "keyword_repeat_count": (keyword_repeat_count, f"WITH {LINES_SQL}, w AS (SELECT *, regexp_extract(line, '([A-Za-z]{{6,}})', 1) AS word FROM lines WHERE line <> '') SELECT a.doc_id, CAST(a.line_no AS INT) AS line_no, count(*) AS repeats FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.line_no <> b.line_no AND a.word <> '' AND contains(b.line, a.word) GROUP BY ALL"),
     "bigram_dice_pairs": (bigram_dice_pairs, f"""WITH {grams_sql('benchmark', 'item_id', key_sql('text'), 'g')}, n AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
 SELECT a.id AS a, b.id AS b, round(2.0::DOUBLE * count(*) / (any_value(na.n) + any_value(nb.n)), 6) AS similarity FROM g a JOIN g b ON a.gram = b.gram AND a.occ = b.occ AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id
 GROUP BY a.id, b.id HAVING 2.0::DOUBLE * count(*) / (any_value(na.n) + any_value(nb.n)) >= 0.5"""),
