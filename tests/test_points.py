@@ -26,3 +26,22 @@ def test_matched_points(spark):
     new = spark.createDataFrame([(1, 20, 0, "심장은 혈액을 순환시킨다"), (1, 21, 1, "뇌는 우리 몸을 조절하는 기관이다"), (1, 22, 2, "전혀 새로운 문장이다"), (2, 23, 0, "뇌는 몸을 조절하는 기관이다")], "material_id int, id int, ord int, text string")
     assert {r.new_id: r.old_id for r in points.matched_points(old, new).collect()} == {20: 12, 21: 11}
     assert points.matched_points(old, new.where(F.lit(False))).count() == 0
+
+
+def test_content_questions(spark):
+    from lorespark.operators import questions
+
+    rows = [(1, 1, "심장은 혈액을 온몸으로 순환시킨다.", 5), (2, 1, "대한민국의 수도는 서울이다.", 3), (3, 1, "허파는 산소를 받아들인다.", 1), (4, 1, "해마는 기억을 형성한다.", None)]
+    points_ = spark.createDataFrame(rows, "point_id int, unit_id int, text string, importance int")
+    made = questions.content_questions(points_).collect()
+    kinds = {(r.point_id, r.type) for r in made}
+    assert {k for p, k in kinds if p == 1} == {"OX", "MULTIPLE_CHOICE", "FILL_BLANK", "SHORT_ANSWER", "SUBJECTIVE", "DESCRIPTIVE"}
+    assert (3, "DESCRIPTIVE") not in kinds and (4, "DESCRIPTIVE") in kinds
+    for r in made:
+        if r.type == "MULTIPLE_CHOICE":
+            assert r.options.count(r.answer) == 1 and len(set(r.options)) == len(r.options) >= 3
+        if r.type == "FILL_BLANK":
+            assert "[      ]" in r.question and r.answer not in r.question
+    targets = spark.createDataFrame([(1, 10.0, 5, ["OX"], "FILL_BLANK"), (2, 80.0, 3, None, None)], "point_id int, level double, importance int, used array<string>, last_kind string")
+    order = questions.ordered_kinds(targets, questions.content_questions(points_)).collect()
+    assert sorted((r.point_id, r.n) for r in order) == [(p, n + 1) for p in (1, 2) for n in range(sum(k[0] == p for k in kinds))]
