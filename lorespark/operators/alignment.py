@@ -11,13 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.similarity import jamo_edit_ratio
-from lorespark.functions.text import let, normalize_text, text_of
 from lorespark.functions.korean import to_jamo
+from lorespark.functions.similarity import containment, jamo_edit_ratio
+from lorespark.functions.text import let, normalize_text, text_of
 from lorespark.operators.cleanup import line_score
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 ALIGN_FROM = 0.45
+COVERED_FROM = 0.9
 JOIN_FROM = 0.35
 LONELY_CONFIDENCE, LONELY_QUALITY, LEAST_QUALITY = 75, 0.7, 0.35
 #: Letters that stand for digits in tokens with digits, and the digits.
@@ -191,3 +192,27 @@ def apply_changes(pages: DataFrame, changes: DataFrame, page: str = "page") -> D
     todo = changes.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("ord", "from", "to"))).alias("todo"))
     kind = dict(pages.dtypes)[page]
     return pages.select(page, "text").join(todo, page, "left").mapInPandas(run, f"{page} {kind}, text string, applied int")
+
+
+def merged_structure(local: DataFrame, other: DataFrame, page: str = "page") -> DataFrame:
+    """``page, left_no, right_no, verdict, line``: a second reading's lines merged into the first, none lost unseen.
+
+    local, other: page, line_no, kind, line; other also confidence (high or low). Aligned lines are judged as corrections
+    (apply, confirm, reject); lines that only the first reading has are ``restored``; lines that only the second has are
+    ``covered`` where they are titles whose words some first line has, else ``unverified``.
+    """
+    pairs = align_pages(local, other, page)
+    left = local.select(page, F.col("line_no").alias("left_no"), F.col("line").alias("own"))
+    right = other.select(page, F.col("line_no").alias("right_no"), F.col("line").alias("theirs"), "kind", "confidence")
+    rows = pairs.join(left, [page, "left_no"], "left").join(right, [page, "right_no"], "left")
+    alone = rows.where("left_no is null").select(page, "right_no", "theirs")
+    inside = alone.join(left, page).where(containment(F.col("theirs"), F.col("own")) >= COVERED_FROM).select(page, "right_no").distinct().withColumn("inside", F.lit(True))
+    rows = rows.join(inside, [page, "right_no"], "left")
+    verdict = (
+        F.when(F.col("right_no").isNull(), "restored")
+        .when(F.col("left_no").isNull(), F.when(F.col("inside") & F.col("kind").isin("section", "subsection"), "covered").otherwise("unverified"))
+        .otherwise(judge_change(F.col("own"), F.col("theirs"), F.col("confidence")))
+    )
+    rows = rows.withColumn("verdict", verdict)
+    kept = F.when(F.col("verdict").isin("apply", "covered"), F.col("theirs")).when(F.col("verdict") == "unverified", F.lit(None)).otherwise(F.col("own"))
+    return rows.select(page, "left_no", "right_no", "verdict", kept.alias("line"))

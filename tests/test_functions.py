@@ -179,3 +179,12 @@ def test_terms(spark):
     got = apply(spark, t.parse_term, ["대퇴골: 인체에서 가장 긴 뼈", "해마 → 기억 형성에 중요한 뇌 구조", "apple 사과", "그냥 글"])
     assert [(g and (g.term, g.definition)) for g in got] == [("대퇴골", "인체에서 가장 긴 뼈"), ("해마", "기억 형성에 중요한 뇌 구조"), ("apple", "사과"), None]
     assert apply(spark, t.parse_json_loose, ['```json\n{"a": 1}\n```', 'text {"b": [2]} more', "none"]) == ['{"a": 1}', '{"b": [2]}', None]
+
+
+def test_merged_structure(spark):
+    local = spark.createDataFrame([(1, 0, "content", "데한민국 헌법을 지킨다"), (1, 1, "content", "국군의 사명을 다한다")], "page int, line_no int, kind string, line string")
+    other = spark.createDataFrame([(1, 0, "content", "대한민국 헌법을 지킨다", "high"), (1, 1, "section", "국군의 사명", "high"), (1, 2, "content", "없던 문장이 새로 생겼다", "high")], "page int, line_no int, kind string, line string, confidence string")
+    got = {(r.left_no, r.right_no): (r.verdict, r.line) for r in alignment.merged_structure(local, other).collect()}
+    assert got[0, 0] == ("apply", "대한민국 헌법을 지킨다")
+    assert got[None, 2] == ("unverified", None)
+    assert [v for k, v in got.items() if k[0] == 1] == [("confirm", "국군의 사명을 다한다")]
