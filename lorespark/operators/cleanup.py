@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.korean import strip_particle, to_jamo
 from lorespark.functions.similarity import jamo_edit_ratio
-from lorespark.functions.text import text_of
+from lorespark.functions.text import let, text_of
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 DATE = r"(?:19|20)\d{2}\s*[-./]\s*\d{1,2}\s*[-./]\s*\d{1,2}"
@@ -164,3 +164,59 @@ def label_kind(c: Column) -> Column:
     bare = F.regexp_replace(text_of(c), "[^가-힣]", "")
     near = lambda word, ratio: jamo_edit_ratio(bare, F.lit(word)) <= ratio
     return F.when(bare == "", None).when(bare.rlike("핵심|내용") | near("핵심내용", 0.35), "core").when(bare.rlike("신념|념화") | near("신념화", 0.4), "belief")
+
+
+# ---- Fixed values -------------------------------------------------------------------------------------------------
+PARTICLE_TAIL = r"(은|는|이|가|을|를|에|의|와|과|도|로|으로|에서|에게|께서|이다|이며|이고|이나|만)$"
+UNIT_WORD = r"^(년|월|일|조|항|호|개|명|차|시|분|가지|번째|세기|개국|만)(의|에|은|는|이|가|을|를|로|과|와)?[,.]?$"
+# -------------------------------------------------------------------------------------------------------------------
+
+
+def strip_learned(c: Column, words: Column, digits: Column, protected: Column) -> Column:
+    """The line without words and numbers known from watermarks, where they stand apart from the sentence.
+
+    words, digits, protected: arrays; protected words occur in the text with particles, so they go only next to other
+    pieces of a watermark.
+    """
+    tokens = F.filter(F.split(F.trim(text_of(c)), r"\s+"), lambda x: x != "")
+
+    def judged(all_: Column) -> Column:
+        mark = lambda x: F.coalesce(F.contains(x, F.lit("/")) | F.array_contains(words, F.regexp_replace(x, "/", "")) | F.array_contains(digits, x), F.lit(False))
+        at = lambda i: F.when((i >= 0) & (i < F.size(all_)), F.get(all_, i))
+
+        def goes(x: Column, i: Column) -> Column:
+            bare = F.regexp_replace(x, r"^[/|]+|[/|]+$", "")
+            apart = (bare != x) | (F.size(all_) == 1) | mark(at(i - 1)) | mark(at(i + 1)) | (~F.array_contains(protected, bare) & ~bare.rlike(PARTICLE_TAIL))
+            return F.struct(x.alias("x"), (F.array_contains(words, bare) & apart).alias("gone"))
+
+        return F.transform(F.filter(F.transform(all_, goes), lambda t: ~t["gone"]), lambda t: t["x"])
+
+    def numbers(all_: Column) -> Column:
+        def goes(x: Column, i: Column) -> Column:
+            before, after = F.when(i > 0, F.get(all_, i - 1)), F.get(all_, i + 1)
+            between = F.coalesce(before.rlike("[가-힣]$"), F.lit(False)) | F.coalesce(after.rlike("^[가-힣]"), F.lit(False))
+            gone = x.rlike("^[0-9:]{2,5}$") & F.array_contains(digits, x) & (F.contains(x, F.lit(":")) | (between & ~F.coalesce(after.rlike(UNIT_WORD), F.lit(False))))
+            return F.struct(x.alias("x"), gone.alias("gone"))
+
+        return F.transform(F.filter(F.transform(all_, goes), lambda t: ~t["gone"]), lambda t: t["x"])
+
+    return F.array_join(let(let(tokens, judged), numbers), " ")
+
+
+def clean_lines(lines: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``doc_id, line_no, line, clean, dropped``: watermarks first, then page numbers, noise and bullets, terms last.
+
+    ``dropped`` is the reason for which a line goes (``clean`` is null then). terms: word, term; a small table, see
+    :func:`term_map`; it is applied to whole words.
+    """
+    stripped = lines.withColumn("_s", strip_printed_marks(F.col("line")))
+    reason = F.when((F.trim(text_of(F.col("line"))) != "") & (F.col("_s") == ""), "watermark").when(is_page_number(F.col("_s")), "pageNumber").otherwise(noise_reason(F.col("_s")))
+    rows = stripped.withColumn("dropped", reason).withColumn("clean", F.when(F.col("dropped").isNull(), normalize_bullets(F.col("_s")))).drop("_s")
+    if terms is None:
+        return rows
+    words = rows.select("doc_id", "line_no", F.posexplode(F.split("clean", " ")).alias("n", "word"))
+    words = words.withColumn("stem", strip_particle(F.regexp_replace("word", r"^[^가-힣0-9A-Za-z]+|[^가-힣0-9A-Za-z]+$", "")))
+    fixed = words.join(terms.select(F.col("word").alias("stem"), "term"), "stem", "left")
+    fixed = fixed.withColumn("word", F.when(F.col("term").isNotNull(), F.replace("word", F.col("stem"), F.col("term"))).otherwise(F.col("word")))
+    whole = fixed.groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w")).select("doc_id", "line_no", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("_fixed"))
+    return rows.join(whole, ["doc_id", "line_no"], "left").withColumn("clean", F.coalesce("_fixed", "clean")).drop("_fixed")

@@ -188,3 +188,17 @@ def test_merged_structure(spark):
     assert got[0, 0] == ("apply", "대한민국 헌법을 지킨다")
     assert got[None, 2] == ("unverified", None)
     assert [v for k, v in got.items() if k[0] == 1] == [("confirm", "국군의 사명을 다한다")]
+
+
+def test_clean_lines(spark):
+    rows = [(1, 0, "홍길동/2025-01-01 09:00 대할민국은 나라다"), (1, 1, "- 5 -"), (1, 2, "***"), (1, 3, "• 항목이다"), (1, 4, "2025-01-01 09:00"), (1, 5, "")]
+    lines = spark.createDataFrame(rows, "doc_id int, line_no int, line string")
+    terms = spark.createDataFrame([("대할민국", "대한민국")], "word string, term string")
+    got = {r.line_no: (r.clean, r.dropped) for r in cleanup.clean_lines(lines, terms).collect()}
+    assert got == {0: ("대한민국은 나라다", None), 1: (None, "pageNumber"), 2: (None, "symbols"), 3: ("● 항목이다", None), 4: (None, "watermark"), 5: (None, "blank")}
+
+
+def test_strip_learned(spark):
+    words, digits, protected = (F.array(*map(F.lit, x)) for x in (["홍길동", "상사"], ["2025", "09:00"], ["상사"]))
+    got = apply(spark, lambda c: cleanup.strip_learned(c, words, digits, protected), ["국가는 홍길동 나라다", "상사 명령에 따른다", "/홍길동 상사 09:00 국가", "조국 2025 통일", "2025 년의 일", "홍길동"])
+    assert got == ["국가는 나라다", "상사 명령에 따른다", "국가", "조국 통일", "2025 년의 일", ""]
