@@ -201,3 +201,16 @@ def parse_json_loose(c: Column) -> Column:
     """The JSON text in an answer: code fences off, else the outermost braces or brackets."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(text_of(c), r"^\s*```[A-Za-z]*\s*", ""), r"\s*```\s*$", ""))
     return F.when(bare.rlike(r"^[\[{]"), bare).otherwise(F.nullif(F.regexp_extract(bare, r"(?s)[\[{].*[\]}]", 0), F.lit("")))
+
+
+def chunk_text(c: Column, most: int = 12_000) -> Column:
+    """The text in chunks of whole lines, none longer than ``most`` unless a single line is."""
+    start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(s: Column, line: Column) -> Column:
+        joined = F.concat(s["open"], F.lit("\n"), line)
+        full = F.length(joined) > most
+        opened = F.when(s["open"].isNull() | full, line).otherwise(joined)
+        return F.struct(opened.alias("open"), F.when(full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"))
+
+    return F.aggregate(F.split(text_of(c), "\n"), start, step, lambda s: F.concat(s["done"], F.array(s["open"])))

@@ -202,3 +202,11 @@ def test_strip_learned(spark):
     words, digits, protected = (F.array(*map(F.lit, x)) for x in (["홍길동", "상사"], ["2025", "09:00"], ["상사"]))
     got = apply(spark, lambda c: cleanup.strip_learned(c, words, digits, protected), ["국가는 홍길동 나라다", "상사 명령에 따른다", "/홍길동 상사 09:00 국가", "조국 2025 통일", "2025 년의 일", "홍길동"])
     assert got == ["국가는 나라다", "상사 명령에 따른다", "국가", "조국 통일", "2025 년의 일", ""]
+
+
+def test_chunks(spark):
+    text = "\n".join("x" * n for n in (3, 4, 2, 30, 1, 1, 5))
+    (chunks,) = apply(spark, lambda c: t.chunk_text(c, 10), [text])
+    assert "\n".join(chunks) == text
+    assert all(len(c) <= 10 or "\n" not in c for c in chunks)
+    assert apply(spark, t.chunk_text, [""]) == [[""]]
