@@ -65,37 +65,50 @@ def _packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
 
 
 def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, matrix: np.ndarray, orders: np.ndarray, sorted_values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of a block (all, if fewer) for a query, best first. orders, sorted_values: per dimension, ascending."""
+    """The k best rows of a block (all, if fewer) for a query, best first. orders, sorted_values: per dimension, ascending.
+
+    matrix: the rows, in a type that holds every score exactly.
+    """
     n = len(ids)
-    seen = np.zeros(n, bool)
+    seen, scored = np.zeros(n, bool), np.zeros(n, bool)
     best_score, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lists = np.flatnonzero(query)
-    down = query[lists] > 0
-    depth, reach = 0, FIRST_DEPTH
+    up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
+    weights = query.astype(matrix.dtype)
+    depth, reach = 0, max(FIRST_DEPTH, n // 32)
     while True:
-        reach = min(reach, n) if len(lists) else n
-        if len(lists):
-            places = np.where(down[:, None], n - 1 - np.arange(depth, reach)[None, :], np.arange(depth, reach)[None, :])
-            met = np.unique(orders[lists[:, None], places])
-            met = met[~seen[met]]
+        reach = min(reach, n) if len(up) + len(down) else n
+        if len(up) + len(down):
+            seen[orders[up, depth:reach]] = True
+            seen[orders[down, n - reach : n - depth]] = True
         else:
-            met = np.arange(n)
-        seen[met] = True
-        met = met[ids[met] != own]
-        score = np.concatenate((best_score, matrix[met] @ query))
-        names = np.concatenate((best_id, ids[met]))
+            seen[:] = True
+        met = np.flatnonzero(seen & ~scored)
+        scored |= seen
+        score = (matrix[met] @ weights).astype(np.int64)
+        good = ids[met] != own
+        if len(best_score) == k:
+            good &= score >= best_score[-1]
+        elif len(met) > k:
+            # The k-th of these bounds the k-th of all from below; one more for the query's own row.
+            good &= score >= np.partition(score, len(met) - k - 1)[len(met) - k - 1]
+        score, names = np.concatenate((best_score, score[good])), np.concatenate((best_id, ids[met[good]]))
         top = np.lexsort((names, -score))[:k]
         best_score, best_id = score[top], names[top]
         if reach == n:
             return best_score, best_id
-        edge = np.where(down, n - reach, reach - 1)
-        bound = int((sorted_values[lists, edge] * query[lists]).sum())
+        bound = int(sorted_values[up, reach - 1] @ query[up]) + int(sorted_values[down, n - reach] @ query[down])
         # A row not met yet may still equal the bound, and win a tie by its id.
         if len(best_score) == k and bound < best_score[-1]:
             return best_score, best_id
         depth, reach = reach, reach * 2
 
 
+def scoring_type(matrix: np.ndarray, queries: np.ndarray) -> type:
+    """The fastest type in which no sum of products of a row and a query can be rounded."""
+    largest = float(np.abs(matrix).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(matrix.shape[1], 1)
+    return np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
+
+
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``is_query`` (on column vec_id), its k best other rows."""
     ship_package(vectors.sparkSession)
@@ -116,7 +129,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE
                 wanted = np.frombuffer(row["matrix"], np.int64).reshape(len(queries), row["dim"])
                 orders = np.argsort(matrix.T, axis=1, kind="stable")
                 values = np.take_along_axis(matrix.T, orders, axis=1)
-                found = [threshold_search(wanted[i], queries[i], ids, matrix, orders, values, k) for i in range(len(queries))]
+                rows_ = matrix.astype(scoring_type(matrix, wanted))
+                found = [threshold_search(wanted[i], queries[i], ids, rows_, orders, values, k) for i in range(len(queries))]
                 query = np.repeat(queries, [len(f[0]) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found]))], names=["query_id", "vec_id", "score"])
 
