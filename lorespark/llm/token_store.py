@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -57,8 +58,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters of ASCII and Latin-1, in lower case as far as ASCII goes, and marks that follow them at a piece's end.
+TRIM = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]+)")
+
+
 class Encoder:
-    """The library's ids of texts, with the ids of white-space pieces kept."""
+    """The library's ids of texts, with the ids of white-space pieces kept.
+
+    Where the tokenizer lower-cases, ASCII is lower-cased before pieces are looked up; where its splitter parts letters
+    from marks (tried at the start), a word and the marks after it are kept apart. Both only save repeated encoding.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,24 +76,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.form = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = struct.calcsize(f"<{self.form}")
+        self.marks = {t.content[:1].encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.folds = normalizer is not None and normalizer.normalize_str("AZ") == "az"
+        self.trims = self.folds and splitter is not None and [w for w, _ in splitter.pre_tokenize_str("ab.!")] == ["ab", ".!"] and b"<" in self.marks
         self.pieces: dict[bytes, bytes] = {}
 
+    def _split(self, text: str | None) -> list[bytes]:
+        data = (text or "").encode()
+        # Lower case might make a special token of what is none.
+        return (data.lower() if self.folds and not any(m in data for m in self.marks) else data).split()
+
+    def _learn(self, new: set[bytes]) -> None:
+        parts = {p: m.groups() for p in new if (m := TRIM.fullmatch(p))} if self.trims else {}
+        listed = list({x for pair in parts.values() for x in pair if x not in self.pieces} | (new - parts.keys()))
+        for at in range(0, len(listed), 4096):
+            some = listed[at : at + 4096]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                self.pieces[piece] = struct.pack(f"<{len(ids := found.ids)}{self.form}", *ids)
+        for piece, (word, tail) in parts.items():
+            self.pieces[piece] = self.pieces[word] + self.pieces[tail]
+
     def encode(self, texts: list[str | None], end: int | None) -> Iterator[bytes]:
         """The ids of each text as little-endian items of ``width`` bytes, the end id last."""
-        split = [(t or "").encode().split() for t in texts]
+        split = [self._split(t) for t in texts]
         wanted = set().union(*split) if split else set()
         new = wanted - self.pieces.keys()
         if len(self.pieces) + len(new) > KEEP:
             self.pieces.clear()
             new = wanted
-        listed = list(new)
-        form = f"<u{self.width}"
-        for at in range(0, len(listed), 4096):
-            part = listed[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.pieces[piece] = np.array(found.ids, form).tobytes()
-        tail = b"" if end is None else np.array([end], form).tobytes()
+        self._learn(new)
+        tail = b"" if end is None else struct.pack(f"<{self.form}", end)
         find = self.pieces.__getitem__
         for pieces in split:
             yield b"".join(map(find, pieces)) + tail
