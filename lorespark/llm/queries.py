@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lorespark.llm import bpe, media, mixing, ngram_join, pii, quality, substring_dedup, token_store, topk, url_filter
+from lorespark.llm import bpe, media, mixing, ngram_join, pii, quality, sql, substring_dedup, token_store, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,4 +37,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": topk.SQL, "op9_mixing": mixing.SQL}
+    return {
+        "op2_ngram_jaccard_join": sql.NGRAM_JOIN,
+        "op4_substring_dedup": sql.SUBSTRING_DEDUP,
+        "op5_exact_top_k": topk.SQL,
+        "op9_mixing": mixing.SQL,
+    }
