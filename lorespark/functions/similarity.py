@@ -96,10 +96,17 @@ def similar_pairs(texts: DataFrame, threshold: float, id_column: str = "id", tex
 
 
 def contained_share(items: DataFrame, contexts: DataFrame, item: str = "item", context: str = "context") -> DataFrame:
-    """``id, contained``: the share of each item's bigrams that the context with its id has; both have a column id."""
-    grams = gram_rows(items, "id", item)
-    common = grams.join(gram_rows(contexts, "id", context), ["id", "gram", "occ"]).groupBy("id").agg(F.count("*").alias("common"))
-    return grams.groupBy("id").agg(F.count("*").alias("n")).join(contexts.select("id"), "id").join(common, "id", "left").select("id", (F.coalesce("common", F.lit(0)) / F.col("n")).alias("contained"))
+    """``id, context_id, contained``: the share of each item's bigrams that each context has, where they have any in common.
+
+    items: id, text; contexts: context_id, text. Rows with one context_id are one context; no bigram spans two of its
+    rows. An item that has nothing in common with any context has one row, with a null context_id and 0.0 (null if it
+    has no bigrams).
+    """
+    counts = lambda rows, key, text, n: rows.select(key, F.explode(pieces(F.col(text), 2)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias(n))
+    own = counts(items, "id", item, "n_item")
+    common = counts(contexts, "context_id", context, "n_context").join(own, "gram").groupBy("id", "context_id").agg(F.sum(F.least("n_item", "n_context")).alias("common"))
+    sizes = items.select("id").distinct().join(own.groupBy("id").agg(F.sum("n_item").alias("n")), "id", "left")
+    return sizes.join(common, "id", "left").select("id", "context_id", (F.coalesce("common", F.lit(0)) / F.col("n")).alias("contained"))
 
 
 def first_by_key(rows: DataFrame, key: Column, order: list[str], within: list[str] | None = None) -> DataFrame:

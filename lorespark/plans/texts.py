@@ -165,11 +165,11 @@ def bigram_dice_pairs(spark, d):
 
 
 def containment_grounding(spark, d):
-    """How much of each benchmark item's bigrams the assistant turns of the conversations of its remainder contain."""
+    """How much of each benchmark item's bigrams the assistant turns of each conversation contain; every item has a row."""
     items = read_table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("item"))
-    said = read_table(spark, d, "conversations").where("role = 'assistant'").groupBy((F.col("conv_id") % 40).alias("id"))
-    shares = s.contained_share(items, said.agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("context")))
-    return shares.select(F.col("id").alias("item_id"), F.round("contained", 6).alias("contained"))
+    said = read_table(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("context_id"), F.col("text").alias("context"))
+    shares = s.contained_share(items, said)
+    return shares.select(F.col("id").alias("item_id"), F.col("context_id").alias("conv_id"), F.round("contained", 6).alias("contained"))
 
 
 def excerpt_in_context(spark, d):
