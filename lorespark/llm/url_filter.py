@@ -3,7 +3,9 @@
 A rule is an action, a host and a path prefix. It fits its host and all subdomains where the URL's path starts with its
 path; the longest fitting rule (host and path together) decides. URLs that a rule decides are also the labelled ones on
 which the trees are trained, on everything but the rule itself: lengths, depth, digit ratio, entropy, parameter counts
-and statistics of the host's suffix. The other URLs get the trees' verdict.
+and statistics of the host's suffix. The other URLs get the trees' verdict. The suffix statistics are those of all pages
+(share) and of all pages that a rule decides (rate of blocked ones); only the trees learn from a bounded sample of
+distinct URLs.
 
 A null URL or one without ``://`` has an empty host and path, and features of an empty string. Repeated rows get equal
 verdicts. Without labelled URLs of both kinds the verdict is that of the only kind, or allow. Extra columns are ignored.
@@ -28,8 +30,10 @@ RULES = (
     ("block", "com", "/de/"),
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: The trees learn from so many labelled URLs at most, those with the least hash.
+#: The trees learn from so many distinct labelled URLs at most, those with the least hash.
 MAX_LABELLED = 20_000
+#: Up to so many suffixes (counted), their statistics are broadcast; more are joined by shuffle.
+BROADCAST_SUFFIXES = 20_000
 TREES = 10
 DEPTH = 4
 BLOCK_FROM = 0.5
@@ -55,6 +59,10 @@ def path_of(url: str = "url") -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def suffix_of() -> Column:
+    return F.substring_index("host", ".", -1)
+
+
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     """A struct of the longest fitting rule's text and action; null if none fits."""
     chosen = F.lit(None).cast("struct<rule:string,action:string>")
@@ -90,30 +98,37 @@ def lexical(pages: DataFrame) -> DataFrame:
         "parameters": F.size(F.filter(F.split(query, "&"), lambda p: p != "")).cast("double"),
         "has_fragment": url.contains("#").cast("double"),
         "has_extension": F.col("path").rlike(r"\.[A-Za-z0-9]{1,5}$").cast("double"),
-        "suffix": F.substring_index("host", ".", -1),
-        "suffix_length": size(F.substring_index("host", ".", -1)),
+        "suffix": suffix_of(),
+        "suffix_length": size(suffix_of()),
     })
 
 
+def suffix_counts(named: DataFrame) -> DataFrame:
+    """named: host, _rule. Per suffix, its pages, those that a rule decides and those that one blocks."""
+    blocked = F.count_if(F.col("_rule.action") == "block")
+    return named.groupBy(suffix_of().alias("suffix")).agg(F.count("*").alias("pages"), F.count("_rule").alias("ruled"), blocked.alias("blocked"))
+
+
 def judged(pages: DataFrame, rules: tuple = RULES, max_labelled: int = MAX_LABELLED, id_column: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, block_score`` for every page."""
     named = pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url")).withColumn("host", host_of()).withColumn("path", path_of())
     named = named.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     result = [F.col("page_id"), F.col("host"), F.col("path"), F.col("_rule.rule").alias("rule")]
 
-    labelled = named.where("_rule is not null").select("url", "host", "path", F.col("_rule.action").alias("action"))
-    labelled = labelled.orderBy(F.xxhash64("url"), "url").limit(max_labelled).withColumn("label", (F.col("action") == "block").cast("double"))
-    labelled = written(lexical(labelled), "labelled")
-    # At most as many suffixes as labelled rows, so their statistics are small enough to broadcast.
-    suffixes = written(labelled.groupBy("suffix").agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("blocked")), "suffixes")
-    total = suffixes.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
-    if not total.n or total.blocked in (0.0, total.n):
+    suffixes = written(suffix_counts(named), "suffixes")
+    total = suffixes.agg(F.count("*").alias("suffixes"), F.sum("pages").alias("pages"), F.sum("ruled").alias("ruled"), F.sum("blocked").alias("blocked")).first()
+    if not total.ruled or total.blocked in (0, total.ruled):
         only = "block" if total.blocked else "allow"
         return named.select(*result, F.coalesce("_rule.action", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("block_score"))
 
-    mean = total.blocked / total.n
-    statistics = suffixes.select("suffix", (F.col("n") / total.n).alias("suffix_share"), ((F.col("blocked") + 10 * mean) / (F.col("n") + 10)).alias("suffix_block_rate"))
-    with_suffix = lambda rows: rows.join(F.broadcast(statistics), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_block_rate": mean})
+    mean = total.blocked / total.ruled
+    statistics = suffixes.select("suffix", (F.col("pages") / total.pages).alias("suffix_share"), ((F.col("blocked") + 10 * mean) / (F.col("ruled") + 10)).alias("suffix_block_rate"))
+    statistics = F.broadcast(statistics) if total.suffixes <= BROADCAST_SUFFIXES else statistics
+    with_suffix = lambda rows: rows.join(statistics, "suffix")
+    labelled = named.where("_rule is not null").select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(max_labelled)
+    labelled = labelled.withColumn("host", host_of()).withColumn("path", path_of())
+    labelled = labelled.withColumn("label", (rule_of(F.col("host"), F.col("path"), rules)["action"] == "block").cast("double"))
+    labelled = written(lexical(labelled), "labelled")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trainer = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32)
     model = trainer.fit(assembler.transform(with_suffix(labelled)).select("features", "label"))

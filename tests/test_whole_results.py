@@ -19,3 +19,23 @@ def test_containment_of_every_item_in_every_conversation(spark, tmp_path):
     found = {(r.item_id, r.conv_id, r.contained) for r in texts.containment_grounding(spark, d).collect()}
     third = lambda n: round(n / 3, 6)
     assert found == {(1, 1, 1.0), (1, 41, third(1)), (41, 1, third(1)), (41, 41, 1.0), (199, None, 0.0), (200, None, None), (5000, 1, 0.5)}
+
+
+def test_suffix_statistics_are_those_of_all_pages(spark):
+    from lorespark.llm import url_filter
+
+    urls = ["https://a.org/x"] * 3 + ["https://b.com/de/x"] * 2 + ["https://b.com/x"] * 5 + ["https://c.net/x"] * 10
+    named = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("host", url_filter.host_of()).withColumn("path", url_filter.path_of())
+    counts = url_filter.suffix_counts(named.withColumn("_rule", url_filter.rule_of(named.host, named.path)))
+    assert {tuple(r) for r in counts.select("suffix", "pages", "ruled", "blocked").collect()} == {("org", 3, 3, 0), ("com", 7, 2, 2), ("net", 10, 0, 0)}
+
+
+def test_url_sample_is_of_distinct_urls(spark):
+    from lorespark.llm import url_filter
+
+    rules = (("allow", "good.com", "/"), ("block", "bad-bad.com", "/"))
+    hosts = {"good.com": 0, "bad-bad.com": 1, "oood.com": 2, "baa-bad.com": 3}
+    urls = [f"https://{h}/p{i}" for h in hosts for i in range(6)]
+    pages = spark.createDataFrame([(n * 100 + c, u) for n, u in enumerate(urls) for c in range(20)], "page_id long, url string")
+    found = url_filter.judged(pages, rules, max_labelled=12).where("rule is null").select("host", "verdict").distinct()
+    assert {tuple(r) for r in found.collect()} == {("oood.com", "allow"), ("baa-bad.com", "block")}
