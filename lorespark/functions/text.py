@@ -78,7 +78,7 @@ def time_ago(then_ms: Column, now_ms: Column) -> Column:
         .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("분 전")))
         .when(hours < 24, F.concat(hours.cast("string"), F.lit("시간 전")))
         .when(days < 30, F.concat(days.cast("string"), F.lit("일 전")))
-        .otherwise(F.date_format(F.timestamp_millis(then_ms), "yyyy. MM. dd."))
+        .otherwise(F.date_format(F.timestamp_millis(then_ms), "yyyy. MM. dd"))
     )
     return F.when(F.coalesce(then_ms, F.lit(0)) != 0, label)
 

@@ -231,10 +231,10 @@ def secret_guard(spark, d):
 
 
 def time_ago(spark, d):
-    """Age of each order at the end of the year of the last one, in words' units."""
+    """Age of each order an hour after the last one, in words' units; a date where it is over 30 days."""
     orders = read_table(spark, d, "orders").select(F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
     now = orders.agg((F.max("ms") + 3_600_000).alias("now"))  # one row
-    return orders.crossJoin(F.broadcast(now)).where("now - ms < 30 * 86400000L").groupBy(t.time_ago(F.col("ms"), F.col("now")).alias("age")).agg(F.count("*").alias("orders"))
+    return orders.crossJoin(F.broadcast(now)).groupBy(t.time_ago(F.col("ms"), F.col("now")).alias("age")).agg(F.count("*").alias("orders"))
 
 
 QUERIES = {

@@ -39,3 +39,10 @@ def test_url_sample_is_of_distinct_urls(spark):
     pages = spark.createDataFrame([(n * 100 + c, u) for n, u in enumerate(urls) for c in range(20)], "page_id long, url string")
     found = url_filter.judged(pages, rules, max_labelled=12).where("rule is null").select("host", "verdict").distinct()
     assert {tuple(r) for r in found.collect()} == {("oood.com", "allow"), ("baa-bad.com", "block")}
+
+
+def test_orders_beyond_30_days_are_counted_by_date(spark, tmp_path):
+    dates = "(DATE '2020-03-31'), ('2020-03-31'), ('2020-03-30'), ('2020-03-02'), ('2020-03-01'), ('2019-12-31'), ('2019-12-31')"
+    d = saved(tmp_path, orders=f"SELECT row_number() OVER () AS o_orderkey, o_orderdate::TIMESTAMP AS o_orderdate FROM (VALUES {dates}) t(o_orderdate)")
+    found = {tuple(r) for r in texts.time_ago(spark, d).collect()}
+    assert found == {("1시간 전", 2), ("1일 전", 1), ("29일 전", 1), ("2020. 03. 01", 1), ("2019. 12. 31", 2)}
