@@ -133,7 +133,7 @@ def text_quality(spark, d):
 
 
 def lexicon_counts(spark, d):
-    return c.lexicon(lines(spark, d)).where("n >= 20")
+    return c.lexicon(lines(spark, d))
 
 
 def cleanup_log_counts(spark, d):

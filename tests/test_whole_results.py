@@ -46,3 +46,8 @@ def test_orders_beyond_30_days_are_counted_by_date(spark, tmp_path):
     d = saved(tmp_path, orders=f"SELECT row_number() OVER () AS o_orderkey, o_orderdate::TIMESTAMP AS o_orderdate FROM (VALUES {dates}) t(o_orderdate)")
     found = {tuple(r) for r in texts.time_ago(spark, d).collect()}
     assert found == {("1시간 전", 2), ("1일 전", 1), ("29일 전", 1), ("2020. 03. 01", 1), ("2019. 12. 31", 2)}
+
+
+def test_rare_stems_are_in_the_lexicon(spark, tmp_path):
+    d = saved(tmp_path, documents="SELECT 1::BIGINT AS doc_id, 'once (twice,' || chr(10) || 'twice ' || repeat('often ', 20) AS text, 'en' AS lang, 's' AS source")
+    assert {tuple(r) for r in texts.lexicon_counts(spark, d).collect()} == {("once", 1), ("twice", 2), ("often", 20)}
