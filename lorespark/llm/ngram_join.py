@@ -241,8 +241,14 @@ def similar_documents(
 
 
 def one_of_each_class(documents: DataFrame, **options) -> DataFrame:
-    """The documents that bear their class's least doc_id, once each; rows without an id are kept as they are."""
-    known = documents.where("doc_id is not null")
-    best = similar_documents(known, **options).where("doc_id = class_id").select("doc_id").distinct()
-    kept = known.join(best, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"])
-    return kept.union(documents.where("doc_id is null"))
+    """One row of each class: the one with the least id, and of those the one with the least hash of the text.
+
+    Rows are told apart by id and text, so rows that share an id, or have none, are separate documents here too. Rows
+    without an id go through the same join; one of them stays in each class, whether or not a row with an id does.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"))
+    keyed = documents.withColumn("_key", key)
+    found = similar_documents(keyed.select("_key", "text"), id_column="_key", **options)
+    best = found.groupBy("class_id", "doc_id.unnamed").agg(F.min("doc_id").alias("_best")).select("_best")
+    kept = keyed.join(best, F.col("_key").eqNullSafe(F.col("_best")), "left_semi").dropDuplicates(["_key"])
+    return kept.select(*documents.columns)

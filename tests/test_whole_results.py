@@ -51,3 +51,14 @@ def test_orders_beyond_30_days_are_counted_by_date(spark, tmp_path):
 def test_rare_stems_are_in_the_lexicon(spark, tmp_path):
     d = saved(tmp_path, documents="SELECT 1::BIGINT AS doc_id, 'once (twice,' || chr(10) || 'twice ' || repeat('often ', 20) AS text, 'en' AS lang, 's' AS source")
     assert {tuple(r) for r in texts.lexicon_counts(spark, d).collect()} == {("once", 1), ("twice", 2), ("often", 20)}
+
+
+def test_one_row_of_each_class_where_ids_are_shared_or_null(spark):
+    from lorespark.llm import ngram_join
+
+    a, b, c = (" ".join(f"{word}{i}" for i in range(60)) for word in "abc")
+    rows = [(1, a), (1, b), (2, b + " end"), (3, a), (1, a), (None, c), (None, c + " end"), (None, c), (None, a + " end")]
+    kept = ngram_join.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = [tuple(r) for r in kept if r.doc_id is not None]
+    assert sorted(named) == [(1, a), (1, b)]
+    assert sorted(r.text[0] for r in kept if r.doc_id is None) == ["a", "c"]
