@@ -118,8 +118,12 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE
     rows = written(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     blocks = _packed(rows, BLOCK_ROWS, scale).select("dim", F.col("pack").alias("block"), F.col("ids").alias("block_ids"), F.col("matrix").alias("block_matrix"))
     packs = _packed(rows.where(is_query), PACK_ROWS, scale)
-    # Each pack is a few dozen KB; it is sent to every block of its dimension.
-    met = blocks.join(packs, "dim").repartition(F.col("block"), F.col("pack"))
+    # Each pack is a few dozen KB; it is sent to every block of its dimension. A length alone would be one key for the whole
+    # table, so blocks are dealt to about as many buckets as there are blocks, and each pack goes once to each bucket.
+    buckets = rows.count() // BLOCK_ROWS + 1
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
+    packs = packs.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    met = blocks.join(packs, ["dim", "bucket"]).repartition(F.col("block"), F.col("pack"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

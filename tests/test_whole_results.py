@@ -62,3 +62,17 @@ def test_one_row_of_each_class_where_ids_are_shared_or_null(spark):
     named = [tuple(r) for r in kept if r.doc_id is not None]
     assert sorted(named) == [(1, a), (1, b)]
     assert sorted(r.text[0] for r in kept if r.doc_id is None) == ["a", "c"]
+
+
+def test_packs_meet_blocks_by_bucket(spark, monkeypatch):
+    from lorespark.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(topk, "PACK_ROWS", 3)
+    vectors = {i: [float((i * 7) % 11 - 5), float((i * 5) % 13 - 6)] for i in range(100)}
+    found = topk.top_k(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), topk.F.col("vec_id") % 20 == 0, k=5, scale=1)
+    score = lambda a, b: int(sum(x * y for x, y in zip(vectors[a], vectors[b], strict=True)))
+    wanted = {(q, n + 1, b, score(q, b)) for q in range(0, 100, 20) for n, b in enumerate(sorted(set(vectors) - {q}, key=lambda b: (-score(q, b), b))[:5])}
+    assert {tuple(r) for r in found.collect()} == wanted
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and all("bucket" in line for line in joins)
