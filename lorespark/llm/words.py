@@ -1,99 +1,121 @@
-"""Vectorised word hashing over Arrow text columns.
+"""Words of Arrow text columns, and hashes of words and of runs of words.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D, so no UTF-8 character is ever split. Word and
-word-run hashes are polynomials modulo 2**64 with an odd base, taken from prefix sums, then mixed. Runs of different
-length use the same formula, so callers that mix lengths fold the length in.
+A word is a maximal run of bytes other than space and 0x09-0x0D, so no UTF-8 character is ever split. A word has a BLAKE2b
+digest of 128 bits, whose first half is its hash. Hashes of runs are built by doubling, every step mixed by a bijection that
+is not linear, so that no pattern of repeated words cancels out. Run hashes choose candidates and stand for shingles;
+where words are removed or copies are told apart, digests or the words themselves decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-MASK = (1 << 64) - 1
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xD6E8FEB86659FD93
 SLICE_BYTES = 4 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: dict[int, np.ndarray] = {}
+_HELD: dict[str, object] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        size = max(n, 1 << 16)
-        factors = np.full(size, base & MASK, np.uint64)
-        factors[0] = 1
-        known = np.cumprod(factors, dtype=np.uint64)
-        if size <= 8 << 20:
-            _POWERS[base] = known
-    return known[:n]
+def held(name: str, make: Callable[[], object]) -> object:
+    """This worker's one large helper: another name releases the helper before it, so that stages don't add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def digest(data: bytes) -> bytes:
+    """Sixteen bytes that stand for the data."""
+    return blake2b(data, digest_size=16).digest()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """The hash of values[starts[i]:ends[i]] for every i, before mixing."""
-    n = len(values)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(base, n), out=prefix[1:])
-    return (prefix[ends] - prefix[starts]) * powers(pow(base, -1, 1 << 64), n + 1)[starts]
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of hashes[i:i+size] for every i that has so many."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, width, level = None, 0, 1, hashes
+    while True:
+        if size & width:
+            part = level[done : done + n]
+            out = mix(part) if out is None else mix(out + part)
+            done += width
+        if done == size:
+            return out
+        level = mix(mix(level[:-width]) + level[width:])
+        width *= 2
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts (null: none), the number of every word in that list, and the texts' bounds in it.
+
+    lower: whether letters of ASCII are put in lower case.
+    """
+    data, offsets = text_bytes(texts)
+    raw = data.tobytes()
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw.lower() if lower else raw)])
+    lists = pc.ascii_split_whitespace(whole.view(pa.large_string()))
+    flat = lists.flatten()
+    inside = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    if not inside.all():  # white space at a text's ends
+        bounds = np.concatenate(([0], np.cumsum(inside)))[bounds]
+        flat = flat.filter(pa.array(inside))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), bounds.astype(np.int64)
+
+
+def gathered(cells: list[bytes], kind: str, index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of the cells of words ``index``, one after the other, and the texts' bounds in them.
+
+    cells: per distinct word, items of the numpy type ``kind``; index, bounds: as :func:`split_words` gives them.
+    """
+    items = np.frombuffer(b"".join(cells), kind)
+    sizes = np.array([len(c) for c in cells], np.int64) // items.dtype.itemsize
+    counts = sizes[index]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    places = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], counts)
+    return items[places], ends[bounds]
 
 
 class Words:
-    """Words of some texts: hash, byte range, and the range of words of each text."""
+    """Words of some texts: digests (16 bytes in two columns), hashes (the first of them), and the words' range of each
+    text."""
 
-    __slots__ = ("data", "starts", "ends", "hashes", "first")
+    __slots__ = ("digests", "first", "distinct", "index")
 
     def __init__(self, texts: pa.Array):
-        data, offsets = text_bytes(texts)
-        self.data = data
-        space = _SPACE[data]
-        inside = ~space
-        begins = inside.copy()
-        begins[1:] &= space[:-1]
-        # A text begins a new word even where the text before it ends without white space.
-        cuts = offsets[:-1][(offsets[:-1] < len(data))]
-        begins[cuts] = inside[cuts]
-        finishes = inside.copy()
-        finishes[:-1] &= space[1:]
-        lasts = offsets[1:][offsets[1:] > 0] - 1
-        finishes[lasts] = inside[lasts]
-        self.starts = np.flatnonzero(begins)
-        self.ends = np.flatnonzero(finishes) + 1
-        self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        out = np.empty(len(self.starts), np.uint64)
-        at = 0
-        while at < len(out):
-            base = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, base + SLICE_BYTES, side="right")))
-            values = _BYTE_VALUE[self.data[base : self.ends[to - 1]]]
-            out[at:to] = run_hashes(values, self.starts[at:to] - base, self.ends[at:to] - base, BYTE_BASE)
-            at = to
-        return mix(out)
+        self.distinct, self.index, self.first = split_words(texts)
+        found = np.frombuffer(b"".join(map(digest, self.distinct)), "<u8").reshape(-1, 2)
+        self.digests = found[self.index]
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return np.ascontiguousarray(self.digests[:, 0])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of every run of ``size`` words that lies in one text, and the first such run of each text."""
+        """The first word of every run of ``size`` words that lies in one text, and the first such run of each text."""
         counts = np.maximum(np.diff(self.first) - size + 1, 0)
         first = np.concatenate(([0], np.cumsum(counts)))
-        starts = np.arange(first[-1]) + np.repeat(self.first[:-1] - first[:-1], counts)
-        return mix(run_hashes(self.hashes, starts, starts + size, WORD_BASE)), first
+        return np.arange(first[-1]) + np.repeat(self.first[:-1] - first[:-1], counts), first
+
+    def digest(self, begin: int, end: int) -> bytes:
+        """Sixteen bytes that stand for the words from ``begin`` to ``end``, by their digests."""
+        return digest(self.digests[begin:end].tobytes())
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
