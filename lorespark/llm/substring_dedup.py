@@ -1,41 +1,51 @@
-"""Substring deduplication by relative Lempel-Ziv factors against an index of all documents.
+"""Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
 
 Only windows of ``size`` consecutive words matter: a word goes when some window that covers it also starts in a
 document with a smaller id. The documents are their own reference:
 
-1. *Parsing.* Each text is cut into phrases by content: every window belongs to the least hash of the ``SEED``-word
-   runs in it, and a phrase is a maximal row of windows with the same seed. Equal windows have equal seeds, so whatever
-   repeats in another document is indexed there under the same seed; the index is partitioned into blocks by seed.
-2. *Whole factors.* A phrase that occurs, word for word, in a smaller document is one factor, all of it duplicate.
-3. *Factor boundaries.* Where phrases of one seed differ, a match ends inside: the windows of each differing phrase,
-   read from its first document, are looked up one by one. Phrases whose seed no other document has need no look-up.
-4. Duplicate windows of a document are merged into spans and their words removed.
-
-All look-ups are ``groupBy`` and join on hashes (seed and phrase or window together 128 bits), so frequent passages are
-pre-aggregated and never gathered, and no pair of documents is formed. Windows are judged on the input. Null texts have
-no words; rows with the same id are parts of one document id and never duplicate each other; a null id ranks before
-all others. Extra columns are ignored.
+1. *Phrases.* Each text is cut by content: every window belongs to the least hash of the ``SEED``-word runs in it, its
+   seed, and a phrase is a maximal row of windows with the same seed. Equal windows have equal seeds, so whatever
+   repeats in another document stands there under the same seed, and a reference block is made of the phrases of some
+   seeds. A phrase is named by a 128-bit digest of its words; its reference is the least document that has it.
+2. *Whole factors.* A phrase that a smaller document has, word for word, is one factor there, all of it duplicate.
+3. *Parsing.* Where phrases of one seed differ, their words are read from their first documents and dealt to the
+   reference blocks by seed. A task goes through a seed's phrases in the order of their documents and parses each one
+   greedily against those of smaller documents: an index of windows gives the place where a factor begins, the factor
+   is extended word by word as far as both agree, and parsing goes on at the factor's end. Windows that straddle the
+   end of a factor are looked up one by one, as they may lie in another reference. The words are compared themselves.
+4. *Hot seeds.* Seeds whose different phrases have more than ``HOT`` windows (a passage in very many contexts) would make
+   one task's block too large. Their windows are blocks of their own: each is named by a digest of its words and its least
+   document found by a pre-aggregated ``groupBy``.
+5. Duplicate windows of a document are merged into spans and their words removed.
+
+No pair of documents is formed. Windows are judged on the input. Null texts have no words; rows with the same id are
+parts of one document id and never duplicate each other (the number of intermediate rows stays in proportion to them);
+a null id ranks before all others. Very long texts are read whole; empty tables give empty results. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.scratch import written
-from lorespark.llm.words import WORD_BASE, Words, mix, run_hashes, slices
-from lorespark.session import ship_package
+from lorespark.llm.scratch import Workspace, prepare, text_version
+from lorespark.llm.words import Words, digest, run_hashes, slices
 
 SIZE = 50
 SEED = 8
-PHRASE_BASE = 0xA0761D6478BD642F
 #: A phrase is cut after so many windows, so that repetitive texts keep phrases short.
 LONGEST = 256
+#: Windows of one seed's different phrases up to which they are parsed in one task (a few hundred bytes each).
+HOT = 1 << 16
+#: Windows of more bytes stand in the index by their digest.
+LONG_WINDOW = 1000
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -47,36 +57,50 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - reach)], out[width - reach :]) if width > reach else out
 
 
-def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first word of every window, and the first window of every text."""
-    counts = np.maximum(np.diff(words.first) - size + 1, 0)
-    first = np.concatenate(([0], np.cumsum(counts)))
-    return np.arange(first[-1]) + np.repeat(words.first[:-1] - first[:-1], counts), first
-
-
-def parse(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The phrases of some texts: text, first word within it, number of windows, seed, hash."""
-    starts, first = _windows(words, size)
+def phrases_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of some texts: text, first word among all words, number of windows, seed."""
+    starts, first = words.windows(size)
     empty = np.zeros(0, np.int64)
     if not len(starts):
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty
     seeds = min(SEED, size)
-    runs = np.arange(len(words.hashes) - seeds + 1)
-    least = _sliding_min(mix(run_hashes(words.hashes, runs, runs + seeds, WORD_BASE)), size - seeds + 1)[starts]
+    least = _sliding_min(run_hashes(words.hashes, seeds), size - seeds + 1)[starts]
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     new = np.ones(len(starts), bool)
     new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
     place = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
     at = np.flatnonzero(place % LONGEST == 0)
-    n = np.diff(np.append(at, len(starts)))
-    hashes = mix(run_hashes(words.hashes, starts[at], starts[at] + n + size - 1, PHRASE_BASE) + n.astype(np.uint64))
-    return text[at], starts[at] - words.first[text[at]], n, least[at].view(np.int64), hashes.view(np.int64)
+    return text[at], starts[at], np.diff(np.append(at, len(starts))), least[at].view(np.int64)
+
+
+def factors(phrase: bytes, size: int, index: dict[bytes, tuple[list[bytes], int]]) -> tuple[list[tuple[int, int]], list[tuple[bytes, list[bytes], int]]]:
+    """The factors (first word, number of words) of a phrase against the reference that ``index`` knows by its windows,
+    and the windows that are not in it: (window, words, first word)."""
+    words = phrase.split(b" ")
+    begins = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).tolist()
+    found, own, at = [], [], 0
+    while at + size <= len(words):
+        window = phrase[begins[at] : begins[at + size] - 1]
+        window = window if len(window) <= LONG_WINDOW else digest(window)
+        place = index.get(window)
+        if place is None:
+            own.append((window, words, at))
+            at += 1
+            continue
+        reference, there = place
+        length = size
+        while at + length < len(words) and there + length < len(reference) and words[at + length] == reference[there + length]:
+            length += 1
+        found.append((at, length))
+        # The windows inside the factor are done; the next one straddles its end.
+        at += length - size + 1
+    return found, own
 
 
 def _source(documents: DataFrame, id_column: str, text: str) -> DataFrame:
-    """doc_id, text, and a hash of the text that tells rows with the same id apart."""
-    return documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("version"))
+    """doc_id, text, and a digest of the text that tells rows with the same id apart."""
+    return documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), text_version(text).alias("version"))
 
 
 def _with_lists(source: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
@@ -88,33 +112,86 @@ def _with_lists(source: DataFrame, lists: DataFrame, name: str, how: str) -> Dat
 def _phrases(source: DataFrame, size: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            text, start, n, seed, phrase = parse(Words(batch.column("text")), size)
+            words = Words(batch.column("text"))
+            text, begin, n, seed = phrases_of(words, size)
+            names = [words.digest(a, b) for a, b in zip(begin.tolist(), (begin + n + size - 1).tolist(), strict=True)]
             rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("version").take(rows), *map(pa.array, (seed, phrase)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "version", "seed", "phrase", "start", "n"])
+            start = (begin - words.first[text]).astype(np.int32)
+            arrays = [batch.column("doc_id").take(rows), batch.column("version").take(rows), pa.array(seed), pa.array(names, pa.binary()), pa.array(start), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "version", "seed", "phrase", "start", "n"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(cut, f"doc_id {kind}, version bigint, seed bigint, phrase bigint, start int, n int")
+    return source.mapInArrow(cut, f"doc_id {kind}, version binary, seed bigint, phrase binary, start int, n int")
 
 
-def _boundary_windows(asked: DataFrame, size: int) -> DataFrame:
-    """asked: texts with a list of (seed, start, n). One row for each window of those phrases."""
+def _phrase_words(asked: DataFrame, size: int) -> DataFrame:
+    """asked: texts with a list of (seed, phrase, start, n). A row for each of these phrases: its words, one space apart."""
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = Words(batch.column("text"))
             lists = batch.column("asked")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             flat = lists.flatten()
-            seed, start, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            each = np.repeat(np.arange(len(row)), n)
-            place = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            begins = words.first[row[each]] + place
-            window = mix(run_hashes(words.hashes, begins, begins + size, WORD_BASE)).view(np.int64)
-            rows = pa.array(row[each])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("version").take(rows), pa.array(seed[each]), pa.array(window), pa.array(place.astype(np.int32))], names=["doc_id", "version", "seed", "window", "start"])
+            split = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
+            place = zip(row.tolist(), flat.field(2).to_pylist(), flat.field(3).to_pylist(), strict=True)
+            words = [b" ".join(split[r][start : start + n + size - 1]) for r, start, n in place]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), flat.field(0), flat.field(1), pa.array(words, pa.binary())], names=["doc_id", "seed", "phrase", "words"])
 
     kind = asked.schema["doc_id"].dataType.simpleString()
-    return asked.mapInArrow(look, f"doc_id {kind}, version bigint, seed bigint, window bigint, start int")
+    return asked.mapInArrow(read, f"doc_id {kind}, seed bigint, phrase binary, words binary")
+
+
+def _parsed(blocks: DataFrame, size: int) -> DataFrame:
+    """blocks: doc_id, seed, phrase, words, sorted within each partition. ``seed, phrase, at, n``: n windows from the
+    at-th on lie in a factor."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("seed", "doc_id", "phrase", "words")
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 512) for row in zip(*(batch.column(c).slice(at, 512).to_pylist() for c in columns), strict=True))
+        out: list[tuple] = []
+        for seed, of_seed in groupby(rows, key=lambda r: r[0]):
+            index: dict[bytes, tuple[list[bytes], int]] = {}
+            for _, of_document in groupby(of_seed, key=lambda r: r[1]):
+                learnt, last = [], None
+                for _, _, phrase, words in of_document:
+                    if phrase == last:
+                        continue
+                    last = phrase
+                    found, own = factors(words, size, index)
+                    out += [(seed, phrase, at, length - size + 1) for at, length in found]
+                    learnt += own
+                for window, words, at in learnt:
+                    index.setdefault(window, (words, at))
+            if len(out) > 16384:
+                yield _columns(out)
+                out = []
+        yield _columns(out)
+
+    return blocks.mapInArrow(parse, "seed bigint, phrase binary, at int, n int")
+
+
+def _columns(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"seed": pa.int64(), "phrase": pa.binary(), "at": pa.int32(), "n": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
+
+
+def _single_windows(phrases: DataFrame, size: int) -> DataFrame:
+    """phrases: doc_id, seed, phrase, words. A row for each window: its digest and place in the phrase."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words", 1 << 17):
+            rows, places, windows = [], [], []
+            for k, phrase in enumerate(batch.column("words").to_pylist()):
+                begins = np.concatenate(([0], np.cumsum([len(w) + 1 for w in phrase.split(b" ")]))).tolist()
+                for at in range(len(begins) - size):
+                    rows.append(k)
+                    places.append(at)
+                    windows.append(digest(phrase[begins[at] : begins[at + size] - 1]))
+            chosen = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(chosen) for c in ("doc_id", "seed", "phrase")), pa.array(windows, pa.binary()), pa.array(places, pa.int32())], names=["doc_id", "seed", "phrase", "window", "at"])
+
+    kind = phrases.schema["doc_id"].dataType.simpleString()
+    return phrases.mapInArrow(look, f"doc_id {kind}, seed bigint, phrase binary, window binary, at int")
 
 
 def _least_and_most() -> list[F.Column]:
@@ -127,35 +204,53 @@ SHARED = "most is not null and (least is null or least < most)"
 LATER = "doc_id is not null and (least is null or least < doc_id)"
 
 
-def duplicate_windows(documents: DataFrame, size: int = SIZE, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_windows(documents: DataFrame, size: int = SIZE, id_column: str = "doc_id", text: str = "text", hot: int = HOT, work: Workspace | None = None) -> DataFrame:
     """``doc_id, version, start, n``: the windows start .. start+n-1 (numbers of their first words) of the text with that
-    hash occur in a smaller document."""
-    ship_package(documents.sparkSession)
+    digest occur in a smaller document."""
+    spark = documents.sparkSession
+    prepare(spark)
+    work = work or Workspace(spark, "windows")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = _source(documents, id_column, text)
-    phrases = _phrases(source, size)
-    seeds = phrases.groupBy("seed").agg(*_least_and_most()).where(SHARED).select("seed")
-    index = written(phrases.join(seeds, "seed"), "index")
+    phrases = work.write(_phrases(source, size), "phrases")
+    seeds = work.write(phrases.groupBy("seed").agg(*_least_and_most()).where(SHARED).select("seed"), "seeds")
+    index = work.write(phrases.join(seeds, "seed"), "index")
+    work.drop("phrases", "seeds")
 
-    known = written(index.groupBy("seed", "phrase").agg(*_least_and_most()), "known")
-    repeated = known.where(SHARED).select("seed", "phrase", "least")
+    known = work.write(index.groupBy("seed", "phrase").agg(*_least_and_most(), F.max("n").alias("n")), "known")
+    repeated = work.write(known.where(SHARED).select("seed", "phrase", "least"), "repeated")
     whole = index.join(repeated, ["seed", "phrase"]).where(LATER).select("doc_id", "version", "start", "n")
 
-    mixed = known.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed")
-    differing = known.join(mixed, "seed").select("seed", "phrase", F.col("least").alias("_least"))
+    kinds = work.write(known.groupBy("seed").agg(F.count("*").alias("kinds"), F.sum("n").alias("volume")).where("kinds > 1"), "kinds")
+    differing = work.write(known.join(kinds, "seed").select("seed", "phrase", F.col("least").alias("_least")), "differing")
     new_here = (index.seed == differing.seed) & (index.phrase == differing.phrase) & index.doc_id.eqNullSafe(differing["_least"])
-    firsts = index.join(differing, new_here, "left_semi")
-    asked = written(firsts.groupBy("doc_id", "version").agg(F.collect_list(F.struct("seed", "start", "n")).alias("asked")), "asked")
-    windows = written(_boundary_windows(_with_lists(source, asked, "asked", "inner"), size), "windows")
-    again = written(windows.groupBy("seed", "window").agg(*_least_and_most()).where(SHARED).select("seed", "window", "least"), "again")
-    single = windows.join(again, ["seed", "window"]).where(LATER).select("doc_id", "version", "start", F.lit(1).alias("n"))
-    return whole.union(single)
+    # Rows with the same id and text have the same phrases; one of them is enough.
+    firsts = work.write(index.join(differing, new_here, "left_semi").distinct(), "firsts")
+    one_place = firsts.groupBy("seed", "phrase").agg(F.min(F.struct("version", "start", "n", "doc_id")).alias("p"))
+    one_place = one_place.select(F.col("p.doc_id").alias("doc_id"), F.col("p.version").alias("version"), F.struct("seed", "phrase", "p.start", "p.n").alias("ask"))
+    asked = work.write(one_place.groupBy("doc_id", "version").agg(F.collect_list("ask").alias("asked")), "asked")
+    texts = work.write(_phrase_words(_with_lists(source, asked, "asked", "inner"), size), "texts")
+
+    split = texts.join(kinds, "seed")
+    ordered = split.where(F.col("volume") <= hot).select("doc_id", "seed", "phrase", "words").repartition(parts, "seed")
+    parsed = _parsed(ordered.sortWithinPartitions("seed", F.col("doc_id").asc_nulls_first(), "phrase"), size)
+
+    windows = work.write(_single_windows(split.where(F.col("volume") > hot).select("doc_id", "seed", "phrase", "words").distinct(), size), "windows")
+    again = work.write(windows.groupBy("window").agg(*_least_and_most()).where(SHARED).select("window", "least"), "again")
+    single = windows.join(again, "window").where(LATER).select("seed", "phrase", "at", F.lit(1).alias("n"))
+
+    found = work.write(parsed.union(single), "found").withColumnRenamed("n", "found_n")
+    inside = firsts.join(found, ["seed", "phrase"]).select("doc_id", "version", (F.col("start") + F.col("at")).alias("start"), F.col("found_n").alias("n"))
+    return whole.union(inside)
 
 
-def remove_duplicates(documents: DataFrame, size: int = SIZE, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_duplicates(documents: DataFrame, size: int = SIZE, id_column: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_removed, kept_sha256, kept`` (the words left, joined by one space)."""
+    work = Workspace(documents.sparkSession, "substrings")
     source = _source(documents, id_column, text)
-    spans = duplicate_windows(documents, size, id_column, text)
-    lists = written(spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    spans = duplicate_windows(documents, size, id_column, text, hot, work).distinct()
+    lists = work.write(spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    work.drop("index", "known", "repeated", "kinds", "differing", "firsts", "asked", "texts", "windows", "again", "found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
