@@ -21,23 +21,22 @@ an empty store. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.scratch import new_path
-from lorespark.llm.words import slices
-from lorespark.session import ship_package
+from lorespark.llm.scratch import Workspace, prepare
+from lorespark.llm.words import gathered, held, slices, split_words
 
 END_ID = 2
 #: The dictionary is trained on so many documents at most (least hash of the id first), so many ids of each.
@@ -58,15 +57,19 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Letters of ASCII and Latin-1, in lower case as far as ASCII goes, and marks that follow them at a piece's end.
-TRIM = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]+)")
+#: Letters of ASCII and Latin-1, in lower case as far as ASCII goes, and marks that may follow them at a piece's end.
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)))
+MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: Words encoded in one call.
+TOGETHER = 4096
 
 
 class Encoder:
     """The library's ids of texts, with the ids of white-space pieces kept.
 
     Where the tokenizer lower-cases, ASCII is lower-cased before pieces are looked up; where its splitter parts letters
-    from marks (tried at the start), a word and the marks after it are kept apart. Both only save repeated encoding.
+    from marks (tried at the start), a word and the marks after it are kept apart; where its words end in a token with a
+    suffix of its own, new words are encoded in one text and told apart by that suffix. All this only saves calls.
     """
 
     def __init__(self, path: str):
@@ -78,45 +81,72 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.form = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = struct.calcsize(f"<{self.form}")
-        self.marks = {t.content[:1].encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.marks = {t.content[:1] for t in self.tokenizer.get_added_tokens_decoder().values()}
         normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.folds = normalizer is not None and normalizer.normalize_str("AZ") == "az"
-        self.trims = self.folds and splitter is not None and [w for w, _ in splitter.pre_tokenize_str("ab.!")] == ["ab", ".!"] and b"<" in self.marks
+        self.trims = self.folds and splitter is not None and [w for w, _ in splitter.pre_tokenize_str("ab.!")] == ["ab", ".!"] and "<" in self.marks
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix and self.trims:
+            self.ends[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.pieces: dict[bytes, bytes] = {}
 
-    def _split(self, text: str | None) -> list[bytes]:
-        data = (text or "").encode()
-        # Lower case might make a special token of what is none.
-        return (data.lower() if self.folds and not any(m in data for m in self.marks) else data).split()
+    def _each(self, pieces: list[bytes]) -> Iterator[bytes]:
+        for found in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False):
+            yield struct.pack(f"<{len(ids := found.ids)}{self.form}", *ids)
+
+    def _together(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of words of letters, encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+        if len(stops) != len(words):
+            yield from self._each(words)
+            return
+        raw, at = ids.tobytes(), 0
+        for stop in stops.tolist():
+            yield raw[at:stop]
+            at = stop
 
     def _learn(self, new: set[bytes]) -> None:
-        parts = {p: m.groups() for p in new if (m := TRIM.fullmatch(p))} if self.trims else {}
-        listed = list({x for pair in parts.values() for x in pair if x not in self.pieces} | (new - parts.keys()))
-        for at in range(0, len(listed), 4096):
-            some = listed[at : at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self.pieces[piece] = struct.pack(f"<{len(ids := found.ids)}{self.form}", *ids)
-        for piece, (word, tail) in parts.items():
-            self.pieces[piece] = self.pieces[word] + self.pieces[tail]
-
-    def encode(self, texts: list[str | None], end: int | None) -> Iterator[bytes]:
+        apart, words, others = {}, set(), []
+        for piece in new:
+            word = piece.rstrip(MARKS) if self.trims else b""
+            if word and LETTERS.issuperset(word.decode()):
+                words.add(word)
+                if len(word) < len(piece):
+                    apart[piece] = word
+            else:
+                others.append(piece)
+        plain = [w for w in words if w not in self.pieces]
+        others += {piece[len(word) :] for piece, word in apart.items()} - self.pieces.keys()
+        for listed, encode in ((plain, self._together if self.ends.any() else self._each), (others, self._each)):
+            for at in range(0, len(listed), TOGETHER):
+                some = listed[at : at + TOGETHER]
+                self.pieces.update(zip(some, encode(some), strict=True))
+        for piece, word in apart.items():
+            self.pieces[piece] = self.pieces[word] + self.pieces[piece[len(word) :]]
+
+    def encode(self, texts: pa.Array, end: int | None) -> Iterator[bytes]:
         """The ids of each text as little-endian items of ``width`` bytes, the end id last."""
-        split = [self._split(t) for t in texts]
-        wanted = set().union(*split) if split else set()
-        new = wanted - self.pieces.keys()
+        tail = b"" if end is None else struct.pack(f"<{self.form}", end)
+        # Lower case might make a special token of what is none.
+        lower = self.folds and not any(pc.any(pc.match_substring(texts, mark)).as_py() for mark in self.marks)
+        pieces, index, bounds = split_words(texts, lower)
+        new = {p for p in pieces if p not in self.pieces}
         if len(self.pieces) + len(new) > KEEP:
             self.pieces.clear()
-            new = wanted
+            new = set(pieces)
         self._learn(new)
-        tail = b"" if end is None else struct.pack(f"<{self.form}", end)
-        find = self.pieces.__getitem__
-        for pieces in split:
-            yield b"".join(map(find, pieces)) + tail
+        cells = [self.pieces[p] for p in pieces]
+        ids, bounds = gathered(cells, f"<u{self.width}", index, bounds)
+        bounds = bounds.tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield ids[a:b].tobytes() + tail
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(f"token_store:{path}", lambda: Encoder(path))
 
 
 def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -131,7 +161,7 @@ def train_dictionary(source: DataFrame, path: str, end: int | None) -> bytes:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             coder = encoder(path)
-            ids = [i[: TRAINED_IDS * coder.width] for i in coder.encode(batch.column("text").to_pylist(), end)]
+            ids = [i[: TRAINED_IDS * coder.width] for i in coder.encode(batch.column("text"), end)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     rows = texts.mapInArrow(encode, "doc_id string, ids binary").orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(TRAINED_ON).collect()
@@ -173,7 +203,7 @@ class Shard:
 def write_store(documents: DataFrame, folder: str, path: str | None = None, end: int | None = END_ID, id_column: str = "doc_id", text: str = "text") -> None:
     """Encode the documents and write the store (see the module docstring)."""
     spark = documents.sparkSession
-    ship_package(spark)
+    prepare(spark)
     where = path or default_path()
     source = documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     content = train_dictionary(source, where, end)
@@ -181,7 +211,9 @@ def write_store(documents: DataFrame, folder: str, path: str | None = None, end:
     spark.createDataFrame([(bytearray(key), bytearray(content))], "hash binary, content binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     shared = spark.sparkContext.broadcast(content)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The text's beginning lets Spark split rows that share an id, or have none, among several ranges.
+    places = F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first()
+    ordered = source.repartitionByRange(parts, *places).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     id_type = pa.list_(pa.field("element", _arrow_type(source)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +228,7 @@ def write_store(documents: DataFrame, folder: str, path: str | None = None, end:
             return pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "n_tokens", "doc_ids", "shard"])
 
         for batch in slices(batches, "text"):
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist(), end), strict=True):
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"), end), strict=True):
                 frames.append(writer.compress(raw))
                 counts.append(len(raw) // coder.width)
                 ids.append(doc_id)
@@ -227,7 +259,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     ``start`` counts the ids of all documents before; ids are little-endian 32-bit integers in a binary cell.
     """
-    ship_package(spark)
+    prepare(spark)
     dictionary = spark.sparkContext.broadcast(_dictionary_of(spark, folder))
     shards = spark.read.parquet(f"{folder}/shards")
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
@@ -252,7 +284,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, folder: str, doc_ids: list) -> DataFrame:
     """``doc_id, ids`` of a few documents: only shards that list them are opened, only their frames decompressed."""
-    ship_package(spark)
+    prepare(spark)
     dictionary = spark.sparkContext.broadcast(_dictionary_of(spark, folder))
     shards = spark.read.parquet(f"{folder}/shards").select("doc_ids", "shard")
     kind = shards.schema["doc_ids"].dataType.elementType
@@ -272,6 +304,6 @@ def read_documents(spark: SparkSession, folder: str, doc_ids: list) -> DataFrame
 def op3(documents: DataFrame) -> DataFrame:
     """Write a store of all documents in the shared folder and report what its files hold."""
     spark = documents.sparkSession
-    folder = new_path(spark, "tokens")
+    folder = Workspace(spark, "tokens").path("store")
     write_store(documents, folder)
     return read_store(spark, folder).drop("ids")
