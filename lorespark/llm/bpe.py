@@ -7,7 +7,8 @@ is left before it, so a prefix shared by many words is encoded once, and a word'
 
 Whole texts are encoded; null counts as empty. A text is cut at ASCII white space, which no token and no word of the
 splitter crosses, so that a piece's ids can be kept while a task goes through its texts. Repeated rows give repeated
-results; extra columns are kept by :func:`encoded`.
+results; extra columns are kept by :func:`encoded`. The walk is made for one kind of file (:data:`FORM`); texts of any
+other file are encoded and decoded by the library itself.
 """
 
 from __future__ import annotations
@@ -19,18 +20,33 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lorespark.llm.words import slices
-from lorespark.session import ship_package
+from lorespark.llm.scratch import prepare
+from lorespark.llm.words import gathered, held, slices, split_words
 
 #: Pieces kept per Python worker; the store is emptied when it is full, which changes nothing but speed.
-KEEP = 400_000
+KEEP = 300_000
+#: Answers about pairs of tokens kept per worker, emptied likewise.
+KEEP_PAIRS = 400_000
+#: The kind of tokenizer file that the walk is made for. Fixed values of the file's format.
+FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False},
+}
 
 
 def default_path() -> str:
@@ -49,7 +65,7 @@ class TrieEncoder:
         self.rank = {pair: k for k, pair in enumerate(pairs)}
         self.endings = {token[k:] for token in vocabulary for k in range(len(token))}
         self.possible: dict[str, bool] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[int, bool] = {}
 
     def symbols(self, word: str) -> list[str]:
         return [*word[:-1], word[-1] + self.suffix]
@@ -78,11 +94,12 @@ class TrieEncoder:
 
     def may_follow(self, a: str, b: str) -> bool:
         """Whether the letters of two tokens merge into just these two."""
-        known = self.follows.get((a, b))
+        pair = self.ids[a] << 32 | self.ids[b]
+        known = self.follows.get(pair)
         if known is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) >= KEEP_PAIRS:
                 self.follows.clear()
-            known = self.follows[a, b] = self.merge([*self._letters(a), *self._letters(b)]) == [a, b]
+            known = self.follows[pair] = self.merge([*self._letters(a), *self._letters(b)]) == [a, b]
         return known
 
     def _last(self, path: list[str], last: list[str]) -> str:
@@ -152,22 +169,38 @@ LATIN = _latin_splitter()
 NOT_LATIN = re.compile("[^\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]|<\\|")
 
 
+def is_walkable(config: dict) -> bool:
+    """Whether a tokenizer file is of the kind that the walk is made for."""
+    model = {key: config["model"].get(key) for key in FORM["model"]}
+    specials = all(t["content"].startswith("<|") and not t["normalized"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in config["added_tokens"])
+    return specials and model == FORM["model"] and all(config.get(key) == FORM[key] for key in ("normalizer", "pre_tokenizer", "decoder"))
+
+
+class LibraryEncoder:
+    """Encodes and decodes whole texts by the library."""
+
+    def __init__(self, library):
+        self.library = library
+        library.no_padding()
+        library.no_truncation()
+
+    def encode(self, texts: pa.Array) -> tuple[list[bytes], list[str]]:
+        ids = [e.ids for e in self.library.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return [struct.pack(f"<{len(i)}I", *i) for i in ids], [self.library.decode(i, skip_special_tokens=False) for i in ids]
+
+
 class PieceEncoder:
     """Ids of white-space pieces, kept while they are of use."""
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            config = json.load(f)
+    def __init__(self, library, config: dict):
         model = config["model"]
-        self.library = Tokenizer.from_file(path)
-        self.trie = TrieEncoder(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
+        self.library = library
+        self.trie = TrieEncoder(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.specials = {t["content"]: t["id"] for t in config["added_tokens"]}
-        self.tokens = np.empty(max([*model["vocab"].values(), *self.specials.values()]) + 1, object)
+        tokens = [""] * (max([*model["vocab"].values(), *self.specials.values()]) + 1)
         for token, number in [*model["vocab"].items(), *self.specials.items()]:
-            self.tokens[number] = token
+            tokens[number] = token
+        self.tokens = pa.array(tokens, pa.string())
         self.pieces: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -181,11 +214,9 @@ class PieceEncoder:
                 return [*self._split(head), special, *self._split(tail)]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
-    def learn(self, pieces: set[bytes]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Encode the pieces that are not known yet."""
-        new = pieces - self.pieces.keys()
-        if not new:
-            return
+        new = [p for p in pieces if p not in self.pieces]
         if len(self.pieces) + len(new) > KEEP:
             self.pieces.clear()
             self.words.clear()
@@ -201,22 +232,29 @@ class PieceEncoder:
         for piece, words in split.items():
             self.pieces[piece] = b"".join([known[w] for w in words])
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text, little-endian in 32 bits each."""
-        split = [(t or "").encode().split() for t in texts]
-        self.learn(set().union(*split) if split else set())
-        find = self.pieces.__getitem__
-        for pieces in split:
-            yield b"".join(map(find, pieces))
+    def encode(self, texts: pa.Array) -> tuple[list[bytes], pa.Array]:
+        """The ids of each text, little-endian in 32 bits each, and the text they are decoded to: as the file has no
+        decoder, the tokens, word-end marks included, joined by a space."""
+        pieces, index, bounds = split_words(texts)
+        self.learn(pieces)
+        ids, bounds = gathered([self.pieces[p] for p in pieces], "<u4", index, bounds)
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), self.tokens.take(pa.array(ids)))
+        ends = bounds.tolist()
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pc.binary_join(lists, " ")
+
+
+def _encoder(path: str) -> PieceEncoder | LibraryEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-    def decode(self, ids: bytes) -> str:
-        """As the file has no decoder: the tokens, word-end marks included, joined by a space."""
-        return " ".join(self.tokens[np.frombuffer(ids, "<u4")].tolist())
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    library = Tokenizer.from_file(path)
+    return PieceEncoder(library, config) if is_walkable(config) else LibraryEncoder(library)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str) -> PieceEncoder | LibraryEncoder:
+    return held(f"bpe:{path}", lambda: _encoder(path))
 
 
 def encoded(documents: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -232,15 +270,16 @@ def digests(documents: DataFrame, path: str | None = None, text: str = "text") -
 
 
 def _mapped(documents: DataFrame, path: str | None, text: str, columns: list[tuple], form) -> DataFrame:
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
     where = path or default_path()
     names = [c[0] for c in columns]
     kept = documents.select(*(documents[f"`{c}`"] for c in documents.columns if c not in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(where)
-        for batch in slices(batches, text):
-            rows = [form(ids, coder.decode(ids)) for ids in coder.encode(batch.column(text).to_pylist())]
+        for batch in slices(batches, text, 2 << 20):
+            ids, decoded = coder.encode(batch.column(text))
+            rows = [form(i, d.as_py() if isinstance(d, pa.Scalar) else d) for i, d in zip(ids, decoded, strict=True)]
             made = [pa.array([r[i] for r in rows], c[2]) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
