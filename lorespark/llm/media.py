@@ -2,20 +2,22 @@
 
 A payload is a text's UTF-8 bytes, zeros appended up to a positive multiple of 64: 8-bit samples. A rolling gear hash of
 the last 32 bytes cuts it into chunks of ``LEAST`` to ``MOST`` bytes, so equal passages give equal chunks wherever they
-stand. The stored form of a payload is its *chunk list*, length and digest of every chunk in order. Chunk bytes are kept
-once in the whole table:
+stand. Chunk bytes are kept once in the whole table:
 
-1. Payloads are named by a digest; equal payloads are one item, kept by the row with the least doc_id.
+1. Payloads are named by a digest of their text; equal payloads are one item, whatever ids their rows have.
 2. Chunk digests of all items are grouped; each has one home, the least item that has it. Joins tell every item which
    of its chunks have their home elsewhere, and which of its own others need.
-3. Items are written as rows of a Parquet table: chunk list, own chunks (one zstandard frame), chunks others need (a
-   frame each). The notes from step 2 reach the texts by broadcast while they are small (``BROADCAST_BYTES``, measured),
-   else by a shuffle join.
+3. Texts, compressed, are dealt by item, repeated ones dropped before the shuffle, and meet their item's notes there.
+   Items are written as rows of a Parquet table: ordered chunk list (length and digest of every chunk), own chunks (one
+   zstandard frame), chunks that others need too (a frame each, by digest). There is one plan for every size.
 4. Reading back, only chunks with their home elsewhere move: they are joined by digest and gathered per item. Every
    chunk is checked against its digest, every payload against its length.
 
-Null texts count as empty. Repeated rows, also with null ids, get equal values. Extra columns are ignored; empty tables
-give empty results.
+The stored form of a payload is what its item's row holds: chunk list, frame of own chunks, frames of needed chunks. A
+chunk that an earlier item holds is counted there only.
+
+Null texts count as empty. Repeated rows, also with null ids, get equal values. Very long texts are cut whole in one
+task. Extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,9 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.scratch import new_path, written
+from lorespark.llm.scratch import Workspace, prepare, text_version
 from lorespark.llm.words import slices
-from lorespark.session import ship_package
 
 UNIT = 64
 LEAST, MOST = 512, 8192
@@ -40,9 +41,8 @@ LEAST, MOST = 512, 8192
 CUT_BITS = np.uint32(0xFFC00000)
 GEAR = np.random.default_rng(20240608).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 DIGEST = 16
-ENTRY = np.dtype([("length", "<u4"), ("digest", f"S{DIGEST}")])
-#: Size of the notes of step 2 up to which they are broadcast.
-BROADCAST_BYTES = 24 << 20
+#: zstandard levels of texts on their way and of chunks that stay.
+PASSING, STAYING = 6, 9
 
 
 def payload_of(text: str | None) -> bytes:
@@ -93,20 +93,20 @@ def _entries(chunk_list: bytes) -> list[tuple[int, bytes]]:
     return [(int.from_bytes(chunk_list[k : k + 4], "little"), chunk_list[k + 4 : k + step]) for k in range(0, len(chunk_list), step)]
 
 
-def _source(documents: DataFrame, id_column: str, text: str) -> DataFrame:
-    value = F.coalesce(F.col(text), F.lit(""))
-    return documents.select(F.col(id_column).alias("doc_id"), F.unhex(F.sha2(value.cast("binary"), 256)).alias("item"), value.alias("text"))
+def _source(documents: DataFrame, text: str) -> DataFrame:
+    value = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return value.select(text_version().alias("item"), "text")
 
 
 def chunk_lists(source: DataFrame) -> DataFrame:
-    """``doc_id, item, list`` of every row."""
+    """``item, list`` of every row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lists = [_list_of(c) for c in cut([payload_of(t) for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item"), pa.array(lists, pa.binary())], names=["doc_id", "item", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(lists, pa.binary())], names=["item", "list"])
 
-    return source.mapInArrow(describe, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, item binary, list binary")
+    return source.mapInArrow(describe, "item binary, list binary")
 
 
 def _digests(lists: DataFrame) -> DataFrame:
@@ -117,46 +117,51 @@ def _digests(lists: DataFrame) -> DataFrame:
     return lists.select("item", F.explode(each).alias("digest"))
 
 
-def _notes(lists: DataFrame) -> DataFrame:
-    """``item, keeper, elsewhere, needed`` for items that are not simply kept whole by their only row."""
-    items = written(lists.groupBy("item").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("rows"), F.first("list").alias("list")), "items")
-    digests = _digests(items)
-    homes = written(digests.groupBy("digest").agg(F.min("item").alias("home"), F.count("*").alias("n")).where("n > 1").select("digest", "home"), "homes")
+def _notes(source: DataFrame, work: Workspace) -> DataFrame:
+    """``item, elsewhere, needed`` (sorted) for items that share chunks with others."""
+    digests = work.write(_digests(chunk_lists(source).distinct()), "digests")
+    homes = work.write(digests.groupBy("digest").agg(F.min("item").alias("home"), F.count("*").alias("n")).where("n > 1").select("digest", "home"), "homes")
     shared = digests.join(homes, "digest").groupBy("item").agg(
-        F.collect_list(F.when(F.col("item") != F.col("home"), F.col("digest"))).alias("elsewhere"),
-        F.collect_list(F.when(F.col("item") == F.col("home"), F.col("digest"))).alias("needed"),
+        F.sort_array(F.collect_list(F.when(F.col("item") != F.col("home"), F.col("digest")))).alias("elsewhere"),
+        F.sort_array(F.collect_list(F.when(F.col("item") == F.col("home"), F.col("digest")))).alias("needed"),
     )
-    joined = items.select("item", "keeper", "rows").join(shared, "item", "left").where("rows > 1 or elsewhere is not null")
-    return joined.select("item", "keeper", F.coalesce("elsewhere", F.array()).alias("elsewhere"), F.coalesce("needed", F.array()).alias("needed"))
+    notes = work.write(shared, "notes")
+    work.drop("digests", "homes")
+    return notes
+
 
+def write_media(documents: DataFrame, folder: str, text: str = "text") -> None:
+    """Write the table of items."""
+    prepare(documents.sparkSession)
+    work = Workspace(documents.sparkSession, "chunks")
+    source = _source(documents, text)
+    notes = _notes(source, work)
 
-def write_media(documents: DataFrame, folder: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the table of items; returns ``doc_id, item, list`` of all rows."""
-    ship_package(documents.sparkSession)
-    source = _source(documents, id_column, text)
-    lists = written(chunk_lists(source), "lists")
-    notes = written(_notes(lists), "notes")
-    volume = notes.agg(F.sum(F.lit(80) + (F.size("elsewhere") + F.size("needed")) * (DIGEST + 16))).first()[0] or 0
-    known = notes.withColumnRenamed("item", "_item")
-    joined = source.join(F.broadcast(known) if volume <= BROADCAST_BYTES else known, F.col("item") == F.col("_item"), "left")
-    kept = joined.where(F.col("_item").isNull() | F.col("doc_id").eqNullSafe(F.col("keeper"))).select("item", "text", "elsewhere", "needed")
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=PASSING).compress
+        for batch in slices(batches, "text"):
+            frames = [squeeze(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(frames, pa.binary())], names=["item", "pressed"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=9).compress
+        squeeze, expand = zstandard.ZstdCompressor(level=STAYING).compress, zstandard.ZstdDecompressor().decompress
         schema = pa.schema([("item", pa.binary()), ("list", pa.binary()), ("own", pa.binary()), ("elsewhere", pa.list_(pa.binary())), ("needed", pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())])))])
-        for batch in slices(batches, "text"):
-            rows = []
-            columns = [batch.column(c).to_pylist() for c in ("item", "text", "elsewhere", "needed")]
-            for item, chunks, elsewhere, needed in zip(columns[0], cut([payload_of(t) for t in columns[1]]), columns[2], columns[3], strict=True):
-                found = {digest_of(c): c for c in chunks}
-                apart = {*(elsewhere or ()), *(needed or ())}
-                own = b"".join(c for d, c in found.items() if d not in apart)
-                rows.append((item, _list_of(chunks), squeeze(own), elsewhere or [], [{"digest": d, "chunk": squeeze(found[d])} for d in needed or ()]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    made = kept.mapInArrow(pack, "item binary, list binary, own binary, elsewhere array<binary>, needed array<struct<digest: binary, chunk: binary>>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                rows = []
+                for item, pressed, elsewhere, needed in zip(*(batch.column(c).to_pylist() for c in ("item", "pressed", "elsewhere", "needed")), strict=True):
+                    (chunks,) = cut([payload_of(expand(pressed).decode())])
+                    found = {digest_of(c): c for c in chunks}
+                    apart = {*(elsewhere or ()), *(needed or ())}
+                    own = b"".join(c for d, c in found.items() if d not in apart)
+                    rows.append((item, _list_of(chunks), squeeze(own), elsewhere or [], [{"digest": d, "chunk": squeeze(found[d])} for d in needed or ()]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    kept = source.mapInArrow(press, "item binary, pressed binary").dropDuplicates(["item"]).join(notes, "item", "left")
+    made = kept.select("item", "pressed", "elsewhere", "needed").mapInArrow(pack, "item binary, list binary, own binary, elsewhere array<binary>, needed array<struct<digest: binary, chunk: binary>>")
     made.write.option("compression", "uncompressed").parquet(folder)
-    return lists
+    work.drop("notes")
 
 
 def rebuild(chunk_list: bytes, own: bytes, needed: list[dict], fetched: list[dict]) -> bytes:
@@ -178,11 +183,12 @@ def rebuild(chunk_list: bytes, own: bytes, needed: list[dict], fetched: list[dic
 
 
 def read_media(stored: DataFrame, extract, schema: str) -> DataFrame:
-    """``item`` and what ``extract(chunk_list, payload)`` makes of each payload that the table ``stored`` holds."""
-    ship_package(stored.sparkSession)
+    """``item`` and what ``extract(row, payload)`` makes of each payload that the table ``stored`` holds; row: the stored
+    chunk list, own frame and needed chunks."""
+    prepare(stored.sparkSession)
     names = [part.split()[0] for part in schema.split(", ")]
     wanted = stored.select("item", F.explode("elsewhere").alias("digest"))
-    offered = stored.select(F.explode("needed").alias("x")).select("x.digest", "x.chunk").dropDuplicates(["digest"])
+    offered = stored.select(F.explode("needed").alias("x")).select("x.digest", "x.chunk")
     moved = wanted.join(offered, "digest").groupBy("item").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
     none = F.array().cast("array<struct<digest: binary, chunk: binary>>")
     columns = ["item", "list", "own", "needed", "fetched"]
@@ -195,7 +201,7 @@ def read_media(stored: DataFrame, extract, schema: str) -> DataFrame:
                 batch = whole_batch.slice(at, 512)
                 rows = []
                 for item, chunk_list, own, needed, fetched in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                    rows.append((item, *extract(chunk_list, rebuild(chunk_list, own, needed, fetched))))
+                    rows.append((item, *extract((chunk_list, own, needed), rebuild(chunk_list, own, needed, fetched))))
                 frame = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(frame[0], pa.binary()), *map(pa.array, frame[1:])], names=["item", *names])
 
@@ -205,23 +211,25 @@ def read_media(stored: DataFrame, extract, schema: str) -> DataFrame:
 FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def features_of(chunk_list: bytes, payload: bytes) -> tuple:
-    """Length, digests and a summary of the samples: chunks, distinct values, mean and entropy in thousandths."""
+def features_of(row: tuple[bytes, bytes, list[dict]], payload: bytes) -> tuple:
+    """Length and digests of the payload and of its stored form, and a summary of the samples: chunks, distinct values,
+    mean and entropy in thousandths."""
+    chunk_list, own, needed = row
+    media = b"".join([chunk_list, own, *(x["chunk"] for x in needed)])
     counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
     share = counts[counts > 0] / len(payload)
     entropy = round(float(-(share * np.log2(share)).sum()) * 1000)
     mean = int(counts @ np.arange(256)) * 1000 // len(payload)
     feature = f"chunks={len(chunk_list) // (4 + DIGEST)};values={int((counts > 0).sum())};mean={mean};entropy={entropy}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(chunk_list), hashlib.sha256(chunk_list).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def op8(documents: DataFrame) -> DataFrame:
     """Write all payloads as media, read them back, and report what the stored bytes hold."""
     spark = documents.sparkSession
-    folder = new_path(spark, "media")
-    lists = write_media(documents, folder)
-    stored = spark.read.parquet(folder)
-    read = written(read_media(stored, features_of, FEATURES).dropDuplicates(["item"]), "features")
-    sizes = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("item"))
-    del lists
+    work = Workspace(spark, "media")
+    write_media(documents, work.path("items"))
+    read = work.write(read_media(spark.read.parquet(work.path("items")), features_of, FEATURES), "features")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sizes = documents.select("doc_id", text.alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), text_version().alias("item"))
     return sizes.join(read, "item").drop("item")
