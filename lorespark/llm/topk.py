@@ -1,14 +1,19 @@
 """Exact top-k by inner product: Fagin's threshold algorithm over sorted per-dimension lists.
 
 Vectors are quantised to floor(scale * x). The rows are packed into blocks; in a block, each dimension has its rows in
-sorted order. For a query the lists are read from the end that its component favours, some rows of every list at a time;
-each row met is scored in full, and the walk stops when the sum of the lists' current contributions, which no unseen row
-can beat, is below the k-th score. The blocks' results are merged by rank. Queries are a stated subset of the rows;
-packs of them meet every block.
+sorted order. For a query the lists are read from the end that its component favours, a few rows of every list at first
+and twice as many in every round; each row met is scored in full, and the walk stops when the sum of the lists' current
+contributions, which no unseen row can beat, is below the k-th score. That score is carried from one block of a bucket
+to the next. Queries are a stated subset of the rows.
+
+Blocks are dealt to buckets, one block or a few each, and stay there; the queries, packed a few hundred at a time in the
+narrowest integer type that holds them, go once to every bucket, so what is shuffled is the rows once and the queries
+once per block. The blocks' results are merged by rank.
 
 Rows whose vector is null, empty or holds null or non-finite components take no part; only vectors of equal length are
 compared. Rows that share a vec_id count as one, the least vector among them; a null vec_id takes no part. Ties go to
-the smaller vec_id. Scores are 64-bit integers. Extra columns are ignored; empty tables give empty results.
+the smaller vec_id. Quantised components beyond 62 bits and scores beyond 64 bits are put to the nearest number that
+fits. Extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.scratch import written
-from lorespark.session import ship_package
+from lorespark.llm.scratch import Workspace, prepare
 
 SCALE = 64
 K = 20
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 PACK_ROWS = 256
-FIRST_DEPTH = 32
+FIRST_DEPTH = 8
+LARGEST = 1 << 62
 
-PACKED = "dim int, pack bigint, ids binary, matrix binary"
+PACKED = "dim int, pack bigint, type string, ids binary, matrix binary"
 
 
 def _packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
@@ -41,13 +46,15 @@ def _packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
         def out(dim: int) -> pa.RecordBatch:
             ids, vectors = zip(*waiting.pop(dim), strict=True)
             ids, matrix = np.concatenate(ids), np.concatenate(vectors)
-            arrays = [pa.array([dim], pa.int32()), pa.array([int(ids[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["dim", "pack", "ids", "matrix"])
+            narrow = np.promote_types(np.min_scalar_type(matrix.min()), np.min_scalar_type(matrix.max()))
+            narrow = narrow if narrow.kind == "i" else np.dtype(np.int64)
+            arrays = [pa.array([dim], pa.int32()), pa.array([int(ids[0])]), pa.array([narrow.str]), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.astype(narrow).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["dim", "pack", "type", "ids", "matrix"])
 
         for batch in batches:
             vectors = batch.column("embedding")
             lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
-            flat = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+            flat = np.clip(np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale), -LARGEST, LARGEST)
             ends = np.cumsum(lengths)
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for dim in np.unique(lengths):
@@ -64,79 +71,100 @@ def _packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
     return rows.mapInArrow(pack, PACKED)
 
 
-def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, matrix: np.ndarray, orders: np.ndarray, sorted_values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of a block (all, if fewer) for a query, best first. orders, sorted_values: per dimension, ascending.
+Best = tuple[np.ndarray, np.ndarray]
+NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+class Block:
+    """Rows of one length with the sorted lists of their dimensions."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+        self.ids = ids
+        self.matrix = matrix
+        self.orders = np.argsort(matrix.T, axis=1, kind="stable")
+        self.values = np.take_along_axis(matrix.T, self.orders, axis=1).astype(np.int64)
+        self.typed: dict[type, np.ndarray] = {}
+        self.largest = int(max(-int(matrix.min()), int(matrix.max()), 1))
+
+    def rows(self, queries: np.ndarray) -> np.ndarray:
+        """The rows in the fastest type in which no sum of products with one of the queries can be rounded."""
+        largest = self.largest * max(-int(queries.min()), int(queries.max()), 1) * self.matrix.shape[1]
+        kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64 if largest < 1 << 63 else object
+        if kind not in self.typed:
+            self.typed = {kind: self.matrix.astype(np.int64).astype(kind)}
+        return self.typed[kind]
 
-    matrix: the rows, in a type that holds every score exactly.
-    """
-    n = len(ids)
+
+def threshold_search(query: np.ndarray, own: int, block: Block, rows: np.ndarray, k: int, best: Best = NONE) -> tuple[Best, int]:
+    """The k best of a block's rows and of those in ``best`` (scores and ids, best first) for a query, and how many rows
+    of the block were scored. rows: the block's, in a type that holds every score exactly."""
+    n = len(block.ids)
     seen, scored = np.zeros(n, bool), np.zeros(n, bool)
-    best_score, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    best_score, best_id = best
     up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
-    weights = query.astype(matrix.dtype)
-    depth, reach = 0, max(FIRST_DEPTH, n // 32)
+    exact = rows.dtype if rows.dtype == object else np.int64
+    weights, wide = query.astype(rows.dtype), query.astype(exact)
+    depth, reach = 0, FIRST_DEPTH
     while True:
         reach = min(reach, n) if len(up) + len(down) else n
         if len(up) + len(down):
-            seen[orders[up, depth:reach]] = True
-            seen[orders[down, n - reach : n - depth]] = True
+            seen[block.orders[up, depth:reach]] = True
+            seen[block.orders[down, n - reach : n - depth]] = True
         else:
             seen[:] = True
         met = np.flatnonzero(seen & ~scored)
         scored |= seen
-        score = (matrix[met] @ weights).astype(np.int64)
-        good = ids[met] != own
+        score = rows[met] @ weights
+        score = np.clip(score, -(1 << 63), (1 << 63) - 1).astype(np.int64) if rows.dtype == object else score.astype(np.int64)
+        good = block.ids[met] != own
         if len(best_score) == k:
             good &= score >= best_score[-1]
         elif len(met) > k:
             # The k-th of these bounds the k-th of all from below; one more for the query's own row.
             good &= score >= np.partition(score, len(met) - k - 1)[len(met) - k - 1]
-        score, names = np.concatenate((best_score, score[good])), np.concatenate((best_id, ids[met[good]]))
-        top = np.lexsort((names, -score))[:k]
+        score, names = np.concatenate((best_score, score[good])), np.concatenate((best_id, block.ids[met[good]]))
+        top = np.lexsort((names, -score.astype(exact)))[:k] if rows.dtype != object else np.array(sorted(range(len(score)), key=lambda i: (-int(score[i]), int(names[i])))[:k], int)
         best_score, best_id = score[top], names[top]
-        if reach == n:
-            return best_score, best_id
-        bound = int(sorted_values[up, reach - 1] @ query[up]) + int(sorted_values[down, n - reach] @ query[down])
+        bound = 0
+        if reach < n:
+            bound = int(block.values[up, reach - 1].astype(exact) @ wide[up]) + int(block.values[down, n - reach].astype(exact) @ wide[down])
         # A row not met yet may still equal the bound, and win a tie by its id.
-        if len(best_score) == k and bound < best_score[-1]:
-            return best_score, best_id
+        if reach == n or len(best_score) == k and bound < best_score[-1]:
+            return (best_score, best_id), int(scored.sum())
         depth, reach = reach, reach * 2
 
 
-def scoring_type(matrix: np.ndarray, queries: np.ndarray) -> type:
-    """The fastest type in which no sum of products of a row and a query can be rounded."""
-    largest = float(np.abs(matrix).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(matrix.shape[1], 1)
-    return np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
-
-
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``is_query`` (on column vec_id), its k best other rows."""
-    ship_package(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False)))
-    rows = written(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
-    blocks = _packed(rows, BLOCK_ROWS, scale).select("dim", F.col("pack").alias("block"), F.col("ids").alias("block_ids"), F.col("matrix").alias("block_matrix"))
-    packs = _packed(rows.where(is_query), PACK_ROWS, scale)
-    # Each pack is a few dozen KB; it is sent to every block of its dimension. A length alone would be one key for the whole
-    # table, so blocks are dealt to about as many buckets as there are blocks, and each pack goes once to each bucket.
+    work = Workspace(vectors.sparkSession, "topk")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = work.write(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     buckets = rows.count() // BLOCK_ROWS + 1
-    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
-    packs = packs.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    met = blocks.join(packs, ["dim", "bucket"]).repartition(F.col("block"), F.col("pack"))
+    blocks = _packed(rows, BLOCK_ROWS, scale).withColumn("bucket", F.pmod(F.xxhash64("pack"), F.lit(buckets)).cast("int")).withColumn("is_pack", F.lit(False))
+    packs = _packed(rows.where(is_query), PACK_ROWS, scale).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn("is_pack", F.lit(True))
+    met = blocks.unionByName(packs).repartition(max(parts, 1), "dim", "bucket").sortWithinPartitions("dim", "bucket", "is_pack", "pack")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, queries = np.frombuffer(row["block_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                matrix = np.frombuffer(row["block_matrix"], np.int64).reshape(len(ids), row["dim"])
-                wanted = np.frombuffer(row["matrix"], np.int64).reshape(len(queries), row["dim"])
-                orders = np.argsort(matrix.T, axis=1, kind="stable")
-                values = np.take_along_axis(matrix.T, orders, axis=1)
-                rows_ = matrix.astype(scoring_type(matrix, wanted))
-                found = [threshold_search(wanted[i], queries[i], ids, rows_, orders, values, k) for i in range(len(queries))]
-                query = np.repeat(queries, [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found]))], names=["query_id", "vec_id", "score"])
+        at, held = None, []
+        for row in (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
+            if at != (row["dim"], row["bucket"]):
+                at, held = (row["dim"], row["bucket"]), []
+            ids = np.frombuffer(row["ids"], np.int64)
+            matrix = np.frombuffer(row["matrix"], row["type"]).reshape(len(ids), row["dim"])
+            if not row["is_pack"]:
+                held.append(Block(ids, matrix))
+                continue
+            wanted = matrix.astype(np.int64)
+            found = [NONE] * len(ids)
+            for block in held:
+                typed = block.rows(wanted)
+                found = [threshold_search(wanted[i], ids[i], block, typed, k, found[i])[0] for i in range(len(ids))]
+            query = np.repeat(ids, [len(f[0]) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found]))], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
