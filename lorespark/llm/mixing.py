@@ -4,8 +4,8 @@ Words are counted per source; the mixture's size is shared among the sources by
 its own size; the ratio of target to size is the source's repetition rate. A document is taken floor(rate) times and
 once more with the probability of the fraction, drawn from a hash of its id and a seed, so reruns agree.
 
-A null text has no words; a null source is a source of its own, the last one; rows with the same id draw alike. Empty
-tables give empty results. Extra columns are kept by :func:`mixed` and ignored by :func:`shares`.
+A null text has no words; a null source is a source of its own, the last one; rows with the same id draw alike, rows
+without an id draw by their text. Very long texts only count. Empty tables give empty results. Extra columns are kept by :func:`mixed` and ignored by :func:`shares`.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.scratch import written
+from lorespark.llm.scratch import Workspace
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -50,33 +50,43 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return table.withColumn("rate", rate).select("source", "source_size", "weight", "target", "rate")
 
 
-def draw(id_column: str = "doc_id", seed: str = SEED) -> Column:
-    """A number in [0, 1) from a hash of seed and id: 48 bits of an md5."""
-    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+def draw(id_column: str = "doc_id", seed: str = SEED, text: str = "text") -> Column:
+    """A number in [0, 1) from a hash of seed and id (without one, of seed and text): 48 bits of an md5."""
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_column).cast("string"), unnamed))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def _rates(sized: DataFrame, size: str, work: Workspace, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """The table of sources, for a join: broadcast while its counted rows are few."""
+    table = work.write(source_targets(sized.groupBy("source").agg(F.sum(size).alias("source_size")), weights, share, most), "sources")
+    rates = table.withColumnRenamed("source", "_source").withColumnRenamed("rate", "_rate")
+    return F.broadcast(rates) if table.count() <= BROADCAST_SOURCES else rates
+
+
+def _copies(chance: Column) -> Column:
+    return F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")
 
 
 def shares(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, seed: str = SEED) -> DataFrame:
-    """A row per document: the columns doc_id, source, size, source_size, target, rate, copies and taken."""
-    sized = documents.select("doc_id", "source", word_count().alias("size"))
-    table = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "sources")
-    small = table.count() <= BROADCAST_SOURCES
-    rates = table.withColumnRenamed("source", "_source")
-    joined = sized.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("_source")))
-    copies = (F.floor("rate") + (draw(seed=seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    """A row per document: the columns doc_id, source, size, source_size, target, rate, copies and taken.
+
+    Words are counted once; the sizes, with each row's draw, are a table of their own.
+    """
+    work = Workspace(documents.sparkSession, "mixing")
+    sized = work.write(documents.select("doc_id", "source", word_count().alias("size"), draw(seed=seed).alias("_draw")), "sizes")
+    joined = sized.join(_rates(sized, "size", work, weights, share, most), F.col("source").eqNullSafe(F.col("_source")))
+    return joined.withColumn("copies", _copies(F.col("_draw")).cast("long")).select("doc_id", "source", "size", "source_size", "target", F.col("_rate").alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """The mixture itself: every document's row as often as it is taken, columns unchanged."""
     sized = documents.select("source", word_count().alias("_size"))
-    table = written(source_targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, most), "sources")
-    small = table.count() <= BROADCAST_SOURCES
-    rates = table.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    joined = documents.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("_source")))
-    copies = (F.floor("_rate") + (draw(seed=seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    repeated = joined.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in documents.columns))
+    rates = _rates(sized, "_size", Workspace(documents.sparkSession, "mixing"), weights, share, most).select("_source", "_rate")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "source", draw(seed=seed).alias("_draw"))
+    counted = rows.join(rates, F.col("source").eqNullSafe(F.col("_source"))).select("row", _copies(F.col("_draw")).cast("int").alias("copies"))
+    repeated = counted.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*(F.col(f"row.`{c}`") for c in documents.columns))
 
 
 def op9(documents: DataFrame) -> DataFrame:
@@ -86,7 +96,7 @@ def op9(documents: DataFrame) -> DataFrame:
 
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS named FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight
@@ -102,6 +112,6 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM filled
 )
 SELECT d.doc_id, d.size, r.source_size, r.target,
-       CAST(d.size * (floor(r.rate) + CASE WHEN CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(d.size * (floor(r.rate) + CASE WHEN CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null:' || d.named)), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 """
