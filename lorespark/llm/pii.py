@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton finds at-signs, URL schemes, digit openings and identifier cues in one pass over a text;
 from each anchor a small deterministic parser walks to the boundaries of the item and validates it. Texts are scanned
-whole; a null text counts as empty. Positions are code points, ends exclusive. Rows are independent of each other, so
+whole, in time and memory that grow with their length; a null text counts as empty. Positions are code points, ends
+exclusive. Rows are independent of each other, so
 there is no shuffle, and repeated rows give repeated results. Extra columns of the input are passed by.
 """
 
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lorespark.llm.scratch import prepare
 from lorespark.llm.words import slices
-from lorespark.session import ship_package
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: In the order in which spans with the same start are listed.
@@ -84,6 +85,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     spans: list[tuple[int, int, int]] = []
     add = lambda kind, a, b: spans.append((a, KINDS.index(kind), b))
     email_end = ip_end = card_end = phone_end = url_end = other_end = 0
+    # Ends of runs that were no account or secret. What begins inside such a run ends with it and has no more digits.
+    no_account = no_secret = 0
     for last, (kind, length) in _automaton().iter(text):
         at = last - length + 1
         if kind == "digit":
@@ -133,14 +136,19 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                     other_end = m.end()
                     add("iban", after, other_end)
             elif kind == "account":
-                if (m := ACCOUNT_RUN.match(text, after)) and sum(c in "0123456789" for c in m[0]) >= 6:
-                    other_end = m.end()
-                    add("account", after, other_end)
+                if after >= no_account and (m := ACCOUNT_RUN.match(text, after)):
+                    if sum(c in "0123456789" for c in m[0]) >= 6:
+                        other_end = m.end()
+                        add("account", after, other_end)
+                    else:
+                        no_account = m.end()
             elif kind == "secret":
-                m = SECRET_RUN.match(text, after)
-                if m and len(m[0]) >= 16 and any(c in "0123456789" for c in m[0]):
-                    other_end = m.end()
-                    add("secret", after, other_end)
+                if after >= no_secret and (m := SECRET_RUN.match(text, after)):
+                    if len(m[0]) >= 16 and any(c in "0123456789" for c in m[0]):
+                        other_end = m.end()
+                        add("secret", after, other_end)
+                    else:
+                        no_secret = m.end()
             elif kind == "street" and not WORD_CHAR.match(text[last + 1 : last + 2] or " "):
                 floor = max(other_end, at - 80)
                 if m := STREET_BEFORE.search(text[floor:at]):
@@ -168,7 +176,7 @@ def find_pii(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Result columns that exist in the input already are replaced; an empty table gives an empty result.
     """
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
     names = list(RESULT)
     kept = documents.select([documents[f"`{c}`"] for c in documents.columns if c not in names])
     schema = kept.schema
@@ -191,7 +199,7 @@ def find_pii(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def redact_pii(documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span of ``text`` replaced by ``[KIND]``; null texts stay null, other columns as they are."""
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
