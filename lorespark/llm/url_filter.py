@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.scratch import written
+from lorespark.llm.scratch import Workspace
 
 #: (action, host, path)
 RULES = (
@@ -115,7 +115,8 @@ def judged(pages: DataFrame, rules: tuple = RULES, max_labelled: int = MAX_LABEL
     named = named.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     result = [F.col("page_id"), F.col("host"), F.col("path"), F.col("_rule.rule").alias("rule")]
 
-    suffixes = written(suffix_counts(named), "suffixes")
+    work = Workspace(pages.sparkSession, "urls")
+    suffixes = work.write(suffix_counts(named), "suffixes")
     total = suffixes.agg(F.count("*").alias("suffixes"), F.sum("pages").alias("pages"), F.sum("ruled").alias("ruled"), F.sum("blocked").alias("blocked")).first()
     if not total.ruled or total.blocked in (0, total.ruled):
         only = "block" if total.blocked else "allow"
@@ -128,7 +129,7 @@ def judged(pages: DataFrame, rules: tuple = RULES, max_labelled: int = MAX_LABEL
     labelled = named.where("_rule is not null").select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(max_labelled)
     labelled = labelled.withColumn("host", host_of()).withColumn("path", path_of())
     labelled = labelled.withColumn("label", (rule_of(F.col("host"), F.col("path"), rules)["action"] == "block").cast("double"))
-    labelled = written(lexical(labelled), "labelled")
+    labelled = work.write(lexical(labelled), "labelled")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trainer = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32)
     model = trainer.fit(assembler.transform(with_suffix(labelled)).select("features", "label"))
