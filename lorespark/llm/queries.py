@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from lorespark.llm import bpe, media, mixing, ngram_join, pii, quality, sql, substring_dedup, token_store, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +19,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package, at the top of the repository
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": _on("documents", pii.op1),
@@ -32,7 +37,7 @@ def queries() -> dict[str, Query]:
         "op8_media": _on("documents", media.op8),
         "op9_mixing": _on("documents", mixing.op9),
         "op10_bpe": _on("documents", bpe.op10),
-        "pipeline": lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir),
+        "pipeline": pipeline,
     }
 
 
