@@ -97,6 +97,15 @@ def test_pii_kinds():
     assert kinds("lives at 12 North Oak Street now") == ["address"]
 
 
+@pytest.mark.parametrize("unit", ["token-", "ACCOUNT ", "account no. ", "http://", "+1 ", "a@", "1.", "iban DE89 ", "12 North Oak Street "])
+def test_cue_runs_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    pii.find_spans(unit * 100_000)
+    assert time.process_time() - began < 20
+
+
 def test_redaction_keeps_columns(documents):
     redacted = pii.redact_pii(documents)
     assert redacted.schema == documents.schema
@@ -143,12 +152,68 @@ def test_one_of_each_class(spark):
 
 
 def test_prefix_shortens_until_recall():
-    assert ngram_join.prefix_length() < ngram_join.DEPTH
-    assert ngram_join.prefix_length(recall=0.5) == ngram_join.DEPTH
-    lengths = [ngram_join.prefix_length(recall=r) for r in (0.9, 0.999, 0.99999, 0.99999999)]
+    from fractions import Fraction
+
+    for size in range(1, 64):
+        around = [Fraction(shared, union) for union in range(size, 2 * size + 2) for shared in range(size + 1)]
+        assert ngram_join.least_similarity(size) == pytest.approx(float(min(s for s in around if s >= Fraction(8, 10))))
+        stop = ngram_join.stop_depth(size)
+        recall = lambda d: ngram_join.recall_at(d, ngram_join.least_similarity(size))  # noqa: B023, E731
+        assert recall(stop) >= ngram_join.TARGET_RECALL and (stop == ngram_join.DEPTH or recall(stop + 1) < ngram_join.TARGET_RECALL)
+    assert ngram_join.stop_depth(3) == ngram_join.DEPTH > ngram_join.stop_depth(7) - 1 and ngram_join.stop_depth(64) < ngram_join.DEPTH
+    lengths = [ngram_join.stop_depth(64, recall=r) for r in (0.5, 0.9, 0.999, 0.99999, 0.99999999)]
     assert lengths == sorted(lengths, reverse=True)
 
 
+def test_measured_recall(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found, there = ngram_join.measured_recall(documents, ngram_join.similar_documents(documents), every=10)
+    print(f"links of every tenth document: {found} of {there}")
+    assert there and found == there
+
+
+def thue_morse(n):
+    """A word of n letters and its complement, equal under every polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_patterned_words_are_told_apart(spark, n):
+    x, y = thue_morse(n)
+    head = " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"{head} {x}"), (2, f"{head} {y}"), (3, x), (4, y), (5, " ".join(x)), (6, " ".join(y))]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    same([tuple(r) for r in substring_dedup.op4(documents).collect()], brute_dedup(rows))
+    same([(r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_documents(documents).collect()], brute_classes(rows))
+
+
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 0])
+def test_repeated_rows_without_id_stay_linear(spark, hot):
+    counts = {}
+    text = " ".join(f"w{k * 31 % 997}" for k in range(120))
+    for m in (100, 400):
+        rows = [(None, text)] * m + [(7, text + " and more"), (8, "x " + text)]
+        work = substring_dedup.Workspace(spark, "probe")
+        documents = spark.createDataFrame(rows, "doc_id long, text string")
+        substring_dedup.duplicate_windows(documents, hot=hot, work=work).collect()
+        counts[m] = sum(spark.read.parquet(work.path(t)).count() for t in ("index", "firsts", "texts", "windows", "found"))
+        same([tuple(r) for r in substring_dedup.remove_duplicates(documents, hot=hot).drop("kept").collect()], brute_dedup(rows))
+    assert counts[400] < 5 * counts[100]
+
+
+def test_factors_extend_and_straddling_windows_are_looked_up():
+    reference, index = b"a b c d e f g h", {}
+    found, own = substring_dedup.factors(reference, 3, index)
+    assert not found and [w for w, _, _ in own] == [b"a b c", b"b c d", b"c d e", b"d e f", b"e f g", b"f g h"]
+    index |= {w: (words, at) for w, words, at in own}
+    other, own = substring_dedup.factors(b"f g h x y", 3, index)
+    index |= {w: (words, at) for w, words, at in own}
+    found, own = substring_dedup.factors(b"z a b c d e f g h x q", 3, index)
+    # One long factor, then the window across its end that another reference has.
+    assert found == [(1, 8), (7, 3)] and [w for w, _, _ in own] == [b"z a b", b"h x q"]
+
+
 def brute_dedup(rows, size=50):
     first = {}
     low = lambda i: (i is not None, i or 0)
@@ -169,18 +234,20 @@ def brute_dedup(rows, size=50):
     return out
 
 
-def test_substring_dedup(documents):
-    same([tuple(r) for r in substring_dedup.op4(documents).collect()], brute_dedup(rows_of(documents)))
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 0])
+def test_substring_dedup(documents, hot):
+    found = substring_dedup.remove_duplicates(documents.select("doc_id", "text"), hot=hot).drop("kept").collect()
+    same([tuple(r) for r in found], brute_dedup(rows_of(documents)))
 
 
-@pytest.mark.parametrize("size", [3, 12])
-def test_substring_dedup_small_windows(spark, size):
+@pytest.mark.parametrize("size,hot", [(3, substring_dedup.HOT), (12, substring_dedup.HOT), (12, 0), (12, 40)])
+def test_substring_dedup_small_windows(spark, size, hot):
     import random
 
     rng = random.Random(size)
     rows = [(i % 17, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60)))) for i in range(40)]
     rows += [(100 + i, "p q r s t u v w x y z a b c " * (i + 1)) for i in range(3)]
-    found = substring_dedup.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size).drop("kept").collect()
+    found = substring_dedup.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size, hot=hot).drop("kept").collect()
     same([tuple(r) for r in found], brute_dedup(rows, size))
 
 
@@ -199,6 +266,32 @@ def test_bpe(documents, library):
     same([tuple(r) for r in bpe.op10(documents).collect()], wanted)
 
 
+def test_bpe_leaves_other_files_to_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    documents = spark.createDataFrame([(i, t) for i, t in AWKWARD if t != LONG], "doc_id long, text string")
+    wanted = []
+    for i, t in rows_of(documents):
+        ids = other.encode(t or "", add_special_tokens=False).ids
+        wanted.append((i, struct.pack(f"<{len(ids)}I", *ids), other.decode(ids, skip_special_tokens=False)))
+    same([(r.doc_id, bytes(r.ids), r.decoded) for r in bpe.encoded(documents, path).collect()], wanted)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_store_encoder_is_the_library(name):
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(public_tokenizers.path(name)), token_store.Encoder(public_tokenizers.path(name))
+    texts = [t for _, t in AWKWARD if t != LONG] + ["Ünïcode ÀÉ× a×b µm ªº naïve\u0301 ﬁ ß ſ K Å'S it'S (a) --b-- <x> q_r \u200b\u3000z", "A" * 3000, "don't 's 'S"]
+    for text, raw in zip(texts, mine.encode(pa.array(texts, pa.string()), None), strict=True):
+        assert list(struct.unpack(f"<{len(raw) // mine.width}{mine.form}", raw)) == library.encode(text or "", add_special_tokens=False).ids or name.startswith("byte")
+
+
 def test_token_store(documents, library):
     rows = sorted(rows_of(documents), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     wanted, start = [], 0
