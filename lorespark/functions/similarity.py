@@ -9,7 +9,7 @@ from lorespark.functions.korean import to_jamo
 from lorespark.functions.text import let, normalize_text
 
 
-def _pieces(key: Column, size: int) -> Column:
+def pieces_of_key(key: Column, size: int) -> Column:
     """All substrings of a length, in order. By slices of characters: a substring of UTF-8 is sought from its start."""
 
     def cut(letters: Column) -> Column:
@@ -22,7 +22,7 @@ def _pieces(key: Column, size: int) -> Column:
 
 def pieces(text: Column, size: int) -> Column:
     """All substrings of a length of the normalised text."""
-    return let(normalize_text(text), lambda k: _pieces(k, size))
+    return let(normalize_text(text), lambda k: pieces_of_key(k, size))
 
 
 def bigrams(text: Column) -> Column:

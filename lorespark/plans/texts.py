@@ -173,16 +173,19 @@ def containment_grounding(spark, d):
 
 
 def excerpt_in_context(spark, d):
-    """Benchmark items that occur in documents, by normalised text.
+    """Benchmark items of three characters or more that occur in documents, by normalised text.
 
-    Candidates meet on the item's first 24 characters, so items are not compared with every document.
+    Candidates meet on the item's beginning, 24 characters or, if it is shorter, all of it; so items are not compared
+    with every document. The lengths of the beginnings are 22 at most.
     """
-    size = 24
-    items = read_table(spark, d, "benchmark").select("item_id", t.normalize_text(F.col("text")).alias("item")).where(F.length("item") >= size)
-    items = items.withColumn("piece", F.substring("item", 1, size))
-    pieces = documents(spark, d).select("doc_id", F.explode(F.array_distinct(s.pieces(F.col("text"), size))).alias("piece"))
+    items = read_table(spark, d, "benchmark").select("item_id", t.normalize_text(F.col("text")).alias("item")).where(F.length("item") >= 3)
+    items = items.withColumn("piece", F.substring("item", 1, 24))
+    lengths = sorted(r.n for r in items.select(F.length("piece").alias("n")).distinct().collect())
+    keyed = documents(spark, d).select("doc_id", t.normalize_text(F.col("text")).alias("key"))
+    parts = F.array(*(s.pieces_of_key(F.col("key"), n) for n in lengths)) if lengths else F.array().cast("array<array<string>>")
+    pieces = keyed.select("doc_id", F.explode(F.array_distinct(F.flatten(parts))).alias("piece"))
     candidates = pieces.join(items, "piece").drop("piece")
-    found = documents(spark, d).join(candidates, "doc_id").where(F.contains(t.normalize_text(F.col("text")), F.col("item")))
+    found = keyed.join(candidates, "doc_id").where(F.contains("key", F.col("item")))
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
 
 
@@ -233,8 +236,8 @@ def secret_guard(spark, d):
 def time_ago(spark, d):
     """Age of each order an hour after the last one, in words' units; a date where it is over 30 days."""
     orders = read_table(spark, d, "orders").select(F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
-    now = orders.agg((F.max("ms") + 3_600_000).alias("now"))  # one row
-    return orders.crossJoin(F.broadcast(now)).groupBy(t.time_ago(F.col("ms"), F.col("now")).alias("age")).agg(F.count("*").alias("orders"))
+    last = orders.agg(F.max("ms")).first()[0] or 0
+    return orders.groupBy(t.time_ago(F.col("ms"), F.lit(last + 3_600_000)).alias("age")).agg(F.count("*").alias("orders"))
 
 
 QUERIES = {
@@ -268,16 +271,19 @@ SELECT CASE WHEN n = 0 THEN 'blank' WHEN h + l + dg = 0 THEN 'symbols' WHEN j >=
     "text_quality": (text_quality, r"""WITH b AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS b FROM documents), q AS (SELECT doc_id, length(b) AS n, length(regexp_replace(b, '[^가-힣]', '', 'g')) AS h, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS l,
   length(regexp_replace(b, '[^0-9]', '', 'g')) AS dg, length(regexp_replace(b, '[^.,·ㆍ:;()\[\]‘’“”''"\-~?!/%○●•▪■□★☆※<>「」『』…]', '', 'g')) AS m FROM b)
 SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (h + l + dg + 0.6::DOUBLE * m) / n - CASE WHEN h >= 3 AND l > 0 AND l < h THEN least(0.5::DOUBLE, l / n * 2.5::DOUBLE) ELSE 0 END)) END, 6) AS quality FROM q"""),
-    "lexicon_counts": (lexicon_counts, rf"""WITH {LINES_SQL}, w AS (SELECT regexp_replace(unnest(regexp_split_to_array(line, '\s+')), '^[“"''‘(\[<《「『]+|[”"''’)\]>》」』.,!?;:·…]+$', '', 'g') AS stem FROM lines) SELECT stem, count(*) AS n FROM w WHERE stem <> '' GROUP BY 1 HAVING count(*) >= 20"""),
+    "lexicon_counts": (lexicon_counts, rf"""WITH {LINES_SQL}, w AS (SELECT regexp_replace(unnest(regexp_split_to_array(line, '\s+')), '^[“"''‘(\[<《「『]+|[”"''’)\]>》」』.,!?;:·…]+$', '', 'g') AS stem FROM lines) SELECT stem, count(*) AS n FROM w WHERE stem <> '' GROUP BY 1"""),
     "cleanup_log_counts": (cleanup_log_counts, None),
     "repeated_line_df": (repeated_line_df, f"WITH {LINES_SQL} SELECT md5(line) AS line_md5, count(DISTINCT doc_id) AS documents FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 3"),
     "keyword_repeat_count": (keyword_repeat_count, f"WITH {LINES_SQL}, w AS (SELECT *, regexp_extract(line, '([A-Za-z]{{6,}})', 1) AS word FROM lines WHERE line <> '') SELECT a.doc_id, CAST(a.line_no AS INT) AS line_no, count(*) AS repeats FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.line_no <> b.line_no AND a.word <> '' AND contains(b.line, a.word) GROUP BY ALL"),
     "bigram_dice_pairs": (bigram_dice_pairs, f"""WITH {grams_sql('benchmark', 'item_id', key_sql('text'), 'g')}, n AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
 SELECT a.id AS a, b.id AS b, round(2.0::DOUBLE * count(*) / (any_value(na.n) + any_value(nb.n)), 6) AS similarity FROM g a JOIN g b ON a.gram = b.gram AND a.occ = b.occ AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id
 GROUP BY a.id, b.id HAVING 2.0::DOUBLE * count(*) / (any_value(na.n) + any_value(nb.n)) >= 0.5"""),
-    "containment_grounding": (containment_grounding, f"""WITH ctx AS (SELECT conv_id % 40 AS item_id, array_to_string(list_sort(list(text)), ' ') AS context FROM conversations WHERE role = 'assistant' GROUP BY 1), {grams_sql('benchmark', 'item_id', key_sql('text'), 'ga')}, {grams_sql('ctx', 'item_id', key_sql('context'), 'gb')}
-SELECT item_id, round((SELECT count(*) FROM ga JOIN gb USING (id, gram, occ) WHERE id = item_id) / (SELECT count(*) FROM ga WHERE id = item_id)::DOUBLE, 6) AS contained FROM benchmark JOIN ctx USING (item_id)"""),
-    "excerpt_in_context": (excerpt_in_context, f"WITH i AS (SELECT item_id, {key_sql('text')} AS item FROM benchmark), c AS (SELECT doc_id, {key_sql('text')} AS context FROM documents) SELECT item_id, count(*) AS documents FROM i JOIN c ON contains(context, item) WHERE length(item) >= 24 GROUP BY 1"),
+    "containment_grounding": (containment_grounding, f"""WITH turns AS (SELECT row_number() OVER () AS turn_id, conv_id, {key_sql('text')} AS k FROM conversations WHERE role = 'assistant'),
+  items AS (SELECT item_id, {key_sql('text')} AS k FROM benchmark), ig AS (SELECT item_id, substr(k, i, 2) AS gram, count(*) AS n FROM items, unnest(range(1, length(k))) u(i) GROUP BY ALL),
+  cg AS (SELECT conv_id, substr(k, i, 2) AS gram, count(*) AS n FROM turns, unnest(range(1, length(k))) u(i) GROUP BY ALL),
+  c AS (SELECT item_id, conv_id, sum(least(ig.n, cg.n)) AS common FROM ig JOIN cg USING (gram) GROUP BY ALL), sizes AS (SELECT item_id, sum(n) AS n FROM ig GROUP BY 1)
+SELECT b.item_id, c.conv_id, round(coalesce(c.common, 0) / CAST(z.n AS DOUBLE), 6) AS contained FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN sizes z USING (item_id) LEFT JOIN c USING (item_id)"""),
+    "excerpt_in_context": (excerpt_in_context, f"WITH i AS (SELECT item_id, {key_sql('text')} AS item FROM benchmark), c AS (SELECT doc_id, {key_sql('text')} AS context FROM documents) SELECT item_id, count(*) AS documents FROM i JOIN c ON contains(context, item) WHERE length(item) >= 3 GROUP BY 1"),
     "levenshtein_ascii": (levenshtein_ascii, "SELECT p_partkey, CAST(levenshtein(p_name, before) AS INT) AS distance FROM (SELECT *, lag(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS before FROM part) WHERE before IS NOT NULL"),
     "cer_report": (cer_report, "SELECT p_brand, count(*) AS parts, round(avg(levenshtein(p_type || substr(p_name, 1, 3), p_type) / greatest(length(p_type), 1)::DOUBLE), 6) AS cer, count(*) FILTER (p_type || substr(p_name, 1, 3) = p_type) AS exact FROM part GROUP BY 1"),
     "term_parse_lines": (term_parse_lines, None),
@@ -286,6 +292,6 @@ SELECT item_id, round((SELECT count(*) FROM ga JOIN gb USING (id, gram, occ) WHE
     "emphasis_terms": (emphasis_terms, """SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[‘''“"]([^’''”"]{2,30})[’''”"]', 1)) AS term FROM documents"""),
     "truncate_escape": (truncate_escape, "SELECT page_id, CASE WHEN length(url) > 24 THEN substr(url, 1, 24) || '…' ELSE url END AS short, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages"),
     "secret_guard": (secret_guard, r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|token|secret)\s*[=:]\s*"?[A-Za-z0-9_-]{16,}')"""),
-    "time_ago": (time_ago, """WITH n AS (SELECT max(epoch_ms(o_orderdate)) + 3600000 AS now FROM orders), m AS (SELECT (now - epoch_ms(o_orderdate)) // 60000 AS m FROM orders, n WHERE now - epoch_ms(o_orderdate) < 2592000000)
-SELECT CASE WHEN m < 1 THEN '방금 전' WHEN m < 60 THEN m || '분 전' WHEN m < 1440 THEN (m // 60) || '시간 전' ELSE (m // 1440) || '일 전' END AS age, count(*) AS orders FROM m GROUP BY 1"""),
+    "time_ago": (time_ago, """WITH n AS (SELECT max(epoch_ms(o_orderdate)) + 3600000 AS now FROM orders), m AS (SELECT o_orderdate, (now - epoch_ms(o_orderdate)) // 60000 AS m FROM orders, n)
+SELECT CASE WHEN m < 1 THEN '방금 전' WHEN m < 60 THEN m || '분 전' WHEN m < 1440 THEN (m // 60) || '시간 전' WHEN m < 43200 THEN (m // 1440) || '일 전' ELSE strftime(o_orderdate, '%Y. %m. %d') END AS age, count(*) AS orders FROM m GROUP BY 1"""),
 }
