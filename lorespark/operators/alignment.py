@@ -11,15 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.korean import to_jamo
-from lorespark.functions.similarity import containment, jamo_edit_ratio
+from lorespark.functions.korean import strip_particle, to_jamo
+from lorespark.functions.similarity import containment, jamo_edit_ratio, similarity
 from lorespark.functions.text import let, normalize_text, text_of
-from lorespark.operators.cleanup import line_score
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 ALIGN_FROM = 0.45
 COVERED_FROM = 0.9
 JOIN_FROM = 0.35
+#: Share of the likeness to the other readings in a line's worth; the rest is its score.
+LIKENESS = 0.6
 LONELY_CONFIDENCE, LONELY_QUALITY, LEAST_QUALITY = 75, 0.7, 0.35
 #: Letters that stand for digits in tokens with digits, and the digits.
 LOOKALIKES, LOOKALIKE_DIGITS = "lI|ㅣOoㅇSBZg", "11110005829"
@@ -103,8 +104,9 @@ def grouped_readings(readings: DataFrame, page: str = "page", least: float = JOI
 def consensus(grouped: DataFrame, lexicon: DataFrame, page: str = "page") -> DataFrame:
     """``page, grp, line, agree``: one line per group, voted word by word where the readings have as many words.
 
-    grouped: page, grp, variant, line, score, confidence. Ties go to words that are frequent in the lexicon (stem, n),
-    then to the better line. Readings with different numbers of words give way to the best-scored line.
+    grouped: page, grp, variant, line, score. Ties go to words whose stems are frequent in the lexicon (stem, n), then to
+    the better line. Of readings with different numbers of words, the one is taken that is most like the others and best
+    scored; a group has one reading of each variant at most.
     """
     tokens = F.filter(F.split(F.trim("line"), r"\s+"), lambda w: w != "")
     whole = Window.partitionBy(page, "grp")
@@ -112,12 +114,18 @@ def consensus(grouped: DataFrame, lexicon: DataFrame, page: str = "page") -> Dat
     rows = rows.withColumn("even", F.min("n_tokens").over(whole) == F.max("n_tokens").over(whole)).withColumn("agree", F.count("*").over(whole))
     words = rows.where("even").select(page, "grp", "agree", "score", F.posexplode("tokens").alias("pos", "word"))
     votes = words.groupBy(page, "grp", "agree", "pos", "word").agg(F.count("*").alias("votes"), F.max("score").alias("best"))
-    votes = votes.join(lexicon.select(F.col("stem").alias("word"), "n"), "word", "left")
+    votes = votes.withColumn("stem", strip_particle(F.col("word"))).join(lexicon.select("stem", "n"), "stem", "left")
     first = F.row_number().over(Window.partitionBy(page, "grp", "pos").orderBy(F.desc("votes"), F.desc(F.coalesce("n", F.lit(0))), F.desc("best"), "word"))
     voted = votes.withColumn("_n", first).where("_n = 1").groupBy(page, "grp", "agree").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
     voted = voted.select(page, "grp", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("line"), "agree")
-    best = F.row_number().over(whole.orderBy(F.desc("score"), "variant"))
-    single = rows.where("not even").withColumn("_n", best).where("_n = 1").select(page, "grp", "line", "agree")
+    readings = rows.where("not even").groupBy(page, "grp", "agree").agg(F.sort_array(F.collect_list(F.struct("variant", "line", "score"))).alias("all"))
+
+    def weighed(own: Column, i: Column) -> Column:
+        likeness = F.aggregate(F.transform("all", lambda o, k: F.when(k != i, similarity(own["line"], o["line"])).otherwise(0.0)), F.lit(0.0), lambda total, x: total + x)
+        worth = LIKENESS * likeness / (F.size("all") - 1) + (1 - LIKENESS) * own["score"]
+        return F.struct(worth.alias("worth"), (-i).alias("place"), own["line"].alias("line"))
+
+    single = readings.select(page, "grp", F.array_max(F.transform("all", weighed))["line"].alias("line"), "agree")
     return voted.unionByName(single)
 
 
@@ -127,10 +135,6 @@ def kept_lines(merged: DataFrame, variants: Column, confidence: Column, quality:
     return merged.where(~lonely & (quality >= LEAST_QUALITY))
 
 
-def score_of(line: Column, confidence: Column) -> Column:
-    return line_score(line, confidence)
-
-
 def digits_of(c: Column) -> Column:
     return F.regexp_replace(text_of(c), r"\D", "")
 

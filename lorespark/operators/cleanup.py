@@ -127,22 +127,31 @@ def is_conjugation_pair(a: Column, b: Column) -> Column:
     return (head(a) == head(b)) & (F.substring(ja, 1, 2) == F.substring(jb, 1, 2)) & final(ja).isin(*SOFT_FINALS) & final(jb).isin(*SOFT_FINALS)
 
 
+def _classes() -> tuple[str, str]:
+    """Every confusable letter and the one that stands for all letters it is connected with."""
+    stands = {letter: letter for pair in CONFUSABLE for letter in pair}
+    while changes := [(a, b) for a, b in CONFUSABLE if stands[a] != stands[b]]:
+        for a, b in changes:
+            least = min(stands[a], stands[b])
+            stands[a] = stands[b] = least
+    return "".join(stands), "".join(stands.values())
+
+
+def confusable_key(c: Column) -> Column:
+    """What words with only confusable letters between them have in common: length, and letters by class."""
+    return F.concat_ws(":", F.length(c).cast("string"), F.translate(to_jamo(c), *_classes()))
+
+
 def term_map(counts: DataFrame) -> DataFrame:
     """``word, term, n, majority``: rare misread words and the common term that each stands for.
 
-    counts: word, n. Candidates share all syllables but one with a common word: they meet on a key with that syllable
-    left open, so no two unrelated words are compared; longer words may differ in more syllables, one open key each.
+    counts: word, n. Candidates meet on :func:`confusable_key`, which words have in common however many of their letters
+    differ, if these are confusable; so no two unrelated words are compared.
     """
     words = counts.where(F.length("word") >= 2)
-
-    def opened(rows: DataFrame, names: list[str]) -> DataFrame:
-        places = F.sequence(F.lit(1), F.length(names[0]))
-        key = F.transform(places, lambda i: F.concat(F.substring(names[0], F.lit(1), i - 1), F.lit("_"), F.substring(F.col(names[0]), i + 1, F.length(names[0]))))
-        return rows.select(*names, F.explode(key).alias("key"))
-
-    rare = opened(words.select("word", "n"), ["word", "n"])
-    common = opened(words.where("n >= 3").select(F.col("word").alias("term"), F.col("n").alias("majority")), ["term", "majority"])
-    pairs = rare.join(common, "key").where("word <> term and majority > n").drop("key").distinct()
+    rare = words.select("word", "n", confusable_key(F.col("word")).alias("key"))
+    common = words.where("n >= 3").select(F.col("word").alias("term"), F.col("n").alias("majority"), confusable_key(F.col("word")).alias("key"))
+    pairs = rare.join(common, "key").where("word <> term and majority > n").drop("key")
     pairs = pairs.withColumn("diff", confusable_diff(F.col("word"), F.col("term"))).where("diff >= 1")
     size = F.length("word")
     # Suspects, which have a commoner likely double, are no evidence for a syllable of two-syllable words.

@@ -83,8 +83,13 @@ def content_questions(points: DataFrame, seed: int = 1, options: int = 3) -> Dat
     return out.select("point_id", "unit_id", "type", difficulty(F.col("type")).alias("difficulty"), grade_mode(F.col("type")).alias("grade_mode"), "question", "options", "answer")
 
 
-def kind_weights(level: Column, importance_: Column, used: Column, last_kind: Column) -> dict[str, Column]:
-    """The weight of each kind of question for a target, by its level and importance; lower for kinds it had."""
+def kind_weights(level: Column, importance_: Column, used: Column, last_kind: Column, counts: Column | None = None, supported: Column | None = None) -> dict[str, Column]:
+    """The weight of each kind of question for a target, by its level and importance; lower for kinds it had.
+
+    counts: a map of how often the session has each kind already. supported: how many kinds the target has; the kind it
+    had last counts less only where there is another.
+    """
+    choice = F.lit(True) if supported is None else supported > 1
     out = {}
     for kind in (*CHOICE, *TEXT, *ESSAY):
         family = "easy" if kind in CHOICE else "middle" if kind in TEXT else "hard"
@@ -95,18 +100,23 @@ def kind_weights(level: Column, importance_: Column, used: Column, last_kind: Co
             weight = weight * F.when(importance_ <= 2, DETAIL_AS_ESSAY).otherwise(1.0)
         if family == "middle":
             weight = weight * F.when(importance_ >= 5, CORE_AS_RECALL).otherwise(1.0)
-        out[kind] = weight * F.when(F.array_contains(used, kind), USED).otherwise(1.0) * F.when(last_kind == kind, SAME_AS_LAST).otherwise(1.0)
+        if counts is not None:
+            weight = weight / (1 + F.coalesce(F.element_at(counts, F.lit(kind)), F.lit(0)))
+        out[kind] = weight * F.when(F.array_contains(used, kind), USED).otherwise(1.0) * F.when((last_kind == kind) & choice, SAME_AS_LAST).otherwise(1.0)
     return out
 
 
 def ordered_kinds(targets: DataFrame, candidates: DataFrame, seed: int = 1) -> DataFrame:
     """``point_id, n, type``: the kinds to try for each target in a weighted random order, without repeats.
 
-    targets: point_id, level, importance, used, last_kind; candidates as from :func:`content_questions`.
+    targets: point_id, level, importance, used, last_kind and, if the session has questions already, kind_counts (a map);
+    candidates as from :func:`content_questions`.
     """
-    weights = kind_weights(F.coalesce("level", F.lit(0.0)), importance(), F.coalesce("used", F.array().cast("array<string>")), F.coalesce("last_kind", F.lit("")))
+    counts = F.coalesce("kind_counts", F.create_map().cast("map<string,int>")) if "kind_counts" in targets.columns else None
+    weights = kind_weights(F.coalesce("level", F.lit(0.0)), importance(), F.coalesce("used", F.array().cast("array<string>")), F.coalesce("last_kind", F.lit("")), counts, F.col("supported"))
     table = F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*weights.values()))
-    rows = candidates.select("point_id", "type").distinct().join(targets, "point_id").withColumn("w", F.element_at(table, F.col("type")))
+    kinds = candidates.select("point_id", "type").distinct().withColumn("supported", F.count("*").over(Window.partitionBy("point_id")))
+    rows = kinds.join(targets, "point_id").withColumn("w", F.element_at(table, F.col("type")))
     unit = (F.pmod(F.xxhash64(F.lit(seed), "point_id", "type"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     place = F.row_number().over(Window.partitionBy("point_id").orderBy(-F.log(unit) / F.col("w"), "type"))
     return rows.withColumn("n", place).select("point_id", "n", "type")

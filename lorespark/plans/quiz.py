@@ -65,8 +65,9 @@ def blank_cards_order(spark, d):
 
 
 def distractor_topn(spark, d):
-    """Three wrong options for each part's type among those of its brand."""
-    t = read_table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_brand").alias("unit_id"), F.col("p_type").alias("answer"))
+    """Three wrong options for each part's type among those of its brand: those with its first word first."""
+    category, is_answer = F.substring_index("p_type", " ", 1).alias("category"), (F.col("p_size") % 2 == 0).alias("is_answer")
+    t = read_table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_brand").alias("unit_id"), F.col("p_type").alias("answer"), category, is_answer)
     return q.distractors(t, 3)
 
 
@@ -111,9 +112,9 @@ def weighted_sample(spark, d):
 
 
 def shuffle_spread(spark, d):
-    """Lines of each order in an order without neighbours on one supplier, where that is possible."""
-    t = questions(spark, d).select("session_id", F.col("l_suppkey").alias("target_id"), F.col("l_partkey").alias("question_id"))
-    return q.spread(t).groupBy("session_id").agg(F.count("*").alias("questions"), F.max("ord").alias("last"))
+    """Lines of each order, on one of three targets each, in an order in which a target's lines are parted."""
+    t = questions(spark, d).select("session_id", (F.col("l_suppkey") % 3).alias("target_id"), F.concat_ws(":", "ord", "l_partkey").alias("question_id")).distinct()
+    return q.spread(t)
 
 
 SECTIONS = ("ECONOMY", "STANDARD", "PROMO")
@@ -162,8 +163,11 @@ SELECT unit_id, grp, targets, CAST(base + (row_number() OVER (PARTITION BY unit_
     "detail_rotation_topk": (detail_rotation_topk, f"WITH {POINTS_SQL} SELECT unit_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY last_studied_at IS NOT NULL, level, point_id) AS INT) AS n, point_id FROM points WHERE importance = 1 QUALIFY n <= 3"),
     "study_deck_topk": (study_deck_topk, f"WITH {POINTS_SQL} SELECT point_id, level - 8 * imp AS sort_key FROM graded ORDER BY sort_key, point_id LIMIT 20"),
     "blank_cards_order": (blank_cards_order, "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_size % 5 DESC, p_partkey) AS INT) AS n, '[      ] is the brand of ' || p_name AS card FROM part"),
-    "distractor_topn": (distractor_topn, f"""WITH o AS (SELECT p_partkey AS id, p_brand AS pool, p_type AS answer, {key_sql('p_type')} AS k FROM part), a AS (SELECT pool, k AS ok, min(answer) AS option FROM o WHERE k <> '' GROUP BY ALL)
-SELECT id AS point_id, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(length(k) - length(ok)), ok) AS INT) AS n, option FROM o JOIN a USING (pool) WHERE k <> '' AND NOT contains(k, ok) AND NOT contains(ok, k) AND regexp_matches(k, '[0-9]') = regexp_matches(ok, '[0-9]') QUALIFY n <= 3"""),
+    "distractor_topn": (distractor_topn, f"""WITH o AS (SELECT p_partkey AS id, p_brand AS pool, p_type AS answer, {key_sql('p_type')} AS k, split_part(p_type, ' ', 1) AS category, p_size % 2 = 0 AS is_answer FROM part),
+  a AS (SELECT pool, k AS ok, category AS other, min(answer) AS option, max(is_answer) AS answers FROM o WHERE k <> '' GROUP BY ALL),
+  f AS (SELECT id, ok, option, category = other AS same, answers, md5('1:' || id || ':' || ok) AS draw FROM o JOIN a USING (pool) WHERE k <> '' AND NOT contains(k, ok) AND NOT contains(ok, k) AND regexp_matches(k, '[0-9]') = regexp_matches(ok, '[0-9]')),
+  u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id, ok ORDER BY same DESC, answers DESC, draw, option) = 1)
+SELECT id AS point_id, CAST(row_number() OVER (PARTITION BY id ORDER BY same DESC, answers DESC, draw, option) AS INT) AS n, option FROM u QUALIFY n <= 3"""),
     "grade_answers": (grade_answers, f"""WITH g AS (SELECT p_partkey, ['OX', 'MULTIPLE_CHOICE', 'FILL_BLANK', 'SHORT_ANSWER', 'SUBJECTIVE', 'DESCRIPTIVE'][p_size % 6 + 1] AS kind, {key_sql('p_type')} AS k1, {key_sql('p_name')} AS k2,
   CASE p_partkey % 3 WHEN 0 THEN {key_sql('p_type')} WHEN 1 THEN {key_sql('p_name')} ELSE '' END AS u FROM part)
 SELECT p_partkey, kind, CASE WHEN kind IN ('OX', 'MULTIPLE_CHOICE') THEN 'choice' WHEN kind IN ('FILL_BLANK', 'SHORT_ANSWER') THEN 'text' ELSE 'self' END AS mode,
@@ -173,7 +177,12 @@ SELECT p_partkey, kind, CASE WHEN kind IN ('OX', 'MULTIPLE_CHOICE') THEN 'choice
     "reason_histogram": (reason_histogram, "SELECT reason, count(*) AS n FROM (SELECT unnest([CASE WHEN o_totalprice < 50000 THEN 'small' END, CASE WHEN o_orderstatus = 'O' THEN 'open' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'low' END]) AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY 1"),
     "accepted_questions": (accepted_questions, None),
     "weighted_sample": (weighted_sample, None),
-    "shuffle_spread": (shuffle_spread, f"WITH {QUESTIONS_SQL} SELECT session_id, count(*) AS questions, CAST(count(*) - 1 AS INT) AS last FROM questions GROUP BY 1"),
+    "shuffle_spread": (shuffle_spread, f"""WITH {QUESTIONS_SQL}, t AS (SELECT DISTINCT session_id, ord || ':' || l_partkey AS question_id, l_suppkey % 3 AS target_id FROM questions),
+  o AS (SELECT session_id, list({{'q': question_id, 't': target_id}} ORDER BY md5('1:' || session_id || ':' || question_id), question_id) AS a FROM t GROUP BY 1),
+  s AS (SELECT session_id, list_reduce(list_prepend(a, list_transform(range(2, len(a) + 1), lambda i: [{{'q': CAST(i AS VARCHAR), 't': CAST(i AS BIGINT)}}])), lambda a, x:
+    CASE WHEN a[x[1].t].t = a[x[1].t - 1].t THEN list_transform([coalesce(list_filter(range(x[1].t + 1, len(a) + 1), lambda k: a[k].t <> a[x[1].t].t AND (k = len(a) OR a[k + 1].t <> a[x[1].t].t))[1], x[1].t)],
+      lambda k: list_transform(range(1, len(a) + 1), lambda m: CASE WHEN m = x[1].t THEN a[k] WHEN m = k THEN a[x[1].t] ELSE a[m] END))[1] ELSE a END) AS a FROM o)
+SELECT session_id, unnest(a).q AS question_id, CAST(unnest(range(len(a))) AS INT) AS ord FROM s"""),
     "summary_sections": (summary_sections, """WITH p AS (SELECT p_brand AS unit_id, 1 + p_size % 5 AS imp, split_part(p_type, ' ', 1) AS category, p_partkey, p_name FROM part),
   s AS (SELECT *, CASE WHEN category IN ('ECONOMY', 'STANDARD', 'PROMO') THEN category ELSE '특징' END AS cat FROM p)
 SELECT unit_id, CASE WHEN imp >= 5 THEN 0 WHEN imp <= 2 THEN 99 ELSE coalesce(nullif(list_position(['ECONOMY', 'STANDARD', 'PROMO'], cat), 0), 98) END AS place,

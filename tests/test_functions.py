@@ -115,8 +115,18 @@ def test_spread_and_acceptance(spark):
     slots = spark.createDataFrame([(1, t_, n) for n, t_ in enumerate("aaabbbccd")], "session_id int, target_id string, question_id int")
     rows = {r.question_id: r.ord for r in quiz.spread(slots).collect()}
     ids = {r.question_id: r.target_id for r in slots.collect()}
-    order = [ids[q] for q in sorted(rows, key=rows.get)]
-    assert sum(a == b for a, b in zip(order, order[1:], strict=False)) <= 1
+    import hashlib
+
+    wanted = sorted(ids, key=lambda q: hashlib.md5(f"1:1:{q}".encode()).hexdigest())
+    before = sum(ids[a] == ids[b] for a, b in zip(wanted, wanted[1:], strict=False))
+    for i in range(1, len(wanted)):
+        on = [ids[q] for q in wanted]
+        partners = [k for k in range(i + 1, len(on)) if on[k] != on[i] and on[k + 1 : k + 2] != [on[i]]]
+        if on[i] == on[i - 1] and partners:
+            wanted[i], wanted[partners[0]] = wanted[partners[0]], wanted[i]
+    order = sorted(rows, key=rows.get)
+    assert order == wanted and sorted(rows.values()) == list(range(10))
+    assert sum(ids[a] == ids[b] for a, b in zip(order, order[1:], strict=False)) < before
     questions = spark.createDataFrame([(1, 1, "a", "OX", "what is the capital of korea"), (1, 2, "b", "OX", "what is the capital of koreas"), (1, 3, "a", "OX", "entirely different words"), (1, 4, "c", "OX", "a third unrelated thing")], "session_id int, ord int, target_id string, type string, question string")
     assert [r.accepted for r in quiz.accept_in_order(questions).orderBy("ord").collect()] == [True, False, False, True]
 
