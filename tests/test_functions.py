@@ -125,7 +125,7 @@ def test_spread_and_acceptance(spark):
         if on[i] == on[i - 1] and partners:
             wanted[i], wanted[partners[0]] = wanted[partners[0]], wanted[i]
     order = sorted(rows, key=rows.get)
-    assert order == wanted and sorted(rows.values()) == list(range(10))
+    assert order == wanted and sorted(rows.values()) == list(range(len(ids)))
     assert sum(ids[a] == ids[b] for a, b in zip(order, order[1:], strict=False)) < before
     questions = spark.createDataFrame([(1, 1, "a", "OX", "what is the capital of korea"), (1, 2, "b", "OX", "what is the capital of koreas"), (1, 3, "a", "OX", "entirely different words"), (1, 4, "c", "OX", "a third unrelated thing")], "session_id int, ord int, target_id string, type string, question string")
     assert [r.accepted for r in quiz.accept_in_order(questions).orderBy("ord").collect()] == [True, False, False, True]
