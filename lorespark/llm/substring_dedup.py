@@ -205,8 +205,8 @@ LATER = "doc_id is not null and (least is null or least < doc_id)"
 
 
 def duplicate_windows(documents: DataFrame, size: int = SIZE, id_column: str = "doc_id", text: str = "text", hot: int = HOT, work: Workspace | None = None) -> DataFrame:
-    """``doc_id, version, start, n``: the windows start .. start+n-1 (numbers of their first words) of the text with that
-    digest occur in a smaller document."""
+    """``doc_id, version, spans``: lists of ``start, n``: the windows start .. start+n-1 (numbers of their first words) of
+    the text with that digest occur in a smaller document. A text may have several rows."""
     spark = documents.sparkSession
     prepare(spark)
     work = work or Workspace(spark, "windows")
@@ -219,7 +219,7 @@ def duplicate_windows(documents: DataFrame, size: int = SIZE, id_column: str = "
 
     known = work.write(index.groupBy("seed", "phrase").agg(*_least_and_most(), F.max("n").alias("n")), "known")
     repeated = work.write(known.where(SHARED).select("seed", "phrase", "least"), "repeated")
-    whole = index.join(repeated, ["seed", "phrase"]).where(LATER).select("doc_id", "version", "start", "n")
+    whole = index.join(repeated, ["seed", "phrase"]).where(LATER).select("doc_id", "version", F.array(F.struct("start", "n")).alias("spans"))
 
     kinds = work.write(known.groupBy("seed").agg(F.count("*").alias("kinds"), F.sum("n").alias("volume")).where("kinds > 1"), "kinds")
     differing = work.write(known.join(kinds, "seed").select("seed", "phrase", F.col("least").alias("_least")), "differing")
@@ -239,8 +239,10 @@ def duplicate_windows(documents: DataFrame, size: int = SIZE, id_column: str = "
     again = work.write(windows.groupBy("window").agg(*_least_and_most()).where(SHARED).select("window", "least"), "again")
     single = windows.join(again, "window").where(LATER).select("seed", "phrase", "at", F.lit(1).alias("n"))
 
-    found = work.write(parsed.union(single), "found").withColumnRenamed("n", "found_n")
-    inside = firsts.join(found, ["seed", "phrase"]).select("doc_id", "version", (F.col("start") + F.col("at")).alias("start"), F.col("found_n").alias("n"))
+    # A phrase has as many factors as windows at most, so a list of them is short.
+    found = work.write(parsed.union(single).groupBy("seed", "phrase").agg(F.collect_list(F.struct("at", "n")).alias("factors")), "found")
+    moved = F.transform("factors", lambda f: F.struct((f["at"] + F.col("start")).alias("start"), f["n"].alias("n")))
+    inside = firsts.join(found, ["seed", "phrase"]).select("doc_id", "version", moved.alias("spans"))
     return whole.union(inside)
 
 
@@ -249,7 +251,7 @@ def remove_duplicates(documents: DataFrame, size: int = SIZE, id_column: str = "
     work = Workspace(documents.sparkSession, "substrings")
     source = _source(documents, id_column, text)
     spans = duplicate_windows(documents, size, id_column, text, hot, work).distinct()
-    lists = work.write(spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    lists = work.write(spans.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     work.drop("index", "known", "repeated", "kinds", "differing", "firsts", "asked", "texts", "windows", "again", "found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
