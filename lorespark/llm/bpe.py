@@ -31,9 +31,9 @@ from lorespark.llm.scratch import prepare
 from lorespark.llm.words import gathered, held, slices, split_words
 
 #: Pieces kept per Python worker; the store is emptied when it is full, which changes nothing but speed.
-KEEP = 300_000
+KEEP = 120_000
 #: Answers about pairs of tokens kept per worker, emptied likewise.
-KEEP_PAIRS = 400_000
+KEEP_PAIRS = 200_000
 #: The kind of tokenizer file that the walk is made for. Fixed values of the file's format.
 FORM = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -194,7 +194,8 @@ class PieceEncoder:
 
     def __init__(self, library, config: dict):
         model = config["model"]
-        self.library = library
+        # Not the library's own model, which takes more memory than all else here.
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.trie = TrieEncoder(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.specials = {t["content"]: t["id"] for t in config["added_tokens"]}
         tokens = [""] * (max([*model["vocab"].values(), *self.specials.values()]) + 1)
@@ -212,7 +213,7 @@ class PieceEncoder:
             if special in text:
                 head, _, tail = text.partition(special)
                 return [*self._split(head), special, *self._split(tail)]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def learn(self, pieces: list[bytes]) -> None:
         """Encode the pieces that are not known yet."""
@@ -277,7 +278,7 @@ def _mapped(documents: DataFrame, path: str | None, text: str, columns: list[tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(where)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 1 << 20):
             ids, decoded = coder.encode(batch.column(text))
             rows = [form(i, d.as_py() if isinstance(d, pa.Scalar) else d) for i, d in zip(ids, decoded, strict=True)]
             made = [pa.array([r[i] for r in rows], c[2]) for i, c in enumerate(columns)]

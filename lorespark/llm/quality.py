@@ -116,7 +116,10 @@ def labelled_features(documents: DataFrame, labels: DataFrame, label: str = "qua
     rows = known.mapInArrow(describe, "doc_id string, label double, vector binary").orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(max_labelled).collect()
     if not rows:
         return np.zeros((0, WIDTH), np.float32), np.zeros(0)
-    return np.stack([np.frombuffer(r.vector, np.float16) for r in rows]).astype(np.float32), np.array([r.label for r in rows])
+    vectors = np.empty((len(rows), WIDTH), np.float32)
+    for k, r in enumerate(rows):
+        vectors[k] = np.frombuffer(r.vector, np.float16)
+    return vectors, np.array([r.label for r in rows])
 
 
 def fit(vectors: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> dict:
