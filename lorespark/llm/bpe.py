@@ -31,9 +31,9 @@ from lorespark.llm.scratch import prepare
 from lorespark.llm.words import gathered, held, slices, split_words
 
 #: Pieces kept per Python worker; the store is emptied when it is full, which changes nothing but speed.
-KEEP = 120_000
+KEEP = 300_000
 #: Answers about pairs of tokens kept per worker, emptied likewise.
-KEEP_PAIRS = 200_000
+KEEP_PAIRS = 400_000
 #: The kind of tokenizer file that the walk is made for. Fixed values of the file's format.
 FORM = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
