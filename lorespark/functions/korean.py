@@ -51,8 +51,12 @@ def strip_particle(word: Column) -> Column:
 
 
 def keyword_candidates(sentence: Column) -> Column:
-    """``array<struct<stem, score, generic>>``, best score first, earlier first among equals."""
-    tokens = F.filter(F.split(text_of(sentence), r"\s+"), lambda t: t != "")
+    """``array<struct<stem, score, generic>>``, best score first, earlier first among equals; in time that is linear but
+    for sorting, however long the sentence is."""
+    return let(F.filter(F.split(text_of(sentence), r"\s+"), lambda t: t != ""), _ranked)
+
+
+def _ranked(tokens: Column) -> Column:
     parsed = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("at"), strip_particle(t).alias("stem"), F.regexp_replace(t, "[.,!?;:]+$", "").alias("bare")))
 
     def wanted(w: Column) -> Column:
@@ -70,8 +74,10 @@ def keyword_candidates(sentence: Column) -> Column:
         return F.struct((-F.when(numeric, F.lit(4.0)).otherwise(score)).alias("rank"), w["at"].alias("at"), stem.alias("stem"), (generic & ~numeric).alias("generic"))
 
     rows = F.transform(F.filter(parsed, wanted), scored)
-    firsts = F.filter(rows, lambda r: ~F.exists(rows, lambda o: (o["stem"] == r["stem"]) & (o["at"] < r["at"])))
-    return F.transform(F.array_sort(firsts), lambda r: F.struct(r["stem"].alias("stem"), (-r["rank"]).alias("score"), r["generic"].alias("generic")))
+    by_stem = F.array_sort(F.transform(rows, lambda r: F.struct(r["stem"].alias("stem"), r["at"].alias("at"), r.alias("row"))))
+    firsts = let(by_stem, lambda all_: F.filter(all_, lambda r, i: (i == 0) | (r["stem"] != F.get(all_, i - 1)["stem"])))
+    best = F.array_sort(F.transform(firsts, lambda r: r["row"]))
+    return F.transform(best, lambda r: F.struct(r["stem"].alias("stem"), (-r["rank"]).alias("score"), r["generic"].alias("generic")))
 
 
 def has_batchim(word: Column) -> Column:
@@ -103,17 +109,21 @@ def is_trivial_answer(answer: Column) -> Column:
     return (normalize_text(answer) == "") | bare.isin(*STOPWORDS, *GENERIC, *PARTICLES)
 
 
-def is_good_blank_answer(answer: Column, sentence: Column) -> Column:
-    a, s = normalize_text(answer), normalize_text(sentence)
-    short = (F.length(a) <= 24) & (F.size(F.split(F.trim(answer), r"\s+")) <= 6) & ((s == "") | (F.length(a) <= F.length(s) * 0.6))
+def is_good_blank_answer(answer: Column, sentence: Column, sentence_key_length: Column | None = None) -> Column:
+    """sentence_key_length: the length of the normalised sentence, where it is known already."""
+    a, n = normalize_text(answer), F.length(normalize_text(sentence)) if sentence_key_length is None else sentence_key_length
+    short = (F.length(a) <= 24) & (F.size(F.split(F.trim(answer), r"\s+")) <= 6) & ((n == 0) | (F.length(a) <= n * 0.6))
     return ~is_trivial_answer(answer) & short
 
 
 def choose_blank(sentence: Column) -> Column:
     """``struct<answer, blank_text>`` of the best keyword that makes a good blank; null where there is none."""
-    good = F.filter(keyword_candidates(sentence), lambda k: ~k["generic"] & is_good_blank_answer(k["stem"], sentence) & F.contains(sentence, k["stem"]))
-    best = F.get(good, F.lit(0))["stem"]
-    return F.when(best.isNotNull(), F.struct(best.alias("answer"), make_blank(sentence, best).alias("blank_text")))
+    known = F.struct(keyword_candidates(sentence).alias("all"), F.length(normalize_text(sentence)).alias("n"))
+
+    def good(x: Column) -> Column:
+        return F.filter(x["all"], lambda k: ~k["generic"] & is_good_blank_answer(k["stem"], sentence, x["n"]) & F.contains(sentence, k["stem"]))
+
+    return let(F.get(let(known, good), F.lit(0))["stem"], lambda best: F.when(best.isNotNull(), F.struct(best.alias("answer"), make_blank(sentence, best).alias("blank_text"))))
 
 
 def split_topic(sentence: Column) -> Column:
