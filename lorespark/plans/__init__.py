@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorespark.plans import progress, quiz, structure, texts
+from lorespark.plans import progress, quiz, structure, study, texts
 
-MODULES = (progress, quiz, structure, texts)
+MODULES = (progress, quiz, structure, texts, study)
 
 
 def all_queries() -> dict[str, tuple]:
