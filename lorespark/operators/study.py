@@ -10,7 +10,7 @@ from lorespark.functions.similarity import pieces_of_key
 from lorespark.functions.text import category_of, hash_string, importance_of, is_meaningful, let, normalize_text, sentences_with_headings, strip_emphasis, text_of
 from lorespark.operators.points import matched_points
 from lorespark.operators.progress import apply_result, session_scores, unit_progress
-from lorespark.sources.tables import latest
+from lorespark.sources.tables import latest, settled
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 CORE_CONTENT, BELIEF = "핵심 내용", "신념화 (마음가짐)"
@@ -104,11 +104,12 @@ def refreshed_points(materials: DataFrame, points: DataFrame, structured: DataFr
     made = analyzed_points(todo.where("_special is null").select("material_id", "text")).withColumn("origin", F.lit("local"))
     if structured is not None:
         made = made.unionByName(structured.join(todo.select("material_id"), "material_id", "left_semi").select(*made.drop("origin").columns).withColumn("origin", F.lit("structure")))
-    made = made.join(todo.select("material_id", "unit_id"), "material_id").withColumn("_new", F.md5(F.concat_ws(":", "material_id", "order_index", "text")))
+    made = settled(made.join(todo.select("material_id", "unit_id"), "material_id").withColumn("_new", F.md5(F.concat_ws(":", "material_id", "order_index", "text"))))
 
     living = points.join(hashed.select("material_id", "_stale"), "material_id")
     old = living.where("_stale")
     pairs = matched_points(old.select("material_id", "id", F.col("order_index").alias("ord"), "text"), made.select("material_id", F.col("_new").alias("id"), F.col("order_index").alias("ord"), "text"))
+    pairs = settled(pairs)
     kept = old.select(F.col("id").alias("old_id"), *LEARNING, "created_at")
     joined = made.join(pairs.select(F.col("new_id").alias("_new"), "old_id"), "_new", "left").join(kept, "old_id", "left")
     is_new = F.col("old_id").isNull()

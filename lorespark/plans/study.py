@@ -10,7 +10,7 @@ from lorespark.operators import quiz as q
 from lorespark.operators.questions import content_questions
 from lorespark.plans.progress import POINTS_SQL, QUESTIONS_SQL, points, questions
 from lorespark.plans.texts import LINES_SQL, documents, key_sql
-from lorespark.sources.tables import read_table
+from lorespark.sources.tables import read_table, settled
 
 KINDS = ("OX", "MULTIPLE_CHOICE", "FILL_BLANK", "SHORT_ANSWER", "SUBJECTIVE", "DESCRIPTIVE")
 NOW = 1_700_000_000_000
@@ -30,7 +30,7 @@ def refreshed_points(spark, d):
     """
     docs = read_table(spark, d, "benchmark").select(F.col("item_id").alias("material_id"), (F.col("item_id") % 24).alias("unit_id"), "text")
     before = docs.withColumn("text", F.when(F.col("material_id") % 5 == 0, F.col("text")).otherwise(F.substring("text", F.lit(1), F.ceil(F.length("text") / 2).cast("int"))))
-    old = study.analyzed_points(before.select("material_id", "text")).join(docs.select("material_id", "unit_id"), "material_id")
+    old = settled(study.analyzed_points(before.select("material_id", "text"))).join(docs.select("material_id", "unit_id"), "material_id")
     fixed = {"study_level": 40.0, "correct_count": 2, "wrong_count": 1, "streak": 1, "last_result": True, "last_studied_at": 5, "last_question_type": "OX", "created_at": 1}
     old = old.withColumn("id", F.concat_ws("-", "material_id", "order_index")).withColumns({c: F.lit(v).cast(study.LEARNING.get(c, "bigint")) for c, v in fixed.items()})
     old = old.withColumn("origin", F.lit("local")).withColumn("updated_at", F.lit(1).cast("bigint"))

@@ -32,6 +32,11 @@ def register_views(spark: SparkSession, folder: str, names: list[str]) -> None:
         read_table(spark, folder, name).createOrReplaceTempView(name)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed once: a checkpoint in the session's checkpoint folder; where none is set, the plan as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """The table after the changes: a changed row replaces the one with its key. One change per key."""
     return table.join(changes.select(key), key, "left_anti").select(*table.columns).unionByName(changes.select(*table.columns))

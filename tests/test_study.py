@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import hash_string
 from lorespark.operators import assembly, study, words
+from lorespark.sources.tables import settled
 
 TEXT = "1. 세포의 구조\n세포막은 세포를 둘러싸서 보호하는 역할을 한다.\n★ 반드시 기억: 세포막은 인지질 2중층으로 이루어진다.\n세포막은 세포를 둘러싸서 보호하는 역할을 한다!\n예를 들어 세포막이 그렇다고 한다.\n짧다."
 
@@ -25,7 +26,7 @@ def test_analyzed_points(spark):
 
 
 def learnt(spark, rows):
-    made = study.analyzed_points(spark.createDataFrame(rows, "material_id long, text string"))
+    made = settled(study.analyzed_points(spark.createDataFrame(rows, "material_id long, text string")))
     values = {"study_level": 50.0, "correct_count": 3, "wrong_count": 1, "streak": 2, "last_result": True, "last_studied_at": 9, "last_question_type": "OX"}
     made = made.withColumns({c: F.lit(v).cast(study.LEARNING[c]) for c, v in values.items()})
     return made.withColumns({"unit_id": F.lit(1), "id": F.concat_ws("-", "material_id", "order_index"), "origin": F.lit("local"), "created_at": F.lit(1).cast("long"), "updated_at": F.lit(1).cast("long")})
@@ -38,6 +39,7 @@ def test_refresh(spark):
     materials = spark.createDataFrame([(1, 1, first + "\n" + near + "\n신라는 경주를 수도로 삼은 나라이다."), (2, 1, first), (3, 1, second)], "material_id long, unit_id int, text string")
     materials = materials.withColumns({"points_hash": F.when(F.col("material_id") == 2, hash_string(F.col("text"))), "points_origin": F.lit("local"), "points_version": F.lit(study.ANALYSIS_VERSION)})
     after, marks = study.refreshed_points(materials, old, now=F.lit(77).cast("long"))
+    after, marks = settled(after), settled(marks)
     rows = {(r.material_id, r.text): r for r in after.collect()}
     assert set(k[0] for k in rows) == {1, 2, 3}
     assert rows[1, first].id == "1-0" and rows[1, first].study_level == 50.0 and rows[1, first].updated_at == 77
