@@ -31,7 +31,7 @@ def lines_of(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
 
 def count_of(c: Column, pattern: str) -> Column:
     """How many characters of the class (written for use inside brackets) the text has."""
-    return F.length(c) - F.length(F.regexp_replace(c, f"[{pattern}]", ""))
+    return F.regexp_count(c, F.lit(f"[{pattern}]"))
 
 
 def is_page_number(c: Column) -> Column:

@@ -28,7 +28,9 @@ LINES_SQL = "lines AS (SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    """The texts; dealt anew where the files give fewer partitions than there are cores, as one row group does."""
+    t, cores = read_table(spark, d, "documents").select("doc_id", "text", "lang", "source"), spark.sparkContext.defaultParallelism
+    return t if t.rdd.getNumPartitions() >= cores else t.repartition(cores)
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +38,8 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_text(spark, d):
-    return documents(spark, d).select("doc_id", F.md5(t.normalize_text(F.col("text"))).alias("key_md5"), F.length(t.normalize_text(F.col("text"))).alias("key_length"))
+    keyed = documents(spark, d).select("doc_id", t.normalize_text(F.col("text")).alias("key"))
+    return keyed.select("doc_id", F.md5("key").alias("key_md5"), F.length("key").alias("key_length"))
 
 
 def djb2_hash(spark, d):
@@ -53,10 +56,13 @@ _HASH_SQL = "lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform
 
 
 def dedup_norm_first(spark, d):
-    """Lines that appear for the first time, by their key, in (document, line) order; counted by language."""
-    rows = lines(spark, d).withColumn("key", t.normalize_text(F.col("line"))).where("key <> ''")
-    firsts = s.first_by_key(rows, F.col("key"), ["doc_id", "line_no"])
-    return firsts.groupBy("doc_id").agg(F.count("*").alias("new_lines"))
+    """Lines that appear for the first time, by their key, in (document, line) order; counted by document.
+
+    Only keys and places are shuffled, pre-aggregated, so that a line of very many documents is no hot key.
+    """
+    rows = lines(spark, d).select("doc_id", "line_no", t.normalize_text(F.col("line")).alias("key")).where("key <> ''")
+    firsts = rows.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    return firsts.groupBy("first.doc_id").agg(F.count("*").alias("new_lines"))
 
 
 def sentence_split(spark, d):
