@@ -82,7 +82,7 @@ def grade_answers(spark, d):
 
 def question_reasons(spark, d):
     """Why questions made from benchmark items would be rejected: counts by reason."""
-    t = read_table(spark, d, "benchmark").where("length(text) > 40")
+    t = read_table(spark, d, "benchmark")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("item_id") % 6 + 1).cast("int"))
     excerpt, answer = F.substring("text", 1, 30), F.regexp_extract("text", r"^(\S+\s+\S+)", 1)
     question = F.when(kind == "FILL_BLANK", make_blank(F.substring("text", 1, 30), answer)).otherwise(F.substring("text", 5, 24))
@@ -176,7 +176,8 @@ SELECT p_partkey, kind, CASE WHEN kind IN ('OX', 'MULTIPLE_CHOICE') THEN 'choice
     "question_reasons": (question_reasons, None),
     "reason_histogram": (reason_histogram, "SELECT reason, count(*) AS n FROM (SELECT unnest([CASE WHEN o_totalprice < 50000 THEN 'small' END, CASE WHEN o_orderstatus = 'O' THEN 'open' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'low' END]) AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY 1"),
     "accepted_questions": (accepted_questions, None),
-    "weighted_sample": (weighted_sample, None),
+    "weighted_sample": (weighted_sample, """WITH k AS (SELECT p_brand, p_partkey, -ln((('0x' || substr(md5('1:' || p_partkey), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / greatest(p_size::DOUBLE, 1e-12) AS key FROM part)
+SELECT p_brand, p_partkey FROM k QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY key, p_partkey) <= 10"""),
     "shuffle_spread": (shuffle_spread, f"""WITH {QUESTIONS_SQL}, t AS (SELECT DISTINCT session_id, ord || ':' || l_partkey AS question_id, l_suppkey % 3 AS target_id FROM questions),
   o AS (SELECT session_id, list({{'q': question_id, 't': target_id}} ORDER BY md5('1:' || session_id || ':' || question_id), question_id) AS a FROM t GROUP BY 1),
   s AS (SELECT session_id, list_reduce(list_prepend(a, list_transform(range(2, len(a) + 1), lambda i: [{{'q': CAST(i AS VARCHAR), 't': CAST(i AS BIGINT)}}])), lambda a, x:

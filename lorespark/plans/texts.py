@@ -278,7 +278,12 @@ SELECT CASE WHEN n = 0 THEN 'blank' WHEN h + l + dg = 0 THEN 'symbols' WHEN j >=
   length(regexp_replace(b, '[^0-9]', '', 'g')) AS dg, length(regexp_replace(b, '[^.,·ㆍ:;()\[\]‘’“”''"\-~?!/%○●•▪■□★☆※<>「」『』…]', '', 'g')) AS m FROM b)
 SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (h + l + dg + 0.6::DOUBLE * m) / n - CASE WHEN h >= 3 AND l > 0 AND l < h THEN least(0.5::DOUBLE, l / n * 2.5::DOUBLE) ELSE 0 END)) END, 6) AS quality FROM q"""),
     "lexicon_counts": (lexicon_counts, rf"""WITH {LINES_SQL}, w AS (SELECT regexp_replace(unnest(regexp_split_to_array(line, '\s+')), '^[“"''‘(\[<《「『]+|[”"''’)\]>》」』.,!?;:·…]+$', '', 'g') AS stem FROM lines) SELECT stem, count(*) AS n FROM w WHERE stem <> '' GROUP BY 1"""),
-    "cleanup_log_counts": (cleanup_log_counts, None),
+    "cleanup_log_counts": (cleanup_log_counts, rf"""WITH l AS (SELECT source, unnest(regexp_split_to_array(coalesce(text, ''), '\r?\n')) AS line FROM documents), b AS (SELECT source, line, regexp_replace(line, '\s+', '', 'g') AS b FROM l),
+  q AS (SELECT *, length(b) AS n, length(regexp_replace(b, '[^가-힣]', '', 'g')) AS h, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(b, '[^0-9]', '', 'g')) AS dg, length(regexp_replace(b, '[^ㄱ-ㅎㅏ-ㅣ]', '', 'g')) AS j,
+    length(regexp_replace(b, '[^.,·ㆍ:;()\[\]‘’“”''"\-~?!/%○●•▪■□★☆※<>「」『』…]', '', 'g')) AS m,
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^\s*[•●∙◦○▪■·ㆍ*]\s*', '● '), '^\s*[―ㅡ–—−]\s*', '- '), '^\s*-\s*', '- '), '\s*[ㆍ∙]\s*', ' · ', 'g'), '\s{{2,}}', ' ', 'g'), ' ') AS clean FROM b)
+SELECT source, CASE WHEN n = 0 OR h + l + dg = 0 OR (j >= 2 AND j >= h * 0.5) OR (h + l + dg + 0.6 * m) / n - CASE WHEN h >= 3 AND l > 0 AND l < h THEN least(0.5, l / n * 2.5) ELSE 0 END < 0.25 THEN 'noise'
+  WHEN trim(line) <> '' AND length(trim(line)) <= 20 AND regexp_matches(trim(line), '\d') AND regexp_matches(trim(line), '{c.PAGE_NUMBER}') THEN 'pageNumber' WHEN clean <> line THEN 'bullet' ELSE 'kept' END AS type, count(*) AS n FROM q GROUP BY ALL"""),
     "repeated_line_df": (repeated_line_df, f"WITH {LINES_SQL} SELECT md5(line) AS line_md5, count(DISTINCT doc_id) AS documents FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 3"),
     "keyword_repeat_count": (keyword_repeat_count, f"WITH {LINES_SQL}, w AS (SELECT *, regexp_extract(line, '([A-Za-z]{{6,}})', 1) AS word FROM lines WHERE line <> '') SELECT a.doc_id, CAST(a.line_no AS INT) AS line_no, count(*) AS repeats FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.line_no <> b.line_no AND a.word <> '' AND contains(b.line, a.word) GROUP BY ALL"),
     "bigram_dice_pairs": (bigram_dice_pairs, f"""WITH {grams_sql('benchmark', 'item_id', key_sql('text'), 'g')}, n AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
