@@ -37,6 +37,18 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return c.lines_of(documents(spark, d))
 
 
+#: Beginnings that lines get in turn, so that Korean rules, marks and bullets meet the tables' lines.
+BEGINNINGS = (
+    "", "• ", "― ", "가ㆍ나 ", "세포막이란 ", "그 때문에 ", "보호하는 역할 ", "★ 반드시 ", "예를 들어 ", "그것보다 ", "먼저 ", "사이에 위치한 ", "‘핵심 용어’ ", "ㄱㄴㄷㅏㅏ", "한글은aB ", "1) ", "",
+)
+MARKED_SQL = f"{LINES_SQL}, marked AS (SELECT doc_id, line_no, {list(BEGINNINGS)}[(doc_id + line_no) % {len(BEGINNINGS)} + 1] || line AS line FROM lines)"
+
+
+def marked_lines(spark: SparkSession, d: str) -> DataFrame:
+    beginning = F.element_at(F.array(*map(F.lit, BEGINNINGS)), (F.pmod(F.col("doc_id") + F.col("line_no"), F.lit(len(BEGINNINGS))) + 1).cast("int"))
+    return lines(spark, d).withColumn("line", F.concat(beginning, "line"))
+
+
 def normalize_text(spark, d):
     keyed = documents(spark, d).select("doc_id", t.normalize_text(F.col("text")).alias("key"))
     return keyed.select("doc_id", F.md5("key").alias("key_md5"), F.length("key").alias("key_length"))
@@ -74,11 +86,11 @@ def meaningful_filter(spark, d):
 
 
 def category_rules(spark, d):
-    return lines(spark, d).where("line <> ''").groupBy(t.category_of(F.col("line")).alias("category")).agg(F.count("*").alias("n"))
+    return marked_lines(spark, d).where("line <> ''").groupBy(t.category_of(F.col("line")).alias("category")).agg(F.count("*").alias("n"))
 
 
 def importance_scores(spark, d):
-    return lines(spark, d).where("line <> ''").groupBy(t.importance_of(F.col("line")).alias("importance")).agg(F.count("*").alias("n"))
+    return marked_lines(spark, d).where("line <> ''").groupBy(t.importance_of(F.col("line")).alias("importance")).agg(F.count("*").alias("n"))
 
 
 def line_roles(spark, d):
@@ -113,7 +125,7 @@ def join_lines_islands(spark, d):
 
 def bullet_normalize(spark, d):
     """Lines that the normal form of bullets changes, and their digest."""
-    rows = lines(spark, d).withColumn("clean", c.normalize_bullets(F.col("line"))).where("clean <> line")
+    rows = marked_lines(spark, d).withColumn("clean", c.normalize_bullets(F.col("line"))).where("clean <> line")
     return rows.select("doc_id", "line_no", F.md5("clean").alias("clean_md5"))
 
 
@@ -124,14 +136,15 @@ def page_number_filter(spark, d):
 
 
 def datetime_watermark(spark, d):
-    """Printed date-times are taken off lines; here the order's stamp is printed behind its priority."""
-    stamp = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")
-    rows = read_table(spark, d, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", stamp).alias("line"))
+    """Printed date-times and slash chains are taken off lines; here the order's stamp is printed in the middle of its
+    priority, and for some orders names and slashes stand before it (the word before a slash is part of the chain)."""
+    stamp = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "/홍길동/국어/").otherwise(""), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"))
+    rows = read_table(spark, d, "orders").select("o_orderkey", F.concat_ws(" ", F.substring("o_orderpriority", 1, 3), stamp, F.substring("o_orderpriority", 4, 20)).alias("line"))
     return rows.select("o_orderkey", c.strip_printed_marks(F.col("line")).alias("clean"))
 
 
 def noise_reason(spark, d):
-    return lines(spark, d).groupBy(F.coalesce(c.noise_reason(F.col("line")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return marked_lines(spark, d).groupBy(F.coalesce(c.noise_reason(F.col("line")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def text_quality(spark, d):
@@ -225,9 +238,9 @@ def table_rows(spark, d):
 
 
 def emphasis_terms(spark, d):
-    """Quoted terms of 2 to 30 characters, once per document."""
-    terms = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[‘'“\"]([^’'”\"]{2,30})[’'”\"]"), 1))).alias("term")
-    return documents(spark, d).select("doc_id", terms)
+    """Quoted terms of 2 to 30 characters in each line, once per document, with the number of lines that have them."""
+    terms = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[‘'“\"]([^’'”\"]{2,30})[’'”\"]"), 1))).alias("term")
+    return marked_lines(spark, d).select("doc_id", terms).groupBy("doc_id", "term").agg(F.count("*").alias("lines"))
 
 
 def truncate_escape(spark, d):
@@ -254,9 +267,9 @@ QUERIES = {
     "sentence_split": (sentence_split, r"""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS a FROM documents)
 SELECT doc_id, CAST(len(a) AS INT) AS sentences, CAST(length(a[1]) AS INT) AS first_length FROM a"""),
     "meaningful_filter": (meaningful_filter, f"WITH {LINES_SQL}, k AS (SELECT doc_id, {key_sql('line')} AS k FROM lines) SELECT doc_id, count(*) AS kept FROM k WHERE length(k) >= 5 AND NOT regexp_matches(k, '^[0-9]+$') AND regexp_matches(k, '[가-힣a-zA-Z]') GROUP BY 1"),
-    "category_rules": (category_rules, f"WITH {LINES_SQL} SELECT CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in t.CATEGORIES) + f" ELSE '{t.OTHER_CATEGORY}' END AS category, count(*) AS n FROM lines WHERE line <> '' GROUP BY 1"),
-    "importance_scores": (importance_scores, f"""WITH {LINES_SQL}, p AS (SELECT 3.0 + regexp_matches(line, '{t.CATEGORIES[0][1]}')::INT + regexp_matches(line, '[0-9]')::INT + regexp_matches(line, '{t.CATEGORIES[1][1]}')::INT
-  + 0.5 * regexp_matches(line, '{t.CATEGORIES[2][1]}')::INT + 1.5 * regexp_matches(line, '{t.EMPHASIS}')::INT - 2 * regexp_matches(line, '{t.EXAMPLE}')::INT - (length({key_sql('line')}) < 10)::INT AS p FROM lines WHERE line <> '')
+    "category_rules": (category_rules, f"WITH {MARKED_SQL} SELECT CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in t.CATEGORIES) + f" ELSE '{t.OTHER_CATEGORY}' END AS category, count(*) AS n FROM marked WHERE line <> '' GROUP BY 1"),
+    "importance_scores": (importance_scores, f"""WITH {MARKED_SQL}, p AS (SELECT 3.0 + regexp_matches(line, '{t.CATEGORIES[0][1]}')::INT + regexp_matches(line, '[0-9]')::INT + regexp_matches(line, '{t.CATEGORIES[1][1]}')::INT
+  + 0.5 * regexp_matches(line, '{t.CATEGORIES[2][1]}')::INT + 1.5 * regexp_matches(line, '{t.EMPHASIS}')::INT - 2 * regexp_matches(line, '{t.EXAMPLE}')::INT - (length({key_sql('line')}) < 10)::INT AS p FROM marked WHERE line <> '')
 SELECT CAST(least(greatest(floor(p + 0.5), 1), 5) AS INT) AS importance, count(*) AS n FROM p GROUP BY 1"""),
     "line_roles": (line_roles, f"WITH {LINES_SQL} SELECT doc_id, CASE WHEN regexp_matches(line, '{_BULLET}') THEN 'bullet' WHEN {_HEADING_SQL} THEN 'heading' WHEN regexp_matches(line, '{_END}') THEN 'sentence' ELSE 'open' END AS role, count(*) AS n FROM lines WHERE trim(line) <> '' GROUP BY ALL"),
     "heading_carry_forward": (heading_carry_forward, f"""WITH {LINES_SQL}, h AS (SELECT *, {_HEADING_SQL} AS is_heading FROM lines WHERE trim(line) <> ''),
@@ -265,12 +278,12 @@ SELECT doc_id, heading, count(*) AS lines FROM c WHERE NOT is_heading GROUP BY A
     "join_lines_islands": (join_lines_islands, f"""WITH {LINES_SQL}, b AS (SELECT *, coalesce(regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no), '{_END}'), TRUE) AS begins FROM lines WHERE trim(line) <> ''),
   i AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM b), j AS (SELECT doc_id, island, string_agg(line, ' ' ORDER BY line_no) AS text FROM i GROUP BY ALL)
 SELECT doc_id, count(*) AS joined, CAST(max(length(text)) AS INT) AS longest FROM j GROUP BY 1"""),
-    "bullet_normalize": (bullet_normalize, rf"""WITH {LINES_SQL}, k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^\s*[•●∙◦○▪■·ㆍ*]\s*', '● '), '^\s*[―ㅡ–—−]\s*', '- '), '^\s*-\s*', '- '), '\s*[ㆍ∙]\s*', ' · ', 'g'), '\s{{2,}}', ' ', 'g'), ' ') AS clean FROM lines)
+    "bullet_normalize": (bullet_normalize, rf"""WITH {MARKED_SQL}, k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^\s*[•●∙◦○▪■·ㆍ*]\s*', '● '), '^\s*[―ㅡ–—−]\s*', '- '), '^\s*-\s*', '- '), '\s*[ㆍ∙]\s*', ' · ', 'g'), '\s{{2,}}', ' ', 'g'), ' ') AS clean FROM marked)
 SELECT doc_id, CAST(line_no AS INT) AS line_no, md5(clean) AS clean_md5 FROM k WHERE clean <> line"""),
     "page_number_filter": (page_number_filter, rf"""WITH {LINES_SQL}, a AS (SELECT 'p ' || (s_suppkey % 2000) AS line FROM supplier UNION ALL SELECT line FROM lines)
 SELECT line, count(*) AS n FROM a WHERE trim(line) <> '' AND length(trim(line)) <= 20 AND regexp_matches(trim(line), '\d') AND regexp_matches(trim(line), '{c.PAGE_NUMBER}') GROUP BY 1"""),
-    "datetime_watermark": (datetime_watermark, "SELECT o_orderkey, o_orderpriority AS clean FROM orders"),
-    "noise_reason": (noise_reason, rf"""WITH {LINES_SQL}, b AS (SELECT regexp_replace(line, '\s+', '', 'g') AS b FROM lines), q AS (SELECT b, length(b) AS n, length(regexp_replace(b, '[^가-힣]', '', 'g')) AS h, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS l,
+    "datetime_watermark": (datetime_watermark, "SELECT o_orderkey, trim(regexp_replace(substr(o_orderpriority, 1, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END) || ' ' || substr(o_orderpriority, 4, 20), '\\s{2,}', ' ', 'g'), ' ') AS clean FROM orders"),
+    "noise_reason": (noise_reason, rf"""WITH {MARKED_SQL}, b AS (SELECT regexp_replace(line, '\s+', '', 'g') AS b FROM marked), q AS (SELECT b, length(b) AS n, length(regexp_replace(b, '[^가-힣]', '', 'g')) AS h, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS l,
   length(regexp_replace(b, '[^0-9]', '', 'g')) AS dg, length(regexp_replace(b, '[^ㄱ-ㅎㅏ-ㅣ]', '', 'g')) AS j, length(regexp_replace(b, '[^.,·ㆍ:;()\[\]‘’“”''"\-~?!/%○●•▪■□★☆※<>「」『』…]', '', 'g')) AS m FROM b)
 SELECT CASE WHEN n = 0 THEN 'blank' WHEN h + l + dg = 0 THEN 'symbols' WHEN j >= 2 AND j >= h * 0.5 THEN 'loose_letters'
   WHEN (h + l + dg + 0.6 * m) / n - CASE WHEN h >= 3 AND l > 0 AND l < h THEN least(0.5, l / n * 2.5) ELSE 0 END < 0.25 THEN 'low_quality' ELSE 'kept' END AS reason, count(*) AS n FROM q GROUP BY 1"""),
@@ -300,7 +313,7 @@ SELECT b.item_id, c.conv_id, round(coalesce(c.common, 0) / CAST(z.n AS DOUBLE),
     "term_parse_lines": (term_parse_lines, None),
     "table_rows": (table_rows, f"""WITH {LINES_SQL}, k AS (SELECT *, len(list_filter(string_split(line, '|'), lambda x: trim(x, ' ') <> '')) AS cells FROM lines WHERE contains(line, '|')),
   i AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM k WHERE cells >= 2) SELECT doc_id, CAST(min(line_no) AS INT) AS first_line, count(*) AS rows, CAST(sum(cells) AS BIGINT) AS cells FROM i GROUP BY doc_id, island"""),
-    "emphasis_terms": (emphasis_terms, """SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[‘''“"]([^’''”"]{2,30})[’''”"]', 1)) AS term FROM documents"""),
+    "emphasis_terms": (emphasis_terms, f"""WITH {MARKED_SQL}, t AS (SELECT doc_id, line_no, unnest(list_distinct(regexp_extract_all(line, '[‘''“"]([^’''”"]{{2,30}})[’''”"]', 1))) AS term FROM marked) SELECT doc_id, term, count(*) AS lines FROM t GROUP BY ALL"""),
     "truncate_escape": (truncate_escape, "SELECT page_id, CASE WHEN length(url) > 24 THEN substr(url, 1, 24) || '…' ELSE url END AS short, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages"),
     "secret_guard": (secret_guard, r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|token|secret)\s*[=:]\s*"?[A-Za-z0-9_-]{16,}')"""),
     "time_ago": (time_ago, """WITH n AS (SELECT max(epoch_ms(o_orderdate)) + 3600000 AS now FROM orders), m AS (SELECT o_orderdate, (now - epoch_ms(o_orderdate)) // 60000 AS m FROM orders, n)
