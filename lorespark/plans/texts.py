@@ -259,6 +259,11 @@ def time_ago(spark, d):
     return orders.groupBy(t.time_ago(F.col("ms"), F.lit(last + 3_600_000)).alias("age")).agg(F.count("*").alias("orders"))
 
 
+def _pair_sql(line: str, separator: str) -> str:
+    """What stands before and after the first separator; empty where there is none."""
+    return f"CASE WHEN regexp_matches({line}, '{separator}') THEN {{'term': trim(regexp_extract({line}, '^(.*?)(?:{separator})', 1), ' '), 'definition': trim(regexp_replace({line}, '^.*?(?:{separator})', ''), ' ')}} ELSE {{'term': '', 'definition': ''}} END"
+
+
 QUERIES = {
     "normalize_text": (normalize_text, f"SELECT doc_id, md5({key_sql('text')}) AS key_md5, CAST(length({key_sql('text')}) AS INT) AS key_length FROM documents"),
     "djb2_hash": (djb2_hash, f"SELECT doc_id, {_HASH_SQL.format('text')} AS hash FROM documents"),
@@ -310,7 +315,10 @@ SELECT b.item_id, c.conv_id, round(coalesce(c.common, 0) / CAST(z.n AS DOUBLE),
     "excerpt_in_context": (excerpt_in_context, f"WITH i AS (SELECT item_id, {key_sql('text')} AS item FROM benchmark), c AS (SELECT doc_id, {key_sql('text')} AS context FROM documents) SELECT item_id, count(*) AS documents FROM i JOIN c ON contains(context, item) WHERE length(item) >= 3 GROUP BY 1"),
     "levenshtein_ascii": (levenshtein_ascii, "SELECT p_partkey, CAST(levenshtein(p_name, before) AS INT) AS distance FROM (SELECT *, lag(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS before FROM part) WHERE before IS NOT NULL"),
     "cer_report": (cer_report, "SELECT p_brand, count(*) AS parts, round(avg(levenshtein(p_type || substr(p_name, 1, 3), p_type) / greatest(length(p_type), 1)::DOUBLE), 6) AS cer, count(*) FILTER (p_type || substr(p_name, 1, 3) = p_type) AS exact FROM part GROUP BY 1"),
-    "term_parse_lines": (term_parse_lines, None),
+    "term_parse_lines": (term_parse_lines, rf"""WITH {LINES_SQL}, l AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '{t.BULLETS}', ''), '\s+', ' ', 'g'), ' ') AS x, trim(line, ' ') AS whole FROM lines),
+  c AS (SELECT *, list_filter([{", ".join(_pair_sql("whole" if p == t.SEPARATORS[3] else "x", p) for p in t.SEPARATORS)}], lambda p: p.term <> '' AND p.definition <> '')[1] AS pair FROM l),
+  e AS (SELECT doc_id, line_no, coalesce(pair, CASE WHEN regexp_matches(x, '^([A-Za-z][A-Za-z .''-]*?)\s+([가-힣].*)$') THEN {{'term': regexp_extract(x, '^([A-Za-z][A-Za-z .''-]*?)\s+([가-힣].*)$', 1), 'definition': regexp_extract(x, '^([A-Za-z][A-Za-z .''-]*?)\s+([가-힣].*)$', 2)}} END) AS pair FROM c)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(length(pair.term) AS INT) AS term_length, CAST(length(pair.definition) AS INT) AS definition_length FROM e WHERE pair IS NOT NULL AND length(pair.term) <= 40 QUALIFY row_number() OVER (PARTITION BY doc_id, {key_sql('pair.term')} ORDER BY line_no) = 1"""),
     "table_rows": (table_rows, f"""WITH {LINES_SQL}, k AS (SELECT *, len(list_filter(string_split(line, '|'), lambda x: trim(x, ' ') <> '')) AS cells FROM lines WHERE contains(line, '|')),
   i AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM k WHERE cells >= 2) SELECT doc_id, CAST(min(line_no) AS INT) AS first_line, count(*) AS rows, CAST(sum(cells) AS BIGINT) AS cells FROM i GROUP BY doc_id, island"""),
     "emphasis_terms": (emphasis_terms, f"""WITH {MARKED_SQL}, t AS (SELECT doc_id, line_no, unnest(list_distinct(regexp_extract_all(line, '[‘''“"]([^’''”"]{{2,30}})[’''”"]', 1))) AS term FROM marked) SELECT doc_id, term, count(*) AS lines FROM t GROUP BY ALL"""),
