@@ -113,7 +113,7 @@ def weighted_sample(spark, d):
 
 def shuffle_spread(spark, d):
     """Lines of each order, on one of three targets each, in an order in which a target's lines are parted."""
-    t = questions(spark, d).select("session_id", (F.col("l_suppkey") % 3).alias("target_id"), F.concat_ws(":", "ord", "l_partkey").alias("question_id")).distinct()
+    t = questions(spark, d).select("session_id", (F.col("l_suppkey") % 3).alias("target_id"), F.concat_ws(":", "ord", "l_partkey", "l_suppkey").alias("question_id")).distinct()
     return q.spread(t)
 
 
@@ -178,7 +178,7 @@ SELECT p_partkey, kind, CASE WHEN kind IN ('OX', 'MULTIPLE_CHOICE') THEN 'choice
     "accepted_questions": (accepted_questions, None),
     "weighted_sample": (weighted_sample, """WITH k AS (SELECT p_brand, p_partkey, -ln((('0x' || substr(md5('1:' || p_partkey), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / greatest(p_size::DOUBLE, 1e-12) AS key FROM part)
 SELECT p_brand, p_partkey FROM k QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY key, p_partkey) <= 10"""),
-    "shuffle_spread": (shuffle_spread, f"""WITH {QUESTIONS_SQL}, t AS (SELECT DISTINCT session_id, ord || ':' || l_partkey AS question_id, l_suppkey % 3 AS target_id FROM questions),
+    "shuffle_spread": (shuffle_spread, f"""WITH {QUESTIONS_SQL}, t AS (SELECT DISTINCT session_id, ord || ':' || l_partkey || ':' || l_suppkey AS question_id, l_suppkey % 3 AS target_id FROM questions),
   o AS (SELECT session_id, list({{'q': question_id, 't': target_id}} ORDER BY md5('1:' || session_id || ':' || question_id), question_id) AS a FROM t GROUP BY 1),
   s AS (SELECT session_id, list_reduce(list_prepend(a, list_transform(range(2, len(a) + 1), lambda i: [{{'q': CAST(i AS VARCHAR), 't': CAST(i AS BIGINT)}}])), lambda a, x:
     CASE WHEN a[x[1].t].t = a[x[1].t - 1].t THEN list_transform([coalesce(list_filter(range(x[1].t + 1, len(a) + 1), lambda k: a[k].t <> a[x[1].t].t AND (k = len(a) OR a[k + 1].t <> a[x[1].t].t))[1], x[1].t)],
