@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import bpe, media, mixing, ngram_join, pii, quality, sql, substring_dedup, token_store, topk, url_filter
+from lorespark.llm import bpe, clusters, fill_middle, media, mixing, ngram_join, pii, quality, sql, substring_dedup, token_count, token_store, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,9 @@ def queries() -> dict[str, Query]:
         "op8_media": _on("documents", media.op8),
         "op9_mixing": _on("documents", mixing.op9),
         "op10_bpe": _on("documents", bpe.op10),
+        "op11_token_counts": _on("documents", token_count.op11),
+        "op12_clusters": _on("embeddings", clusters.op12),
+        "op13_fill_middle": _on("documents", fill_middle.op13),
         "pipeline": pipeline,
     }
 
@@ -47,4 +50,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": sql.SUBSTRING_DEDUP,
         "op5_exact_top_k": topk.SQL,
         "op9_mixing": mixing.SQL,
+        "op12_clusters": clusters.SQL,
+        "op13_fill_middle": fill_middle.SQL,
     }
