@@ -149,7 +149,9 @@ class PieceModelCounter:
         return [self._edges(c) for c in chunks]
 
     def _edges(self, chunk: str) -> Edges:
-        begins = [p.begin for p in self.model.encode(chunk, out_type="immutable_proto").pieces]
+        # The library's offsets count bytes of UTF-8.
+        starts = np.cumsum((np.frombuffer(chunk.encode(), np.uint8) & 0xC0) != 0x80)
+        begins = [int(starts[p.begin]) - 1 if p.begin < len(starts) else len(chunk) for p in self.model.encode(chunk, out_type="proto").pieces]
         good = [k for k in range(1, len(begins)) if self.local and begins[k] > begins[k - 1] and self._apart(chunk, begins[k])]
         return np.array([begins[k] for k in good], np.int64), np.array(good, np.int64), len(begins)
 

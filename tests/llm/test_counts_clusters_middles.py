@@ -68,17 +68,17 @@ def test_spliced_chunks_count_as_the_library_does(spark, name, chunk, overlap):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_boundaries_are_stable(name):
-    """Whatever stands before or after, the tokens on both sides of a boundary stay."""
-    count, coder = library_count(name), token_count.counter(path(name))
+    """The tokens on both sides of a boundary are those of either side alone."""
+    count, coder, seen = library_count(name), token_count.counter(path(name)), 0
     for text in huge_texts()[:4]:
         text = text[:1500]
-        (at, before, total), = coder.edges([text], [[(0, len(text))]])
-        assert total == count(text) and (len(at) > 10 or "letters" in text or "b" * 100 in text)
-        for p, n in list(zip(at.tolist(), before.tolist(), strict=True))[::7]:
-            for head in ("", text[:p][-30:]):  # the tokens behind p are those of the whole text, whatever is cut off before
-                whole = count(head + text[p:]) - count(head) if head else None
-                assert whole is None or p < 30 or abs(whole - (total - n)) <= 2
-            assert count(text[:p]) == n or name.endswith(".json") is False
+        ((at, before, total),) = coder.edges([text], [[(0, len(text))]])
+        assert total == count(text)
+        seen += len(at)
+        for p, n in zip(at.tolist(), before.tolist(), strict=True):
+            # A sentencepiece model puts a space before a text; it stands for that at the boundary.
+            assert (count(text[:p]), count(text[p + name.endswith(".model") :])) == (n, total - n)
+    assert seen > 10
 
 
 def test_failed_seams_are_widened(spark, monkeypatch):
