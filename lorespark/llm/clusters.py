@@ -200,10 +200,11 @@ def clusters(vectors: DataFrame, dims: int = DIMS, centroids: int = CENTROIDS, r
 
     def count(table: DataFrame) -> None:
         """Correct sums and counts by the assignment's rows of them, and move the centroids."""
-        parts = table.where(F.col("sums").isNotNull()).select("cluster", "count", F.posexplode("sums").alias("d", "s"))
-        for c, d, s, n in parts.groupBy("cluster", "d").agg(F.sum(F.col("s").cast("decimal(38,0)")), F.sum("count")).collect():
-            sums[c, d] += int(s)
-            counts[c] += n if d == 0 else 0
+        parts = table.where(F.col("sums").isNotNull()).groupBy("cluster")
+        each = F.array(*(F.sum(F.get("sums", F.lit(d))) for d in range(dims)))
+        for c, n, found in parts.agg(F.sum("count"), each).collect():
+            sums[c] += np.array([int(s) for s in found], object)
+            counts[c] += n
         for c in range(k):
             if counts[c]:
                 at[c] = [int(s) // int(counts[c]) for s in sums[c]]
