@@ -1,4 +1,8 @@
-"""Structured pages: tagged text to nodes and back. A node is a row (doc_id, page, node_no, kind, text, number, tags, starred)."""
+"""Structured pages: texts (tagged or not) and recognised regions to nodes, and nodes to tagged text.
+
+A node is a row (doc_id, page, node_no, kind, text, number, tags, starred, run); nodes of one run were read together, so a
+section or subsection holds no further than its run.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import text_of
+from lorespark.operators.cleanup import label_kind
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 TAG = r"^\[(제목|질문|핵심\s*내용|신념화|쪽)\]\s*(.*)$"
@@ -15,6 +20,12 @@ ITEM = r"^●\s*(.+)$"
 GOES_ON = r"(은|는|이|가|을|를|에|의|와|과|고|며|서|로|,)$"
 QUESTION_NUMBER = r"^[QqOo0]?\s*(\d{1,3})\s*[.,]\s*"
 QUESTION_TAGS = r"^[(\[]\s*([★☆*※x]?)\s*([^)\]]{1,40})[)\]]\s*"
+QUESTION_LINE = r"^\s*[QqO0]\s*\d{1,3}\s*[.,]\s*\S|^\s*\d{1,3}\s*\.\s*[(\[]\s*[★☆*]"
+PART_LABELS = (r"^(핵\s*심\s*내\s*용|핵\s*심|신\s*념\s*화)\s*$", r"^(신\s*념\s*화)\s*([●•*].*)$", r"^(핵\s*심\s*내\s*용)\s*(\d{1,2}\s*[.)].*)$")
+#: The second half of a label that was read as two lines.
+SECOND_HALF = r"^내\s*용$"
+QUOTED = r"[‘'“\"]([^’'”\"]{2,30})[’'”\"]"
+WHITE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 HEADER = r"^(.*?)\s*[(\[]\s*(\d+\s*-\s*\d+\s*\.?\s*[^)\]]*?)\s*[)\]]?\s*$"
 # -------------------------------------------------------------------------------------------------------------------
 
@@ -49,80 +60,195 @@ def has_tags(c: Column) -> Column:
     return text_of(c).rlike(r"(?m)^\[(질문|핵심\s*내용|신념화)\]")
 
 
-def tagged_lines(c: Column) -> Column:
-    """``array<struct<page, part, line>>`` of a tagged text: one fold over its lines.
+def _white_off(c: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text_of(c), rf"^{WHITE}+|{WHITE}+$", "")
+
 
-    A title always opens a page; a question opens one where the page has a question or a finished core or belief part.
+def _events(documents: DataFrame, by: list[str], text: str) -> DataFrame:
+    """The lines of texts that are not blank, with what each of them does to page and part.
+
+    ``n, line, tagged``; event: title, question, label (of a part), number (of the page), skip, null for plain lines;
+    area: the part that a label opens; rest: what stands behind a tag or label.
     """
-    lines = F.filter(F.transform(F.split(text_of(c), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = "array<struct<page:int,part:string,line:string>>"
-    start = F.struct(F.lit(0).alias("page"), F.lit(None).cast("string").alias("part"), F.lit(False).alias("asked"), F.lit(False).alias("full"), F.lit(False).alias("pending"), F.array().cast(rows).alias("out"))
-
-    def state(page: Column, part: Column, asked: Column, full: Column, pending: Column, out: Column) -> Column:
-        return F.struct(page.cast("int").alias("page"), part.alias("part"), asked.alias("asked"), full.alias("full"), pending.alias("pending"), out.alias("out"))
-
-    def added(s: Column, page: Column, part: Column, line: Column) -> Column:
-        return F.concat(s["out"], F.array(F.struct(page.cast("int").alias("page"), part.alias("part"), line.alias("line"))))
-
-    def step(s: Column, line: Column) -> Column:
-        tag, rest = F.regexp_replace(F.regexp_extract(line, TAG, 1), r"\s+", ""), F.trim(F.regexp_extract(line, TAG, 2))
-        page = F.greatest(s["page"], F.lit(1))
-        part = F.coalesce(s["part"], F.lit("core"))
-        no, yes, null = F.lit(False), F.lit(True), F.lit(None).cast("string")
-        plain = state(page, part, s["asked"], s["full"], s["pending"] | (part != "question"), added(s, page, part, line))
-        title = state(s["page"] + 1, null, no, no, no, added(s, s["page"] + 1, F.lit("title"), rest))
-        opens = (s["page"] == 0) | s["asked"] | s["full"]
-        asked_on = s["page"] + opens.cast("int")
-        question = state(asked_on, F.lit("question"), yes, ~opens & s["pending"], no, added(s, asked_on, F.lit("question"), rest))
-        label = state(page, s["part"], s["asked"], s["full"] | s["pending"], no, added(s, page, F.lit("label"), rest))
-        area = F.when(tag == "신념화", "belief").otherwise("core")
-        opened = state(page, area, s["asked"], s["full"] | s["pending"], rest != "", F.when(rest != "", added(s, page, area, rest)).otherwise(s["out"]))
-        return F.when(tag == "", plain).when(tag == "제목", title).when(tag == "질문", question).when(tag == "쪽", label).otherwise(opened)
-
-    return F.aggregate(lines, start, step, lambda s: s["out"])
+    # The whole text is looked at once, before it falls into lines.
+    whole = documents.select(*by, has_tags(F.col(text)).alias("tagged"), F.split(text_of(F.col(text)), r"\r?\n").alias("lines"))
+    lines = whole.select(*by, "tagged", F.posexplode("lines").alias("n", "line"))
+    lines = lines.withColumn("line", _white_off(F.col("line"))).where("line <> ''")
+    line, tagged = F.col("line"), F.col("tagged")
+    tag = F.regexp_replace(F.regexp_extract(line, TAG, 1), r"\s+", "")
+    found = [F.regexp_extract(line, p, 1) for p in PART_LABELS]
+    label = F.coalesce(*(F.nullif(f, F.lit("")) for f in found))
+    by_tag = F.when(tag == "제목", "title").when(tag == "질문", "question").when(tag == "쪽", "number").when(tag != "", "label")
+    by_form = F.when(line.rlike(QUESTION_LINE), "question").when(label.isNotNull(), "label").when(line.rlike(SECOND_HALF), "skip")
+    rest = F.coalesce(*(F.when(f != "", F.trim(F.regexp_extract(line, p, 2))) for f, p in zip(found[1:], PART_LABELS[1:], strict=True)), F.lit(""))
+    return lines.select(
+        *by, "n", "line", "tagged", F.when(tagged, by_tag).otherwise(by_form).alias("event"),
+        F.when(F.when(tagged, tag).otherwise(label).contains("신"), "belief").otherwise("core").alias("area"),
+        F.when(tagged, F.trim(F.regexp_extract(line, TAG, 2))).otherwise(rest).alias("rest"),
+    )
 
 
-def nodes(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The node table of tagged texts."""
-    rows = documents.select(F.col(id_column).alias("doc_id"), F.posexplode(tagged_lines(F.col(text))).alias("n", "row")).select("doc_id", "n", "row.*")
+def text_parts(documents: DataFrame, by: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``*by, page, run, part, n, line, labelled``: the lines of texts, tagged or not, with the page and part they belong to.
+
+    A text with tags is read by them. Otherwise lines tell by their form: a numbered question, the label of a part (alone
+    or before its first line), a first line as the title. A title tag opens a page; so does a question where the page has
+    one or has finished a part, that is, where a label came after lines that fill it. A question goes on over lines until
+    one ends with a question mark or a numbered or dashed line begins. Lines without any of these belong to the core part.
+
+    As only titles and questions open pages, only the lines before the first question after a title can make up a page
+    without one: the page's number is a running count of questions, plus one where those lines have finished a part. So
+    pages, parts and runs (lines read together, ended by a title, question or label) are islands of cumulative flags over
+    a text's lines; no state grows. ``by`` names a text; a question tag without text counts as a question.
+    """
+    by = by or ["doc_id"]
+    rows = _events(documents, by, text).where("event is distinct from 'skip'")
+    event, line, n = F.col("event"), F.col("line"), F.col("n")
+    is_event = lambda *names: F.coalesce(event.isin(*names), F.lit(False))
+    so_far = lambda *keys: Window.partitionBy(*by, *keys).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda condition, *keys: F.sum(condition.cast("int")).over(so_far(*keys))
+    rows = rows.withColumn("title_no", count(is_event("title"))).withColumn("asked", count(is_event("question"), "title_no"))
+    before = F.col("asked") == 0
+    # The first line as a title: unless a label or a numbered line comes first; lines that give no title are passed over.
+    heads = before & ~F.col("tagged") & event.isNull()
+    stop = F.min(F.when(before & ~F.col("tagged") & (is_event("label") | (heads & line.rlike(SECTION))), n)).over(Window.partitionBy(*by, "title_no"))
+    titled = F.min(F.when(heads & ~line.rlike(SECTION) & parse_header(line)["title"].isNotNull(), n)).over(Window.partitionBy(*by, "title_no"))
+    rows = rows.withColumn("stop", stop).withColumn("titled", titled)
+    is_head = heads & (n < F.coalesce("stop", n + 1)) & (n <= F.coalesce("titled", n))
+    rows = rows.withColumn("head", is_head).where(~F.col("head") | (n == F.col("titled")))
+    opened = F.coalesce(F.last(F.when(is_event("label"), F.col("area")), ignorenulls=True).over(so_far("title_no")), F.lit("core"))
+    fills = before & ~F.col("head") & F.when(event.isNull(), True).otherwise(is_event("label") & (F.col("rest") != ""))
+    fills = fills & F.when(opened == "belief", F.col("tagged")).otherwise(~is_table_row(F.when(event.isNull(), line).otherwise(F.col("rest"))))
+    rows = rows.withColumn("fills", fills)
+    whole = Window.partitionBy(*by, "title_no")
+    finished = F.min(F.when(F.col("fills"), n)).over(whole) < F.max(F.when(before & is_event("label", "number"), n)).over(whole)
+    rows = rows.withColumn("offset", F.when(before, 1).otherwise(F.col("asked") + F.when(F.coalesce(finished, F.lit(False)), 1).otherwise(0)))
+    rows = rows.withColumn("page", F.dense_rank().over(Window.partitionBy(*by).orderBy("title_no", "offset")))
+    # In a page: where a question that goes on over lines is left.
+    rows = rows.withColumn("segment", count(is_event("question", "label", "title"), "page"))
+    ended = F.when(is_event("question"), parse_question(line)["text"]).otherwise(line).rlike("[?？]$")
+    rows = rows.withColumn("ended", ended)
+    previous = Window.partitionBy(*by, "page", "segment").orderBy("n")
+    leaves = ~F.col("tagged") & event.isNull() & (line.rlike(SECTION) | line.rlike(SUBSECTION) | F.coalesce(F.lag("ended").over(previous), F.lit(False)))
+    rows = rows.withColumn("leaves", leaves).withColumn("left", count(F.col("leaves"), "page", "segment"))
+    mode = F.last(F.when(is_event("question"), F.lit("question")).when(is_event("label"), F.col("area")), ignorenulls=True).over(so_far("page"))
+    mode = F.when((mode == "question") & (F.col("left") > 0), "core").otherwise(F.coalesce(mode, F.lit("core")))
+    part = F.when(is_event("title") | F.col("head"), "title").when(is_event("number"), "label").otherwise(mode)
+    first_left = F.col("leaves") & (F.col("left") == 1) & (mode == "core")
+    rows = rows.withColumn("part", part).withColumn("starts", is_event("title", "question", "label", "number") | first_left)
+    rows = rows.withColumn("run", count(F.col("starts"), "page"))
+    labelled = F.max(is_event("label") & (F.col("area") == "core")).over(Window.partitionBy(*by, "page"))
+    content = F.when(F.col("tagged") & event.isNotNull(), F.col("rest")).when(is_event("label"), F.col("rest")).otherwise(line)
+    rows = rows.select(*by, "page", "run", "part", "n", content.alias("line"), labelled.alias("labelled"), (is_event("label") & (F.col("rest") == "")).alias("bare"))
+    return rows.where("not bare").drop("bare")
+
+
+def region_parts(regions: DataFrame) -> DataFrame:
+    """``doc_id, page, run, part, n, line, labelled``: the lines of recognised regions with the part they belong to.
+
+    regions: doc_id, page, kind (header, question, label, block, ...), index, line_no, line. The first header is the title, the first
+    question the question. A block belongs to the part that the label with its index names (a join on page and index);
+    without one, the last of several blocks is the belief part, any other the core. A page that is one region of kind
+    ``page`` is read as untagged text, of which the first page counts. Each block is a run of its own.
+    """
+    key = ["doc_id", "page"]
+    page = Window.partitionBy(*key)
+    regions = regions.withColumn("kinds", F.collect_set(F.struct("kind", "index")).over(page))
+    alone = (F.size("kinds") == 1) & (F.col("kinds")[0]["kind"] == "page")
+    lines = lambda by: F.transform(F.sort_array(F.collect_list(F.struct("line_no", text_of(F.col("line")).alias("line")))), lambda x: x["line"])
+    texts = regions.where(alone).groupBy(*key).agg(F.array_join(lines(key), "\n").alias("text"))
+    inferred = text_parts(texts.withColumnRenamed("page", "sheet"), ["doc_id", "sheet"]).where("page = 1").drop("page").withColumnRenamed("sheet", "page")
+    rest = regions.where(~alone)
+    joined = rest.where("kind in ('header', 'question', 'label')").groupBy(*key, "kind", "index").agg(lines(key).alias("lines"))
+    heads = joined.where("kind <> 'label'").withColumn("first", F.row_number().over(Window.partitionBy(*key, "kind").orderBy("index"))).where("first = 1")
+    heads = heads.select(*key, F.when(F.col("kind") == "header", 0).otherwise(1).alias("run"), F.when(F.col("kind") == "header", "title").otherwise("question").alias("part"), F.lit(0).alias("at"), F.array_join("lines", " ").alias("line"), F.lit(False).alias("labelled"))
+    labels = joined.where("kind = 'label'").select(*key, "index", label_kind(F.array_join("lines", "")).alias("named"), F.lit(True).alias("has_label"))
+    blocks = rest.where("kind = 'block'").withColumn("i", F.dense_rank().over(page.orderBy("index")))
+    blocks = blocks.withColumn("blocks", F.max("i").over(page)).join(labels, [*key, "index"], "left")
+    part = F.coalesce("named", F.when((F.col("blocks") >= 2) & (F.col("i") == F.col("blocks")), "belief").otherwise("core"))
+    sure = (part == "core") & (F.col("has_label").isNotNull() | (F.col("blocks") >= 2))
+    blocks = blocks.select(*key, (F.col("i") + 1).alias("run"), part.alias("part"), F.col("line_no").alias("at"), _white_off(F.col("line")).alias("line"), sure.alias("labelled")).where("line <> ''")
+    found = heads.unionByName(blocks)
+    number = F.row_number().over(page.orderBy("run", "at"))
+    found = found.select(*key, "run", "part", number.alias("n"), "line", F.max("labelled").over(page).alias("labelled"))
+    return found.unionByName(inferred.select(*found.columns))
+
+
+def is_structured(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``*by, structured``: whether a page of the text has a question, a belief part, or a core part that is labelled."""
+    sure = F.col("part").isin("question", "belief") | F.col("labelled")
+    return parts.groupBy(*(by or ["doc_id"])).agg(F.max(sure).alias("structured"))
+
+
+def is_table_row(line: Column) -> Column:
+    return F.contains(line, F.lit("|")) & (F.size(_cells(line)) >= 2)
+
+
+def _cells(line: Column) -> Column:
+    return F.filter(F.transform(F.split(line, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def part_nodes(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The node table of lines with page and part: ``*by, page, node_no, kind, text, number, tags, starred, run``.
+
+    Belief items begin with a bullet; where a run has none, a line goes on with the one before if that ends in a particle.
+    Numbered lines are sections, dashed ones subsections, lines of cells table rows.
+    """
+    by = by or ["doc_id"]
     line = F.col("line")
-    cells = F.filter(F.transform(F.split(line, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    table = F.contains(line, F.lit("|")) & (F.size(cells) >= 2)
     kind = (
-        F.when(F.col("part").isin("title", "question", "label"), F.col("part"))
-        .when(F.col("part") == "belief", "belief")
-        .when(table, "table")
+        F.when(F.col("part").isin("title", "question", "label", "belief"), F.col("part"))
+        .when(is_table_row(line), "table")
         .when(line.rlike(SECTION) & ~line.rlike(r"^\d{1,2}\.\d"), "section")
         .when(line.rlike(SUBSECTION), "subsection")
         .otherwise("content")
     )
-    rows = rows.withColumn("kind", kind)
+    rows = parts.withColumn("kind", kind)
     # A belief item or question goes on over lines: islands that begin where a new one does.
-    whole = Window.partitionBy("doc_id", "page", "part")
-    order = whole.orderBy("n")
-    bullets = F.max(line.rlike(ITEM)).over(whole)
-    begins = F.when(F.col("kind") == "belief", line.rlike(ITEM) | (F.lag("n").over(order).isNull()) | (~bullets & ~F.lag("line").over(order).rlike(GOES_ON)))
-    begins = begins.when(F.col("kind") == "question", F.lag("n").over(order).isNull()).otherwise(F.lit(True))
+    order = Window.partitionBy(*by, "page", "part").orderBy("n")
+    bullets = F.max(line.rlike(ITEM)).over(Window.partitionBy(*by, "page", "part", "run"))
+    first = F.lag("n").over(order).isNull()
+    begins = F.when(F.col("kind") == "belief", line.rlike(ITEM) | first | (~bullets & ~F.lag("line").over(order).rlike(GOES_ON)))
+    begins = begins.when(F.col("kind") == "question", first).otherwise(F.lit(True))
     rows = rows.withColumn("begins", begins).withColumn("island", F.sum(F.col("begins").cast("int")).over(order))
-    joined = rows.groupBy("doc_id", "page", "part", "kind", "island").agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("n", "line"))).alias("lines"))
-    joined = joined.withColumn("line", F.array_join(F.transform("lines", lambda x: x["line"]), " "))
+    joined = rows.groupBy(*by, "page", "part", "kind", "island").agg(F.min("n").alias("n"), F.min("run").alias("run"), F.sort_array(F.collect_list(F.struct("n", "line"))).alias("lines"))
+    first_line, more = F.get("lines", F.lit(0))["line"], F.array_join(F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: x["line"]), " ")
+    joined = joined.withColumn("line", F.when(F.col("kind") == "question", first_line).otherwise(F.array_join(F.transform("lines", lambda x: x["line"]), " "))).withColumn("more", more)
     question = parse_question(line)
     clean = (
-        F.when(F.col("kind") == "question", question["text"])
+        F.when(F.col("kind") == "question", F.trim(F.concat_ws(" ", question["text"], F.col("more"))))
         .when(F.col("kind") == "section", F.trim(F.regexp_extract(line, SECTION, 2)))
         .when(F.col("kind") == "subsection", F.trim(F.regexp_extract(line, SUBSECTION, 1)))
-        .when(F.col("kind") == "table", F.array_join(cells, " | "))
+        .when(F.col("kind") == "table", F.array_join(_cells(line), " | "))
         .when(F.col("kind") == "title", F.coalesce(parse_header(line)["title"], line))
         .otherwise(F.trim(F.regexp_replace(line, r"^●\s*", "")))
     )
     number = F.when(F.col("kind") == "question", question["number"]).when(F.col("kind") == "section", F.regexp_extract(line, SECTION, 1))
-    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("n"))
+    place = F.row_number().over(Window.partitionBy(*by, "page").orderBy("n"))
     return joined.select(
-        "doc_id", "page", place.alias("node_no"), "kind", clean.alias("text"), number.alias("number"),
-        F.when(F.col("kind") == "question", question["tags"]).alias("tags"), F.when(F.col("kind") == "question", question["starred"]).alias("starred"),
+        *by, "page", place.alias("node_no"), "kind", clean.alias("text"), number.alias("number"),
+        F.when(F.col("kind") == "question", question["tags"]).alias("tags"), F.when(F.col("kind") == "question", question["starred"]).alias("starred"), "run",
     )
 
 
+def nodes(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The node table of texts, tagged or not; ids are unique."""
+    return part_nodes(text_parts(documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))))
+
+
+def region_nodes(regions: DataFrame) -> DataFrame:
+    """The node table of recognised regions (see :func:`region_parts`)."""
+    return part_nodes(region_parts(regions))
+
+
+def emphasis(node_table: DataFrame) -> DataFrame:
+    """``doc_id, page, term``: the quoted terms of 2 to 30 characters in a page's question, lines and belief items."""
+    quoted = F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1))
+    rows = node_table.where("kind in ('question', 'content', 'belief')").select("doc_id", "page", F.explode(quoted).alias("term"))
+    return rows.select("doc_id", "page", F.trim("term").alias("term")).distinct()
+
+
 def render_question(number: Column, tags: Column, starred: Column, text: Column) -> Column:
     star = F.when(F.coalesce(starred, F.lit(False)), "★").otherwise("")
     names = F.coalesce(F.array_join(tags, ", "), F.lit(""))

@@ -1,13 +1,13 @@
-"""Queries on lines in order: readings compared and merged, versions matched, points made. SQL can't express them."""
+"""Queries on lines in order: pages inferred from text, readings compared and merged, versions matched, points made."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import sentences_with_headings
-from lorespark.operators import alignment, points
+from lorespark.operators import alignment, points, structure
 from lorespark.operators.cleanup import lexicon, line_score, lines_of
-from lorespark.plans.texts import documents
+from lorespark.plans.texts import LINES_SQL, documents
 from lorespark.sources.tables import read_table
 
 
@@ -50,7 +50,112 @@ def joined_sentences(spark, d):
     return rows.select("doc_id", "n", F.md5("s.sentence").alias("sentence_md5"), F.col("s.heading").alias("heading"))
 
 
+#: What lines of documents get in turn, so that they read as pages of a textbook: a beginning, and whether the line follows it.
+FORMS = (
+    ("", 1), ("국가와 군대 ", 1), ("Q3. (★헌법, 수호) ", 1), ("", 1), ("핵심 내용 1. ", 1), ("● ", 1), ("- ", 1), ("신념화", 0), ("", 1), ("● 나는 ", 1), ("핵 심", 0), ("내용", 0), ("2) ", 1),
+    ("‘용어’ ", 1), ("가 | 나 | ", 1), ("", 1), ("신념화 ● ", 1), ("1.5 ", 1), ("0 7, ", 1), ("정말 그런가?", 0), ("", 1), ("12. ☆ ", 1), ("핵심 내용", 0),
+)
+TAGS = (("", 1), ("[질문] Q2. ", 1), ("", 1), ("[핵심 내용]", 0), ("1. ", 1), ("", 1), ("- ", 1), ("", 1), ("[신념화]", 0), ("● ", 1), ("", 1), ("[쪽] ", 1), ("[질문] (x) ", 1), ("[핵심내용] 3. ", 1), ("[제목] 국가 ", 1), ("[신념화] ● ", 1), ("나는, ", 1))
+
+
+def textbook(spark, d):
+    """``doc_id, text``: documents with their lines given forms; every third has tags."""
+
+    def formed(forms: tuple, i) -> F.Column:
+        at = (F.pmod(F.col("doc_id") * 5 + i, F.lit(len(forms))) + 1).cast("int")
+        line = lambda x: F.concat(F.element_at(F.array(*(F.lit(a) for a, _ in forms)), at), F.when(F.element_at(F.array(*(F.lit(b) for _, b in forms)), at) == 1, x).otherwise(""))
+        return line
+
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
+    text = F.transform(lines, lambda x, i: F.when(F.col("doc_id") % 3 == 0, formed(TAGS, i)(x)).otherwise(formed(FORMS, i)(x)))
+    return documents(spark, d).select("doc_id", F.array_join(text, "\n").alias("text"))
+
+
+def page_nodes(spark, d):
+    """Pages of textbook-like texts, tagged or not, as nodes."""
+    found = structure.nodes(textbook(spark, d))
+    return found.select("doc_id", "page", "node_no", "kind", F.md5("text").alias("text_md5"), "number", F.array_join("tags", ",").alias("tags"), "starred", "run")
+
+
+def _nodes_sql() -> str:
+    section = structure.SECTION.replace(r"(?=\S)(.+)", r"(\S.*)")
+    form = lambda forms: f"({[a for a, _ in forms]})[(doc_id * 5 + line_no) % {len(forms)} + 1] || CASE WHEN ({[b for _, b in forms]})[(doc_id * 5 + line_no) % {len(forms)} + 1] = 1 THEN line ELSE '' END"
+    head = lambda c: f"trim(regexp_replace(regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '^[^가-힣0-9(\\[]*[:：]\\s*', ''), '^[^가-힣0-9(\\[]+', ''))"
+    rest = lambda c: f"regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '{structure.QUESTION_NUMBER}', '')"
+    asked = lambda c: f"trim(regexp_replace({rest(c)}, '{structure.QUESTION_TAGS}', ''))"
+    cells = "list_filter(list_transform(string_split(line, '|'), lambda c: trim(c)), lambda c: c <> '')"
+    table = lambda c: f"(contains({c}, '|') AND len({cells.replace('line', c)}) >= 2)"
+    labels = structure.PART_LABELS
+    so_far = "OVER (PARTITION BY doc_id, {0} ORDER BY n ROWS UNBOUNDED PRECEDING)"
+    return rf"""
+WITH {LINES_SQL}, formed AS (
+  SELECT doc_id, line_no AS n, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN {form(TAGS)} ELSE {form(FORMS)} END, '^[\s\x{{A0}}\x{{3000}}]+|[\s\x{{A0}}\x{{3000}}]+$', '', 'g') AS line FROM lines
+), marked AS (
+  SELECT *, bool_or(regexp_matches(line, '^\[(질문|핵심\s*내용|신념화)\]')) OVER (PARTITION BY doc_id) AS tagged FROM formed WHERE line <> ''
+), named AS (
+  SELECT *, regexp_replace(regexp_extract(line, '{structure.TAG}', 1), '\s+', '', 'g') AS tag, regexp_extract(line, '{labels[0]}', 1) AS l0, regexp_extract(line, '{labels[1]}', 1) AS l1, regexp_extract(line, '{labels[2]}', 1) AS l2 FROM marked
+), events AS (
+  SELECT doc_id, n, line, tagged, contains(CASE WHEN tagged THEN tag ELSE l0 || l1 || l2 END, '신') AS belief,
+    CASE WHEN tagged THEN CASE tag WHEN '제목' THEN 'title' WHEN '질문' THEN 'question' WHEN '쪽' THEN 'number' WHEN '' THEN '' ELSE 'label' END
+      WHEN regexp_matches(line, '{structure.QUESTION_LINE}') THEN 'question' WHEN l0 || l1 || l2 <> '' THEN 'label' WHEN regexp_matches(line, '{structure.SECOND_HALF}') THEN 'skip' ELSE '' END AS event,
+    trim(CASE WHEN tagged THEN regexp_extract(line, '{structure.TAG}', 2) WHEN l1 <> '' THEN regexp_extract(line, '{labels[1]}', 2) WHEN l2 <> '' THEN regexp_extract(line, '{labels[2]}', 2) ELSE '' END) AS rest FROM named
+), counted AS (
+  SELECT *, sum((event = 'title')::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS t FROM events WHERE event <> 'skip'
+), asked AS (
+  SELECT *, sum((event = 'question')::INT) {so_far.format("t")} AS q FROM counted
+), heads AS (
+  SELECT *, q = 0 AND NOT tagged AND event = '' AS may, regexp_matches(line, '{section}') AS numbered,
+    {head("line")} <> '' AS titles FROM asked
+), stops AS (
+  SELECT *, min(CASE WHEN q = 0 AND NOT tagged AND (event = 'label' OR may AND numbered) THEN n END) OVER (PARTITION BY doc_id, t) AS stop,
+    min(CASE WHEN may AND NOT numbered AND titles THEN n END) OVER (PARTITION BY doc_id, t) AS titled FROM heads
+), without AS (
+  SELECT *, may AND n < coalesce(stop, n + 1) AND n <= coalesce(titled, n) AS head FROM stops
+), opened AS (
+  SELECT *, coalesce(last_value(CASE WHEN event = 'label' THEN belief END IGNORE NULLS) {so_far.format("t")}, false) AS in_belief, CASE WHEN event = '' THEN line ELSE rest END AS body FROM without WHERE NOT head OR n = titled
+), filled AS (
+  SELECT *, q = 0 AND NOT head AND (event = '' OR event = 'label' AND rest <> '') AND CASE WHEN in_belief THEN tagged ELSE NOT {table("body")} END AS fills FROM opened
+), finished AS (
+  SELECT *, coalesce(min(CASE WHEN fills THEN n END) OVER (PARTITION BY doc_id, t) < max(CASE WHEN q = 0 AND event IN ('label', 'number') THEN n END) OVER (PARTITION BY doc_id, t), false) AS done FROM filled
+), paged AS (
+  SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY t, CASE WHEN q = 0 THEN 1 ELSE q + done::INT END) AS page FROM finished
+), segments AS (
+  SELECT *, sum((event IN ('question', 'label', 'title'))::INT) {so_far.format("page")} AS segment, regexp_matches(CASE WHEN event = 'question' THEN {asked("line")} ELSE line END, '[?？]$') AS ended FROM paged
+), leaving AS (
+  SELECT *, NOT tagged AND event = '' AND (numbered OR regexp_matches(line, '{structure.SUBSECTION}') OR coalesce(lag(ended) OVER (PARTITION BY doc_id, page, segment ORDER BY n), false)) AS leaves FROM segments
+), moded AS (
+  SELECT *, sum(leaves::INT) OVER (PARTITION BY doc_id, page, segment ORDER BY n ROWS UNBOUNDED PRECEDING) AS gone,
+    last_value(CASE WHEN event = 'question' THEN 'question' WHEN event = 'label' THEN CASE WHEN belief THEN 'belief' ELSE 'core' END END IGNORE NULLS) {so_far.format("page")} AS m FROM leaving
+), parted AS (
+  SELECT *, CASE WHEN event = 'title' OR head THEN 'title' WHEN event = 'number' THEN 'label' WHEN m = 'question' AND gone > 0 THEN 'core' ELSE coalesce(m, 'core') END AS part,
+    event IN ('title', 'question', 'label', 'number') OR leaves AND gone = 1 AND m IS NOT NULL AND (m = 'core' OR m = 'question') OR leaves AND gone = 1 AND m IS NULL AS starts FROM moded
+), runs AS (
+  SELECT doc_id, page, n, part, CASE WHEN tagged AND event <> '' OR event = 'label' THEN rest ELSE line END AS line, sum(starts::INT) {so_far.format("page")} AS run, event = 'label' AND rest = '' AS bare FROM parted
+), kinds AS (
+  SELECT *, CASE WHEN part IN ('title', 'question', 'label', 'belief') THEN part WHEN {table("line")} THEN 'table' WHEN regexp_matches(line, '{section}') AND NOT regexp_matches(line, '^\d{{1,2}}\.\d') THEN 'section'
+    WHEN regexp_matches(line, '{structure.SUBSECTION}') THEN 'subsection' ELSE 'content' END AS kind FROM runs WHERE NOT bare
+), begun AS (
+  SELECT *, CASE kind WHEN 'belief' THEN regexp_matches(line, '{structure.ITEM}') OR lag(n) OVER w IS NULL OR (NOT bool_or(regexp_matches(line, '{structure.ITEM}')) OVER (PARTITION BY doc_id, page, part, run) AND NOT regexp_matches(lag(line) OVER w, '{structure.GOES_ON}'))
+    WHEN 'question' THEN lag(n) OVER w IS NULL ELSE true END AS begins FROM kinds WINDOW w AS (PARTITION BY doc_id, page, part ORDER BY n)
+), islands AS (
+  SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, page, part ORDER BY n ROWS UNBOUNDED PRECEDING) AS island FROM begun
+), joined AS (
+  SELECT doc_id, page, part, kind, island, min(n) AS n, min(run) AS run, arg_min(line, n) AS first, string_agg(line, ' ' ORDER BY n) AS line FROM islands GROUP BY ALL
+), texts AS (
+  SELECT *, {asked("first")} AS asked, substr(line, length(first) + 2) AS more, {rest("first")} AS behind, {head("line")} AS header FROM joined
+)
+SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY n) AS INT) AS node_no, kind,
+  md5(CASE kind WHEN 'question' THEN CASE WHEN length(line) > length(first) THEN trim(asked || ' ' || more) ELSE asked END WHEN 'section' THEN trim(regexp_extract(line, '{section}', 2)) WHEN 'subsection' THEN trim(regexp_extract(line, '{structure.SUBSECTION}', 1))
+    WHEN 'table' THEN array_to_string({cells}, ' | ') WHEN 'title' THEN CASE WHEN trim(regexp_extract(header, '{structure.HEADER}', 1)) <> '' THEN trim(regexp_extract(header, '{structure.HEADER}', 1)) || ' (' || trim(regexp_replace(regexp_replace(regexp_extract(header, '{structure.HEADER}', 2), '\s*-\s*', '-', 'g'), '^([^.]*?\d)\s*\.\s*', '\1. ')) || ')'
+      ELSE coalesce(nullif(header, ''), line) END ELSE trim(regexp_replace(line, '^●\s*', '')) END) AS text_md5,
+  CASE kind WHEN 'question' THEN CAST(CAST(nullif(regexp_extract(trim(regexp_replace(first, '\s+', ' ', 'g')), '{structure.QUESTION_NUMBER}', 1), '') AS INT) AS VARCHAR) WHEN 'section' THEN regexp_extract(line, '{section}', 1) END AS number,
+  CASE WHEN kind = 'question' THEN array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(behind, '{structure.QUESTION_TAGS}', 2), '[,/·]'), lambda x: trim(x)), lambda x: x <> ''), ',') END AS tags,
+  CASE WHEN kind = 'question' THEN regexp_extract(behind, '{structure.QUESTION_TAGS}', 1) <> '' END AS starred, CAST(run AS BIGINT) AS run
+FROM texts"""
+
+
 QUERIES = {
+    "page_nodes": (page_nodes, _nodes_sql()),
     "align_versions": (align_versions, None),
     "consensus_lines": (consensus_lines, None),
     "matched_points": (matched_points, None),
