@@ -153,12 +153,38 @@ def points_kept_by_text(spark, d):
     return new.withColumn("n", n).join(old, ["p_brand", "key", "n"], "left").select("p_partkey", "old_id")
 
 
+_DRAWN = "(CAST('0x' || md5('{0}:' || unit_id || ':' || target_id)[1:12] AS BIGINT) + 1) / 281474976710656.0::DOUBLE"
+PLAN_SQL = f"""WITH {POINTS_SQL}, t AS (
+  SELECT unit_id, point_id AS target_id, greatest(least(imp, 5), 2) AS grp, greatest(least(imp, 5), 1) AS imp, coalesce(level, 0)::DOUBLE AS level, last_studied_at IS NOT NULL AS studied FROM graded
+), u AS (
+  SELECT unit_id, count(*) AS n, count(*) FILTER (imp = 1) AS details, count(*) FILTER (imp >= 2) AS required, count(*) FILTER (imp = 2) AS low_required,
+    max(CASE grp WHEN 5 THEN 0.45::DOUBLE ELSE 0 END) + max(CASE grp WHEN 4 THEN 0.275::DOUBLE ELSE 0 END) + max(CASE grp WHEN 3 THEN 0.175::DOUBLE ELSE 0 END) + max(CASE grp WHEN 2 THEN 0.1::DOUBLE ELSE 0 END) AS shares,
+    max(CASE grp WHEN 2 THEN 0.1::DOUBLE ELSE 0 END) AS low_share FROM t GROUP BY unit_id
+), b AS (
+  SELECT *, {COUNT_SQL} AS asks, CASE WHEN required = 0 THEN details ELSE greatest(least(1, details), floor(low_share / shares * {COUNT_SQL} - low_required + 0.5)) END AS budget FROM u
+), c AS (
+  SELECT t.*, asks, shares, required, imp >= 2 OR row_number() OVER (PARTITION BY unit_id, imp = 1 ORDER BY CASE WHEN studied THEN 1000 ELSE 0 END + level + {_DRAWN.format(1)} * 20, target_id) <= budget AS covered FROM t JOIN b USING (unit_id)
+), g AS (
+  SELECT *, CASE grp WHEN 5 THEN 0.45::DOUBLE WHEN 4 THEN 0.275::DOUBLE WHEN 3 THEN 0.175::DOUBLE ELSE 0.1::DOUBLE END / shares * asks - sum(covered::INT) OVER (PARTITION BY unit_id, grp) AS lacks,
+    sum(covered::INT) OVER (PARTITION BY unit_id) AS base, sum((covered AND grp = 2)::INT) OVER (PARTITION BY unit_id) AS low, 110 - level AS weak FROM c
+), waits AS (
+  SELECT *, -ln({_DRAWN.format(2)}) / (weak * (1 + imp / 5.0::DOUBLE)) AS w1, w1 - ln({_DRAWN.format(3)}) / (weak * (1 + imp / 5.0::DOUBLE) * 0.35::DOUBLE) AS w2 FROM g WHERE covered
+), again AS (
+  SELECT *, w1 AS w, 0 AS k FROM waits WHERE imp >= 3 UNION ALL SELECT *, w2, 1 FROM waits WHERE imp = 5
+), ranked AS (
+  SELECT *, round(lacks - row_number() OVER (PARTITION BY unit_id, grp ORDER BY w, target_id, k) + 1, 9) AS need FROM again
+), taken AS (
+  SELECT unit_id, target_id FROM ranked QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY need DESC, grp DESC) <= greatest(asks, base, CASE WHEN low > 0 AND required > low THEN ceil(low / 0.15::DOUBLE) ELSE 0 END) - base
+)
+SELECT unit_id, target_id, CAST(count(*) AS INT) AS times FROM (SELECT * FROM taken UNION ALL SELECT unit_id, target_id FROM c WHERE covered) x GROUP BY ALL"""
+
+
 QUERIES = {
     "decide_count": (decide_count, f"WITH n AS (SELECT DISTINCT CAST(p_size + CASE WHEN p_partkey % 9 = 0 THEN 80 ELSE 0 END - 2 AS BIGINT) AS n FROM part) SELECT n, {COUNT_SQL} AS questions FROM n"),
     "quota_desired": (quota_desired, f"WITH {QUOTA_SQL} SELECT unit_id, grp, targets, round(desired, 6) AS desired FROM d"),
     "quota_allocation": (quota_allocation, f"""WITH {QUOTA_SQL}, b AS (SELECT *, floor(desired) AS base, floor(sum(desired) OVER (PARTITION BY unit_id) - sum(floor(desired)) OVER (PARTITION BY unit_id) + 0.5) AS missing FROM d)
 SELECT unit_id, grp, targets, CAST(base + (row_number() OVER (PARTITION BY unit_id ORDER BY round(desired - base, 9) DESC, grp DESC) <= missing)::INT AS INT) AS questions FROM b"""),
-    "question_plan": (question_plan, None),
+    "question_plan": (question_plan, PLAN_SQL),
     "coverage_missing": (coverage_missing, f"WITH {POINTS_SQL} SELECT point_id, unit_id FROM graded WHERE imp >= 2 AND point_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45)"),
     "detail_rotation_topk": (detail_rotation_topk, f"WITH {POINTS_SQL} SELECT unit_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY last_studied_at IS NOT NULL, level, point_id) AS INT) AS n, point_id FROM points WHERE importance = 1 QUALIFY n <= 3"),
     "study_deck_topk": (study_deck_topk, f"WITH {POINTS_SQL} SELECT point_id, level - 8 * imp AS sort_key FROM graded ORDER BY sort_key, point_id LIMIT 20"),
