@@ -11,8 +11,9 @@ narrowest integer type that holds them, go once to every bucket, so what is shuf
 once per block. The blocks' results are merged by rank.
 
 Rows whose vector is null, empty or holds null or non-finite components take no part; only vectors of equal length are
-compared. Rows that share a vec_id count as one, the least vector among them; a null vec_id takes no part. Ties go to
-the smaller vec_id. Quantised components beyond 62 bits and scores beyond 64 bits are put to the nearest number that
+compared; a null vec_id takes no part. Rows are told apart by a number of their own, given when they are first written: rows
+that share a vec_id are rows like others, and each of them that is a query is answered for itself, with all rows but
+itself as candidates. Ties go to the smaller vec_id. Quantised components beyond 62 bits and scores beyond 64 bits are put to the nearest number that
 fits. Extra columns are ignored; empty tables give empty results.
 """
 
@@ -34,7 +35,7 @@ PACK_ROWS = 256
 FIRST_DEPTH = 8
 LARGEST = 1 << 62
 
-PACKED = "dim int, pack bigint, type string, ids binary, matrix binary"
+PACKED = "dim int, pack bigint, type string, rows binary, ids binary, matrix binary"
 
 
 def _packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
@@ -44,26 +45,25 @@ def _packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
         waiting: dict[int, list] = {}
 
         def out(dim: int) -> pa.RecordBatch:
-            ids, vectors = zip(*waiting.pop(dim), strict=True)
-            ids, matrix = np.concatenate(ids), np.concatenate(vectors)
+            rows, ids, matrix = map(np.concatenate, zip(*waiting.pop(dim), strict=True))
             narrow = np.promote_types(np.min_scalar_type(matrix.min()), np.min_scalar_type(matrix.max()))
             narrow = narrow if narrow.kind == "i" else np.dtype(np.int64)
-            arrays = [pa.array([dim], pa.int32()), pa.array([int(ids[0])]), pa.array([narrow.str]), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.astype(narrow).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["dim", "pack", "type", "ids", "matrix"])
+            arrays = [pa.array([dim], pa.int32()), pa.array([int(rows[0])]), pa.array([narrow.str]), *(pa.array([x.tobytes()], pa.binary()) for x in (rows, ids, matrix.astype(narrow)))]
+            return pa.RecordBatch.from_arrays(arrays, names=["dim", "pack", "type", "rows", "ids", "matrix"])
 
         for batch in batches:
             vectors = batch.column("embedding")
             lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
             flat = np.clip(np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale), -LARGEST, LARGEST)
             ends = np.cumsum(lengths)
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            own_rows, ids = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row", "vec_id"))
             for dim in np.unique(lengths):
                 own = np.flatnonzero(lengths == dim)
                 for at in range(0, len(own), size):
                     some = own[at : at + size]
                     matrix = flat[(ends[some] - dim)[:, None] + np.arange(dim)].astype(np.int64)
-                    waiting.setdefault(int(dim), []).append((ids[some], matrix))
-                    if sum(len(i) for i, _ in waiting[int(dim)]) >= size:
+                    waiting.setdefault(int(dim), []).append((own_rows[some], ids[some], matrix))
+                    if sum(len(i) for i, *_ in waiting[int(dim)]) >= size:
                         yield out(int(dim))
         for dim in list(waiting):
             yield out(dim)
@@ -78,8 +78,9 @@ NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 class Block:
     """Rows of one length with the sorted lists of their dimensions."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, numbers: np.ndarray | None = None):
         self.ids = ids
+        self.numbers = ids if numbers is None else numbers
         self.matrix = matrix
         self.orders = np.argsort(matrix.T, axis=1, kind="stable")
         self.values = np.take_along_axis(matrix.T, self.orders, axis=1).astype(np.int64)
@@ -97,7 +98,7 @@ class Block:
 
 def threshold_search(query: np.ndarray, own: int, block: Block, rows: np.ndarray, k: int, best: Best = NONE) -> tuple[Best, int]:
     """The k best of a block's rows and of those in ``best`` (scores and ids, best first) for a query, and how many rows
-    of the block were scored. rows: the block's, in a type that holds every score exactly."""
+    of the block were scored. own: the query's row number; rows: the block's, in a type that holds every score exactly."""
     n = len(block.ids)
     seen, scored = np.zeros(n, bool), np.zeros(n, bool)
     best_score, best_id = best
@@ -116,7 +117,7 @@ def threshold_search(query: np.ndarray, own: int, block: Block, rows: np.ndarray
         scored |= seen
         score = rows[met] @ weights
         score = np.clip(score, -(1 << 63), (1 << 63) - 1).astype(np.int64) if rows.dtype == object else score.astype(np.int64)
-        good = block.ids[met] != own
+        good = block.numbers[met] != own
         if len(best_score) == k:
             good &= score >= best_score[-1]
         elif len(met) > k:
@@ -142,7 +143,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False)))
     work = Workspace(vectors.sparkSession, "topk")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = work.write(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    rows = work.write(rows.repartition(parts).withColumn("row", F.monotonically_increasing_id()), "vectors")
     buckets = rows.count() // BLOCK_ROWS + 1
     blocks = _packed(rows, BLOCK_ROWS, scale).withColumn("bucket", F.pmod(F.xxhash64("pack"), F.lit(buckets)).cast("int")).withColumn("is_pack", F.lit(False))
     packs = _packed(rows.where(is_query), PACK_ROWS, scale).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn("is_pack", F.lit(True))
@@ -153,21 +154,21 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE
         for row in (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
             if at != (row["dim"], row["bucket"]):
                 at, held = (row["dim"], row["bucket"]), []
-            ids = np.frombuffer(row["ids"], np.int64)
+            numbers, ids = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64)
             matrix = np.frombuffer(row["matrix"], row["type"]).reshape(len(ids), row["dim"])
             if not row["is_pack"]:
-                held.append(Block(ids, matrix))
+                held.append(Block(ids, matrix, numbers))
                 continue
             wanted = matrix.astype(np.int64)
             found = [NONE] * len(ids)
             for block in held:
                 typed = block.rows(wanted)
-                found = [threshold_search(wanted[i], ids[i], block, typed, k, found[i])[0] for i in range(len(ids))]
-            query = np.repeat(ids, [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found]))], names=["query_id", "vec_id", "score"])
+                found = [threshold_search(wanted[i], numbers[i], block, typed, k, found[i])[0] for i in range(len(ids))]
+            times = [len(f[0]) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, times)), pa.array(np.repeat(ids, times)), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found]))], names=["query", "query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(search, "query bigint, query_id bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -178,13 +179,13 @@ def op5(embeddings: DataFrame) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 20
 """

@@ -167,19 +167,23 @@ def test_entropy(spark):
 
 
 def brute_top(rows, k=20):
-    known = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            known[i] = min(known.get(i, v), v)
-    q = {i: [math.floor(64 * x) for x in v] for i, v in known.items()}
+    q = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i in q:
+    for n, (i, v) in enumerate(q):
         if i % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i and len(q[j]) == len(q[i]))
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best[:k])]
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for m, (j, w) in enumerate(q) if m != n and len(w) == len(v))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best[:k])]
     return out
 
 
+def test_rows_that_share_an_id_all_count(spark):
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0])]
+    found = topk.op5(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 4096), (1, 2048), (2, 1024)]
+    twice = [(40, [1.0, 1.0]), (40, [1.0, 1.0]), (40, [2.0, 0.0]), (3, [1.0, -1.0])]
+    same([tuple(r) for r in topk.op5(spark.createDataFrame(twice, "vec_id long, embedding array<double>")).collect()], brute_top(twice))
+
+
 def test_top_k(spark, sf_dir, monkeypatch):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
