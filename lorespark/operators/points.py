@@ -11,6 +11,7 @@ from lorespark.functions.korean import is_good_blank_answer, keyword_candidates,
 from lorespark.functions.similarity import gram_rows
 from lorespark.functions.text import category_of, let, make_blank, normalize_text, text_of
 from lorespark.operators.quiz import in_groups
+from lorespark.operators.structure import has_tags, is_structured, part_nodes, text_parts
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 #: Phrases worth asking for, in order of precedence; the numbers are the groups that hold them.
@@ -27,6 +28,11 @@ PHRASES = (
 LIST_END = r"(을|를|이|가|은|는|의|과|와|에)$"
 STEM_OF_VERB = r"(하|되|시키|받|지키)$"
 MATCH_CONTAINED, MATCH_DICE = 0.9, 0.8
+NUMBER_WORDS = {"두": 2, "세": 3, "네": 4, "다섯": 5, "여섯": 6, "일곱": 7, "여덟": 8}
+ENUMERATION = r"(\d+|두|세|네|다섯|여섯|일곱|여덟)\s*가지"
+MEANING_OF = r"(의|이라는|라는)?\s*의미$"
+CONNECTIVE = r"(며|고|하여|되어|으며|,|및|와|과)$"
+OUTLINE = 6
 # -------------------------------------------------------------------------------------------------------------------
 
 
@@ -62,34 +68,128 @@ def linked(question_stems: Column, stems: Column, common: Column) -> Column:
     return F.size(F.filter(own, lambda s: F.exists(question_stems, lambda q: F.contains(q, s) | F.contains(s, q)))) >= 2
 
 
-def page_points(nodes: DataFrame) -> DataFrame:
-    """Points of structured pages: ``doc_id, page, node_no, text, heading, importance, category, area, linked, answer, blank_text``.
+def enum_count(c: Column) -> Column:
+    """How many things a line announces ("세 가지", "3가지"); 0 if it doesn't."""
+    found = F.regexp_extract(text_of(c), ENUMERATION, 1)
+    words = F.coalesce(*(F.when(found == w, F.lit(n)) for w, n in NUMBER_WORDS.items()))
+    return F.when(found == "", 0).otherwise(F.coalesce(F.when(found.rlike("^[0-9]{1,9}$"), found.cast("int")), words, F.lit(1 << 30)))
+
+
+def core_of_title(c: Column) -> Column:
+    """A title without its "…의 의미"."""
+    return F.trim(F.regexp_replace(text_of(c), MEANING_OF, ""))
+
 
-    Lines under a title that the page's question is about have importance 5, other lines and table rows 4, belief
-    items 3. A line belongs to the last title above it. A keyword is common where more than 0.4 of four titles or more have it.
+def _sections(nodes: DataFrame, page: list[str]) -> DataFrame:
+    """Nodes with section_no, section, sub_no, sub (titles), and whether these are what the page's question is about.
+
+    A section holds to the end of its run; lines of a run before any section make up one without a title. A keyword is
+    common, and counts for nothing, where more than 0.4 of four titles or more of the page have it.
     """
-    page = ["doc_id", "page"]
-    order = Window.partitionBy(*page).orderBy("node_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*page)
-    title = F.col("kind").isin("section", "subsection")
-    rows = nodes.withColumn("stems", F.when(title | (F.col("kind") == "question"), title_stems(F.col("text"))))
-    rows = rows.withColumn("question_stems", F.first(F.when(F.col("kind") == "question", F.col("stems")), ignorenulls=True).over(whole))
+    whole, order = Window.partitionBy(*page), Window.partitionBy(*page).orderBy("node_no")
+    kind = F.col("kind")
+    core, title = kind.isin("section", "subsection", "content"), kind.isin("section", "subsection") & (F.col("text") != "")
+    before = F.count_if(core).over(Window.partitionBy(*page, "run").orderBy("node_no").rowsBetween(Window.unboundedPreceding, -1))
+    opens = (kind == "section") | (core & (F.coalesce(before, F.lit(0)) == 0))
+    rows = nodes.withColumn("section_no", F.when(core, F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    rows = rows.withColumn("sub_no", F.when(core, F.count_if(kind == "subsection").over(Window.partitionBy(*page, "section_no").orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0))))
+    rows = rows.withColumn("stems", F.when(title | (kind == "question"), title_stems(F.col("text"))))
+    rows = rows.withColumn("question_stems", F.first(F.when(kind == "question", F.col("stems")), ignorenulls=True).over(whole))
     titles = rows.where(title).withColumn("n_titles", F.count("*").over(whole)).select(*page, "n_titles", F.explode(F.array_distinct("stems")).alias("stem"))
     common = titles.groupBy(*page, "stem").agg(F.count("*").alias("n"), F.first("n_titles").alias("n_titles")).where("n_titles >= 4 and n / n_titles > 0.4")
     common = common.groupBy(*page).agg(F.collect_set("stem").alias("common"))
     rows = rows.join(common, page, "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
     rows = rows.withColumn("is_linked", F.when(title, F.coalesce(linked(F.col("question_stems"), F.col("stems"), F.col("common")), F.lit(False))))
-    rows = rows.withColumn("section_linked", F.last(F.when(F.col("kind") == "section", F.col("is_linked")), ignorenulls=True).over(order))
-    # A subsection ends with its section, so the last title above is the one that counts.
-    above = F.last(F.when(title, F.struct("text", "is_linked")), ignorenulls=True).over(order)
-    rows = rows.withColumn("heading", above["text"]).withColumn("linked", F.coalesce("section_linked", F.lit(False)) | F.coalesce(above["is_linked"], F.lit(False)))
-    kept = rows.where(F.col("kind").isin("content", "table", "belief"))
-    belief, table = F.col("kind") == "belief", F.col("kind") == "table"
-    category = F.when(belief, "신념화").when(table, "표").when(F.col("text").rlike("^[^:：]{2,30}[:：]"), "정의").otherwise(category_of(F.col("text")))
-    blank = phrase_blank(F.col("text"))
-    importance = F.when(belief, 3).when(table | ~F.col("linked"), 4).otherwise(5)
-    kept = kept.select(*page, "node_no", "text", F.when(belief, "신념화").otherwise(F.col("heading")).alias("heading"), importance.alias("importance"), category.alias("category"), F.when(belief, "belief").otherwise("core").alias("area"), (F.col("linked") & ~belief & ~table).alias("linked"), blank.alias("blank"))
-    return kept.select("*", "blank.answer", "blank.blank_text").drop("blank")
+    section, sub = Window.partitionBy(*page, "section_no"), Window.partitionBy(*page, "section_no", "sub_no")
+    of = lambda name, kind_, over: F.max(F.when(F.col("kind") == kind_, F.col(name))).over(over)
+    rows = rows.withColumn("section", of("text", "section", section)).withColumn("section_linked", F.coalesce(of("is_linked", "section", section), F.lit(False)))
+    rows = rows.withColumn("sub", of("text", "subsection", sub)).withColumn("sub_linked", F.col("section_linked") | F.coalesce(of("is_linked", "subsection", sub), F.lit(False)))
+    return rows.drop("stems", "question_stems", "common")
+
+
+def page_points(nodes: DataFrame) -> DataFrame:
+    """Points of structured pages: ``doc_id, page, node_no, text, source_excerpt, heading, importance, category, area, linked, answer, blank_text,
+    page_question``.
+
+    * The page's question with the outline of its answer: up to six titles that it is about (of a section about it, not
+      its subsections), else the sections' titles. Importance 5.
+    * Lines under a title, joined where one ends in a connective: 5 where the title is what the question is about, else 4. A line right
+      under a section that announces so many things as it has subsections, or fewer, is a list of their titles.
+    * Table rows 4, belief items 3.
+
+    A page's titles are gathered for its outline and lists, its lines are not. nodes: as structure.nodes makes them.
+    """
+    page = ["doc_id", "page"]
+    rows = _sections(nodes, page)
+    kind = F.col("kind")
+    asked = F.concat(F.when(F.col("number").isNotNull(), F.concat(F.lit("Q"), "number", F.lit(". "))).otherwise(""), "text")
+    heads = rows.groupBy(*page).agg(
+        F.max(F.when(kind == "title", F.col("text"))).alias("page_title"),
+        F.max(F.when(kind == "question", F.struct("text", asked.alias("asked"), "node_no"))).alias("question"),
+        F.sort_array(F.collect_list(F.when((kind == "section") & (F.col("text") != ""), F.struct("node_no", "text", F.col("is_linked").alias("linked"))))).alias("titles"),
+        F.sort_array(F.collect_list(F.when(F.col("is_linked") & ((kind == "section") | ~F.col("section_linked")), F.struct("node_no", "text")))).alias("linked_titles"),
+    )
+    texts = lambda c: F.transform(c, lambda x: x["text"])
+    outline = F.slice(F.when(F.size("linked_titles") > 0, texts("linked_titles")).otherwise(texts("titles")), 1, OUTLINE)
+    none = F.lit(None).cast("string")
+    questions = heads.where("question.text <> ''").withColumn("outline", outline).where("size(outline) > 0")
+    questions = questions.select(
+        *page, F.col("question.node_no").alias("node_no"), F.concat(F.col("question.text"), F.lit(" — "), F.array_join("outline", " / ")).alias("text"), F.col("question.text").alias("source_excerpt"),
+        F.col("page_title").alias("heading"), F.lit(5).alias("importance"), F.lit("핵심 질문").alias("category"), F.lit("question").alias("area"), F.lit(True).alias("linked"), F.get("outline", F.lit(0)).alias("asks_for"),
+    )
+    subs = rows.where(kind == "subsection").groupBy(*page, "section_no").agg(F.sort_array(F.collect_list(F.struct("node_no", "text", F.col("sub_linked").alias("linked")))).alias("subs"))
+    content = rows.where(kind == "content")
+    lines = Window.partitionBy(*page, "section_no", "sub_no").orderBy("node_no")
+    goes_on = F.coalesce(F.trim(F.lag("text").over(lines)).rlike(CONNECTIVE), F.lit(False))
+    content = content.withColumn("begins", (~goes_on).cast("int")).withColumn("island", F.sum("begins").over(lines))
+    keys = [*page, "section_no", "sub_no", "island", "section", "section_linked", "sub", "sub_linked"]
+    joined = content.groupBy(*keys).agg(F.min("node_no").alias("node_no"), F.array_join(texts(F.sort_array(F.collect_list(F.struct("node_no", "text")))), " ").alias("text"))
+    joined = joined.join(subs, [*page, "section_no"], "left").join(heads.select(*page, "page_title"), page)
+    announced = enum_count(F.col("text"))
+    listed = F.when((F.col("sub_no") == 0) & (announced > 0) & (F.size("subs") >= announced), F.slice("subs", F.lit(1), announced))
+    joined = joined.withColumn("listed", listed)
+    is_list, in_sub = F.col("listed").isNotNull(), F.col("sub_no") > 0
+    about = F.when(in_sub, F.col("sub_linked")).otherwise(F.col("section_linked") | F.coalesce(F.exists("listed", lambda x: x["linked"]), F.lit(False)))
+    text = F.when(is_list, F.concat("text", F.lit(": "), F.array_join(texts("listed"), ", "))).otherwise(F.col("text"))
+    heading = F.when(in_sub, F.col("sub")).when(is_list, F.col("section")).otherwise(F.coalesce(F.nullif("section", F.lit("")), "page_title"))
+    core = joined.select(
+        *page, "node_no", text.alias("text"), F.col("text").alias("source_excerpt"), heading.alias("heading"), F.when(about, 5).otherwise(4).alias("importance"), F.when(is_list, "목록").alias("category"),
+        F.lit("core").alias("area"), about.alias("linked"), F.when(is_list, core_of_title(F.get(texts("listed"), F.lit(0)))).alias("asks_for"),
+    )
+    rest = rows.where(kind.isin("table", "belief")).join(heads.select(*page, "page_title"), page)
+    belief = kind == "belief"
+    rest = rest.select(
+        *page, "node_no", "text", F.col("text").alias("source_excerpt"), F.when(belief, "신념화").otherwise(F.col("page_title")).alias("heading"), F.when(belief, 3).otherwise(4).alias("importance"),
+        F.when(belief, "신념화").otherwise("표").alias("category"), F.when(belief, "belief").otherwise("core").alias("area"), F.lit(False).alias("linked"), none.alias("asks_for"),
+    )
+    found = questions.unionByName(core).unionByName(rest).join(heads.select(*page, F.col("question.asked").alias("page_question")), page)
+    # Titles asked for stand for themselves; other points are searched for a phrase.
+    by_title = F.col("category").isin("핵심 질문", "목록") & F.col("category").isNotNull()
+    given = F.when((F.col("asks_for") != "") & is_good_blank_answer(F.col("asks_for"), F.col("text")) & F.contains("text", F.col("asks_for")), F.struct(F.col("asks_for").alias("answer"), make_blank(F.col("text"), F.col("asks_for")).alias("blank_text")))
+    blank = F.when(F.coalesce(by_title, F.lit(False)), given).otherwise(phrase_blank(F.col("text")))
+    category = F.coalesce("category", F.when(F.col("text").rlike("^[^:：]{2,30}[:：]"), "정의").otherwise(category_of(F.col("text"))))
+    found = found.withColumn("blank", blank).withColumn("category", category)
+    return found.select(*page, "node_no", "text", "source_excerpt", "heading", "importance", "category", "area", "linked", "blank.answer", "blank.blank_text", "page_question")
+
+
+def document_points(nodes: DataFrame) -> DataFrame:
+    """The points of whole documents, each sentence (by its key) once: the first in order of pages; with ``ord`` from 0.
+
+    On a page the question comes first, then lines, table rows and belief items.
+    """
+    rows = page_points(nodes).withColumn("key", normalize_text(F.col("text"))).where("key <> ''")
+    rank = F.when(F.col("area") == "question", 0).when(F.col("category") == "표", 2).when(F.col("area") == "belief", 3).otherwise(1)
+    rows = rows.withColumn("rank", rank)
+    first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("page", "rank", "node_no"))
+    rows = rows.withColumn("n", first).where("n = 1")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "rank", "node_no")) - 1).drop("n", "key", "rank")
+
+
+def points_from_texts(documents: DataFrame) -> DataFrame:
+    """The points of texts that have tags and the structure of a textbook; other texts have none here. documents: doc_id, text."""
+    parts = text_parts(documents.where(has_tags(F.col("text"))))
+    structured = is_structured(parts).where("structured").select("doc_id")
+    return document_points(part_nodes(parts.join(structured, "doc_id", "left_semi")))
 
 
 def matched_points(old: DataFrame, new: DataFrame, group: str = "material_id") -> DataFrame:

@@ -249,6 +249,34 @@ def emphasis(node_table: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", F.trim("term").alias("term")).distinct()
 
 
+def continued_pages(pages: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """``doc_id, page, from_page, page_label, unverified``: what each page takes over from an earlier analysis.
+
+    pages: doc_id, page, question, page_label; analyzed: also unverified (an array). A page goes on from the first
+    analysed page with its question's text; where it has no question, or none is like it, from the page at its place.
+    Its own label stands before an earlier one.
+    """
+    earlier = analyzed.select("doc_id", F.col("page").alias("from_page"), "question", F.col("page_label").alias("old_label"), "unverified")
+    first = F.row_number().over(Window.partitionBy("doc_id", "question").orderBy("from_page"))
+    asked = earlier.where("question is not null").withColumn("n", first).where("n = 1").drop("n")
+    asked = asked.select("doc_id", "question", F.struct("from_page", "old_label", "unverified").alias("by_question"))
+    placed = earlier.select("doc_id", F.col("from_page").alias("page"), F.struct("from_page", "old_label", "unverified").alias("by_place"))
+    rows = pages.join(asked, ["doc_id", "question"], "left").join(placed, ["doc_id", "page"], "left").withColumn("source", F.coalesce("by_question", "by_place"))
+    return rows.select("doc_id", "page", "source.from_page", F.coalesce(F.nullif("page_label", F.lit("")), "source.old_label").alias("page_label"), F.coalesce("source.unverified", F.array().cast(dict(analyzed.dtypes)["unverified"])).alias("unverified"))
+
+
+def structure_from_texts(texts: DataFrame, analyzed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and pages of a document that was edited as several texts, with what an earlier analysis knew of its pages.
+
+    texts: doc_id, n, text; analyzed: as :func:`continued_pages` takes it. Pages are counted through the texts in order.
+    """
+    found = part_nodes(text_parts(texts, ["doc_id", "n"]), ["doc_id", "n"])
+    found = found.withColumn("page", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("n", "page")))
+    of = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("text")), F.when(F.col("kind") == kind, F.col("node_no")))
+    pages = found.groupBy("doc_id", "page").agg(of("question").alias("question"), of("label").alias("page_label"))
+    return found.drop("n"), continued_pages(pages, analyzed)
+
+
 def render_question(number: Column, tags: Column, starred: Column, text: Column) -> Column:
     star = F.when(F.coalesce(starred, F.lit(False)), "★").otherwise("")
     names = F.coalesce(F.array_join(tags, ", "), F.lit(""))

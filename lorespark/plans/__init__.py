@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorespark.plans import progress, quiz, structure, study, texts
+from lorespark.plans import corrections, progress, quiz, structure, study, texts
 
-MODULES = (progress, quiz, structure, texts, study)
+MODULES = (progress, quiz, structure, texts, study, corrections)
 
 
 def all_queries() -> dict[str, tuple]:

@@ -13,12 +13,64 @@ def test_phrase_blanks(spark):
     assert got[3].blank_text == "대한민국 정부는 [      ] 수립되었다"
 
 
+PAGE = """[제목] 우리가 지켜야 하는 대한민국 (1-3. 대한민국을 수호하는 국군)
+[질문] Q3. (★민주주의와 헌법수호) 군인이 헌법을 수호해야 하는 이유는?
+[핵심 내용]
+머리말이다.
+1. 헌법 수호와 군인의 사명
+헌법은 최고 규범이며
+국가의 바탕이다.
+헌법 수호에는 두 가지 뜻이 있다.
+- 국가를 지킨다는 것의 의미
+국군은 나라를 지킨다.
+- 국민을 지킨다는 것
+2. 헌법과 역사
+- 옛 헌법
+자유: 얽매이지 않는 상태
+구분 | 내용
+[신념화]
+● 나는 헌법을 지킨다.
+● 나는 헌법을 지킨다"""
+
+
 def test_page_points(spark):
-    text = TAGGED.replace("1. 헌법의 의미", "1. 헌법과 군인의 사명")
-    nodes = structure.nodes(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    nodes = structure.nodes(spark.createDataFrame([(1, PAGE)], "doc_id int, text string"))
     rows = points.page_points(nodes).orderBy("node_no").collect()
-    assert [(r.importance, r.area) for r in rows] == [(5, "core"), (5, "core"), (4, "core"), (3, "belief"), (3, "belief")]
-    assert rows[0].heading == "헌법과 군인의 사명" and rows[1].heading == "헌법 수호"
+    assert [(r.area, r.category, r.importance, r.heading) for r in rows if r.category in ("핵심 질문", "목록", "표", "신념화")] == [
+        ("question", "핵심 질문", 5, "우리가 지켜야 하는 대한민국 (1-3. 대한민국을 수호하는 국군)"),
+        ("core", "목록", 5, "헌법 수호와 군인의 사명"),
+        ("core", "표", 4, "우리가 지켜야 하는 대한민국 (1-3. 대한민국을 수호하는 국군)"),
+        ("belief", "신념화", 3, "신념화"),
+        ("belief", "신념화", 3, "신념화"),
+    ]
+    by_text = {r.text: r for r in rows}
+    question = by_text["군인이 헌법을 수호해야 하는 이유는? — 헌법 수호와 군인의 사명"]
+    assert (question.answer, question.blank_text) == ("헌법 수호와 군인의 사명", "군인이 헌법을 수호해야 하는 이유는? — [      ]")
+    listed = by_text["헌법 수호에는 두 가지 뜻이 있다.: 국가를 지킨다는 것의 의미, 국민을 지킨다는 것"]
+    assert (listed.answer, listed.source_excerpt) == ("국가를 지킨다는 것", "헌법 수호에는 두 가지 뜻이 있다.")
+    assert by_text["헌법은 최고 규범이며 국가의 바탕이다."].importance == 5 and by_text["머리말이다."].importance == 4
+    assert by_text["머리말이다."].heading.startswith("우리가") and by_text["국군은 나라를 지킨다."].heading == "국가를 지킨다는 것의 의미"
+    assert by_text["자유: 얽매이지 않는 상태"].category == "정의" and by_text["자유: 얽매이지 않는 상태"].importance == 4
+    assert {r.page_question for r in rows} == {"Q3. 군인이 헌법을 수호해야 하는 이유는?"}
+
+
+def test_outlines_without_linked_titles(spark):
+    sections = "\n".join(f"{i}. 제목{i}" for i in range(1, 9))
+    nodes = structure.nodes(spark.createDataFrame([(1, f"[질문] 왜 그런가?\n[핵심 내용]\n{sections}"), (2, "[질문] 왜 그런가?\n[핵심 내용]\n본문")], "doc_id int, text string"))
+    assert [(r.doc_id, r.text) for r in points.page_points(nodes).where("area = 'question'").collect()] == [(1, "왜 그런가? — " + " / ".join(f"제목{i}" for i in range(1, 7)))]
+
+
+def test_points_of_whole_texts(spark):
+    texts = [(1, PAGE + "\n\n" + PAGE.replace("Q3", "Q4")), (2, "Q1. 태그 없는 글?\n본문"), (3, ""), (4, "[쪽] 5\n그냥 글")]
+    rows = points.points_from_texts(spark.createDataFrame(texts, "doc_id int, text string")).orderBy("ord").collect()
+    once = points.document_points(structure.nodes(spark.createDataFrame([(1, PAGE)], "doc_id int, text string"))).collect()
+    assert {r.doc_id for r in rows} == {1} and [r.ord for r in rows] == list(range(len(once))) and rows[0].area == "question" and rows[-1].area == "belief"
+    assert sum(r.area == "belief" for r in rows) == 1
+
+
+def test_enumerations_and_titles(spark):
+    assert apply(spark, points.enum_count, ["세 가지 뜻", "12가지", "가지가지", None, "99999999999 가지"]) == [3, 12, 0, 0, 1 << 30]
+    assert apply(spark, points.core_of_title, ["헌법을 수호한다는 것의 의미", "국가라는 의미", "의미", "제목"]) == ["헌법을 수호한다는 것", "국가", "", "제목"]
 
 
 def test_matched_points(spark):
