@@ -141,38 +141,6 @@ def split_sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(text_of(c), r"(?<=[.!?。])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
-def sentences_with_headings(c: Column) -> Column:
-    """``array<struct<sentence, heading>>``: lines broken in mid-sentence are joined, headings carried forward.
-
-    One fold over the lines; each line knows the next one that is not blank.
-    """
-    lines = F.filter(F.split(text_of(c), r"\r?\n"), lambda x: F.trim(x) != "")
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.get(lines, i + 1).alias("following")))
-    empty = F.array().cast("array<struct<sentence:string,heading:string>>")
-    start = F.struct(F.lit("").alias("open"), F.lit("").alias("heading"), empty.alias("done"))
-
-    def closed(text: Column, heading: Column) -> Column:
-        return F.transform(split_sentences(text), lambda s: F.struct(s.alias("sentence"), heading.alias("heading")))
-
-    def step(state: Column, row: Column) -> Column:
-        line, following = row["line"], row["following"]
-        clean = clean_line(line)
-        interrupted = (state["open"] != "") & is_bullet(line)
-        done = F.when(interrupted, F.concat(state["done"], closed(state["open"], state["heading"]))).otherwise(state["done"])
-        before = F.when(interrupted, F.lit("")).otherwise(state["open"])
-        joined = F.when(before == "", clean).otherwise(F.concat(before, F.lit(" "), clean))
-        breaks = following.isNull() | is_bullet(following) | is_heading(following)
-        few = F.size(F.split(clean, r"\s+")) < 3
-        ends = ends_sentence(joined) | breaks | (~continues_next_line(joined) & few)
-        kept = F.struct(F.when(ends, F.lit("")).otherwise(joined).alias("open"), state["heading"].alias("heading"), F.when(ends, F.concat(done, closed(joined, state["heading"]))).otherwise(done).alias("done"))
-        headed = F.struct(F.lit("").alias("open"), clean.alias("heading"), state["done"].alias("done"))
-        blank = F.struct(before.alias("open"), state["heading"].alias("heading"), done.alias("done"))
-        return F.when((state["open"] == "") & is_heading(line), headed).when(clean == "", blank).otherwise(kept)
-
-    end = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], closed(s["open"], s["heading"])))
-    return F.aggregate(numbered, start, step, end)
-
-
 def make_blank(sentence: Column, answer: Column) -> Column:
     """The sentence with the first occurrence of the answer blanked; null where it doesn't occur."""
     at = F.instr(sentence, answer)

@@ -83,10 +83,11 @@ def lexicon(lines: DataFrame, line: str = "line") -> DataFrame:
     return words.groupBy(strip_particle(F.col("word")).alias("stem")).agg(F.count("*").alias("n")).where("stem <> ''")
 
 
-def watermark_chain(c: Column) -> Column:
-    """Whether a slash chain is a printed mark: it holds a date or time, or begins or ends with the slash."""
+def watermark_chain(c: Column, words: Column | None = None) -> Column:
+    """Whether a slash chain is a printed mark: it holds a date or time or a learned word, or begins or ends with the slash."""
     chain = F.trim(c)
-    return F.contains(chain, F.lit("/")) & (chain.rlike(DATE) | chain.rlike(r"\d{1,2}\s*:\s*\d{2}") | chain.rlike(r"^/|/$"))
+    known = F.lit(False) if words is None else F.arrays_overlap(F.split(chain, r"[/\s]+"), words)
+    return F.contains(chain, F.lit("/")) & (chain.rlike(DATE) | chain.rlike(r"\d{1,2}\s*:\s*\d{2}") | chain.rlike(r"^/|/$") | F.coalesce(known, F.lit(False)))
 
 
 def watermark_words(pages: DataFrame, page: str = "page", text: str = "text") -> DataFrame:
@@ -176,13 +177,17 @@ def label_kind(c: Column) -> Column:
 
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
+WHY_CHAIN, WHY_TIME = "워터마크(사선으로 이어진 이름·날짜)", "워터마크(날짜·시각)"
+WHY_DATE, WHY_CLOCK = "워터마크(다른 곳의 워터마크와 같은 날짜)", "워터마크(시각)"
+WHY_WORD, WHY_NUMBER = "워터마크 낱말(다른 곳의 워터마크에서 확인됨)", "워터마크 숫자 조각(문장 사이에 홀로 끼어듦)"
 PARTICLE_TAIL = r"(은|는|이|가|을|를|에|의|와|과|도|로|으로|에서|에게|께서|이다|이며|이고|이나|만)$"
 UNIT_WORD = r"^(년|월|일|조|항|호|개|명|차|시|분|가지|번째|세기|개국|만)(의|에|은|는|이|가|을|를|로|과|와)?[,.]?$"
 # -------------------------------------------------------------------------------------------------------------------
 
 
 def strip_learned(c: Column, words: Column, digits: Column, protected: Column) -> Column:
-    """The line without words and numbers known from watermarks, where they stand apart from the sentence.
+    """``struct<text, removed: array<struct<from, why>>>``: the line without words and numbers known from watermarks, where
+    they stand apart from the sentence.
 
     words, digits, protected: arrays; protected words occur in the text with particles, so they go only next to other
     pieces of a watermark.
@@ -195,21 +200,26 @@ def strip_learned(c: Column, words: Column, digits: Column, protected: Column) -
 
         def goes(x: Column, i: Column) -> Column:
             bare = F.regexp_replace(x, r"^[/|]+|[/|]+$", "")
-            apart = (bare != x) | (F.size(all_) == 1) | mark(at(i - 1)) | mark(at(i + 1)) | (~F.array_contains(protected, bare) & ~bare.rlike(PARTICLE_TAIL))
+            # Of words in a row all but the last have a piece behind them and go, so none of them is left before the next.
+            before = mark(at(i - 1)) & ~F.coalesce(F.array_contains(words, F.regexp_replace(at(i - 1), r"^[/|]+|[/|]+$", "")), F.lit(False))
+            apart = (bare != x) | (F.size(all_) == 1) | before | mark(at(i + 1)) | (~F.array_contains(protected, bare) & ~bare.rlike(PARTICLE_TAIL))
             return F.struct(x.alias("x"), (F.array_contains(words, bare) & apart).alias("gone"))
 
-        return F.transform(F.filter(F.transform(all_, goes), lambda t: ~t["gone"]), lambda t: t["x"])
+        return F.transform(all_, goes)
 
     def numbers(all_: Column) -> Column:
         def goes(x: Column, i: Column) -> Column:
             before, after = F.when(i > 0, F.get(all_, i - 1)), F.get(all_, i + 1)
             between = F.coalesce(before.rlike("[가-힣]$"), F.lit(False)) | F.coalesce(after.rlike("^[가-힣]"), F.lit(False))
             gone = x.rlike("^[0-9:]{2,5}$") & F.array_contains(digits, x) & (F.contains(x, F.lit(":")) | (between & ~F.coalesce(after.rlike(UNIT_WORD), F.lit(False))))
-            return F.struct(x.alias("x"), gone.alias("gone"))
+            return F.struct(x.alias("x"), F.coalesce(gone, F.lit(False)).alias("gone"))
 
-        return F.transform(F.filter(F.transform(all_, goes), lambda t: ~t["gone"]), lambda t: t["x"])
+        return F.transform(all_, goes)
 
-    return F.array_join(let(let(tokens, judged), numbers), " ")
+    left = lambda tokens: F.transform(F.filter(tokens, lambda t: ~t["gone"]), lambda t: t["x"])
+    gone = lambda tokens, why: F.transform(F.filter(tokens, lambda t: t["gone"]), lambda t: F.struct(F.trim(t["x"]).alias("from"), F.lit(why).alias("why")))
+    both = lambda first: let(numbers(left(first)), lambda second: F.struct(F.array_join(left(second), " ").alias("text"), F.concat(gone(first, WHY_WORD), gone(second, WHY_NUMBER)).alias("removed")))
+    return let(let(tokens, judged), both)
 
 
 def clean_lines(lines: DataFrame, terms: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.korean import choose_blank, keyword_candidates, split_topic
 from lorespark.functions.similarity import pieces_of_key
-from lorespark.functions.text import category_of, hash_string, importance_of, is_meaningful, let, normalize_text, sentences_with_headings, strip_emphasis, text_of
+from lorespark.functions.text import category_of, hash_string, importance_of, is_meaningful, let, normalize_text, strip_emphasis, text_of
+from lorespark.operators.sentences import sentences_with_headings
 from lorespark.operators.points import matched_points
 from lorespark.operators.progress import apply_result, session_scores, unit_progress
 from lorespark.sources.tables import latest, settled
@@ -66,7 +67,7 @@ def analyzed_points(materials: DataFrame, id_column: str = "material_id", text:
     sentences have its keyword; the point's text leaves the marks out.
     """
     keys = [id_column]
-    rows = materials.select(id_column, F.posexplode(sentences_with_headings(F.col(text))).alias("n", "s")).select(id_column, "n", "s.sentence", "s.heading").where(is_meaningful(F.col("sentence")))
+    rows = sentences_with_headings(materials, id_column, text).where(is_meaningful(F.col("sentence")))
     # By sentences, as materials differ in length.
     rows = latest(rows.repartition(id_column, "n").withColumn("_key", normalize_text(F.col("sentence"))), [id_column, "_key"], [F.col("n")]).drop("_key")
     first = F.get(F.filter(keyword_candidates(F.col("sentence")), lambda k: ~k["generic"]), F.lit(0))["stem"]

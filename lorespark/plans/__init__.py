@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorespark.plans import corrections, progress, quiz, structure, study, texts
+from lorespark.plans import corrections, progress, quiz, structure, study, texts, watermarks
 
-MODULES = (progress, quiz, structure, texts, study, corrections)
+MODULES = (progress, quiz, structure, texts, study, corrections, watermarks)
 
 
 def all_queries() -> dict[str, tuple]:

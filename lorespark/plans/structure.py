@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import sentences_with_headings
+from lorespark.functions import text
 from lorespark.operators import alignment, points, structure
 from lorespark.operators.cleanup import lexicon, line_score, lines_of
+from lorespark.operators.sentences import FEW_WORDS, LONG_LINE, sentences_with_headings
 from lorespark.plans.texts import LINES_SQL, documents
 from lorespark.sources.tables import read_table
 
@@ -39,15 +40,34 @@ def matched_points(spark, d):
     """Lines of each document as old points, its sentences as new ones: which of them take over an old one."""
     old = lines_of(documents(spark, d)).where("trim(line) <> ''")
     old = old.select(F.col("doc_id").alias("material_id"), F.concat_ws(":", "doc_id", "line_no").alias("id"), F.col("line_no").alias("ord"), F.col("line").alias("text"))
-    new = documents(spark, d).select("doc_id", F.posexplode(sentences_with_headings(F.col("text"))).alias("n", "s"))
-    new = new.select(F.col("doc_id").alias("material_id"), F.concat_ws(":", "doc_id", "n").alias("id"), F.col("n").alias("ord"), F.col("s.sentence").alias("text"))
+    new = sentences_with_headings(documents(spark, d))
+    new = new.select(F.col("doc_id").alias("material_id"), F.concat_ws(":", "doc_id", "n").alias("id"), F.col("n").alias("ord"), F.col("sentence").alias("text"))
     return points.matched_points(old, new)
 
 
 def joined_sentences(spark, d):
     """Sentences of documents with lines joined across breaks, and the headings above them."""
-    rows = documents(spark, d).select("doc_id", F.posexplode(sentences_with_headings(F.col("text"))).alias("n", "s"))
-    return rows.select("doc_id", "n", F.md5("s.sentence").alias("sentence_md5"), F.col("s.heading").alias("heading"))
+    return sentences_with_headings(documents(spark, d)).select("doc_id", "n", F.md5("sentence").alias("sentence_md5"), "heading")
+
+
+_W = "OVER (PARTITION BY doc_id ORDER BY i)"
+SENTENCES_SQL = rf"""WITH {LINES_SQL}, c AS (
+  SELECT doc_id, line_no AS i, trim(line) AS line, trim(regexp_replace(regexp_replace(line, '{text.BULLETS}', ''), '\s+', ' ', 'g')) AS clean, regexp_matches(line, '{text.BULLET}') AS bullet FROM lines WHERE regexp_matches(line, '\S')
+), h AS (
+  SELECT *, line <> '' AND length(line) <= 24 AND NOT regexp_matches(line, '{text.LIST_LINE}') AND NOT regexp_matches(line, '{text.SENTENCE_END}') AND NOT regexp_matches(line, '{text.LINE_GOES_ON}') AND (regexp_matches(line, '{text.HEADING_START}') OR NOT regexp_matches(line, '\s.*\s.*\s')) AS head FROM c
+), b AS (
+  SELECT *, regexp_matches(clean, '{text.SENTENCE_END}') OR coalesce(lead(bullet OR head) {_W}, true) AS hard, coalesce(last_value(CASE WHEN head THEN clean END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), '') AS heading FROM h
+), s AS (
+  SELECT *, NOT hard AND NOT regexp_matches(clean, '{text.LINE_GOES_ON}') AND len(string_split(clean, ' ')) < {FEW_WORDS} AS soft FROM b WHERE NOT head AND clean <> ''
+), g AS (SELECT *, coalesce(lag(hard) {_W}, false)::INT AS fresh FROM s),
+p AS (SELECT *, sum(fresh) {_W} AS segment FROM g),
+q AS (SELECT *, coalesce(lag(soft) OVER (PARTITION BY doc_id, segment ORDER BY i), false)::INT AS again FROM p),
+r AS (SELECT *, sum(again) OVER (PARTITION BY doc_id, segment ORDER BY i) AS stretch FROM q),
+l AS (SELECT *, CASE WHEN soft AND sum(length(clean) + 1) OVER (PARTITION BY doc_id, segment, stretch ORDER BY i) - 1 >= {LONG_LINE} THEN stretch END AS stays FROM r),
+m AS (SELECT *, least(stretch, coalesce(min(stays) OVER (PARTITION BY doc_id, segment), stretch)) AS run FROM l),
+j AS (SELECT doc_id, segment, run, min(i) AS i, min(heading) AS heading, string_agg(clean, ' ' ORDER BY i) AS t FROM m GROUP BY ALL),
+e AS (SELECT doc_id, i, heading, unnest(a) AS sentence, unnest(range(len(a))) AS k FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(t, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS a FROM j))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INT) AS n, md5(sentence) AS sentence_md5, heading FROM e"""
 
 
 #: What lines of documents get in turn, so that they read as pages of a textbook: a beginning, and whether the line follows it.
@@ -159,5 +179,5 @@ QUERIES = {
     "align_versions": (align_versions, None),
     "consensus_lines": (consensus_lines, None),
     "matched_points": (matched_points, None),
-    "joined_sentences": (joined_sentences, None),
+    "joined_sentences": (joined_sentences, SENTENCES_SQL),
 }

@@ -1,5 +1,7 @@
 """Golden vectors for texts that the driver's tables do not hold, and properties of folds and plans."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from lorespark.functions import korean as k
 from lorespark.functions import similarity as s
 from lorespark.functions import text as t
 from lorespark.operators import alignment, cleanup, progress, quiz, structure
+from lorespark.operators.sentences import sentences_with_headings
 
 
 def values(spark, columns, rows):
@@ -42,12 +45,49 @@ def test_keywords_and_blanks(spark):
     assert apply(spark, k.is_trivial_answer, ["역할", "은", "", "심장"]) == [True, True, True, False]
 
 
+def read_sentences(text):
+    """Line by line, with what is open."""
+    lines = [x for x in text.split("\n") if re.search(r"\S", x)]
+    ends, goes = (lambda x: bool(re.search(t.SENTENCE_END, x))), (lambda x: bool(re.search(t.LINE_GOES_ON, x)))
+    heads = lambda x: len(x) <= 24 and not re.search(t.LIST_LINE, x) and not ends(x) and not goes(x) and bool(re.search(t.HEADING_START, x) or len(re.findall(r"\s", x)) < 3)
+    out, held, heading = [], "", ""
+    for n, line in enumerate(lines):
+        after = lines[n + 1] if n + 1 < len(lines) else None
+        clean = " ".join(re.sub(t.BULLETS, "", line).split())
+        if not held and heads(line.strip()):
+            heading = clean
+            continue
+        if not clean:
+            continue
+        held = f"{held} {clean}".strip()
+        stops = after is None or re.match(t.BULLET, after) or heads(after.strip())
+        if ends(held) or stops or (not goes(held) and len(held) < 28 and len(clean.split()) < 3):
+            out += [(s.strip(), heading) for s in re.split(r"(?<=[.!?。])\s+", held) if s.strip()]
+            held = ""
+    return out
+
+
+def test_sentences_against_a_line_by_line_reader(spark):
+    import random
+
+    draw = random.Random(4)
+    lines = ["심장은 혈액을", "짧다 긴", "두 낱말", "아주 길고 긴 줄로서 스물여덟 글자를 넘기는 말의 줄 하나", "끝난다. 다음", "제목", "1. 첫째 항목", "- 항목 둘", "•", "", " ", "네 낱말로 된 줄", "abc def ghi", "나눈다", "1장 시작"]
+    texts = ["\n".join(draw.choices(lines, k=draw.choice([2, 6, 15, 40]))) for _ in range(300)]
+    found = sentences_with_headings(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {(r.doc_id, r.n): (r.sentence, r.heading) for r in found} == {(i, n): s for i, x in enumerate(texts) for n, s in enumerate(read_sentences(x))}
+
+
+def test_sentences_of_a_long_text_in_linear_time(spark):
+    text = "\n".join(f"줄 {i} 은 길게 이어지는 말이고" if i % 7 else f"줄 {i} 은 끝난다." for i in range(30_000))
+    assert sentences_with_headings(spark.createDataFrame([(1, text)], "doc_id int, text string")).count() == 4287
+
+
 def test_sentences(spark):
     text = "심장의 구조\n심장은 혈액을 온몸으로\n보내는 기관이다. 심방과 심실로 나뉜다.\n- 첫째 항목이다"
-    assert [(r.sentence, r.heading) for r in apply(spark, t.sentences_with_headings, [text])[0]] == [
-        ("심장은 혈액을 온몸으로 보내는 기관이다.", "심장의 구조"), ("심방과 심실로 나뉜다.", "심장의 구조"), ("첫째 항목이다", "심장의 구조"),
+    rows = sentences_with_headings(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")).orderBy("n").collect()
+    assert [(r.doc_id, r.sentence, r.heading) for r in rows] == [
+        (1, "심장은 혈액을 온몸으로 보내는 기관이다.", "심장의 구조"), (1, "심방과 심실로 나뉜다.", "심장의 구조"), (1, "첫째 항목이다", "심장의 구조"),
     ]
-    assert apply(spark, t.sentences_with_headings, [""]) == [[]]
     assert apply(spark, t.category_of, ["광복은 1945년이다", "심장은 혈액 순환을 담당한다", "꽃이 핀다"]) == ["숫자·날짜", "기능·역할", "특징"]
     assert apply(spark, t.importance_of, ["★ 반드시 기억: 광복은 1945년의 일이다", "예를 들어 꽃"]) == [5, 1]
 
@@ -210,7 +250,7 @@ def test_clean_lines(spark):
 
 def test_strip_learned(spark):
     words, digits, protected = (F.array(*map(F.lit, x)) for x in (["홍길동", "상사"], ["2025", "09:00"], ["상사"]))
-    got = apply(spark, lambda c: cleanup.strip_learned(c, words, digits, protected), ["국가는 홍길동 나라다", "상사 명령에 따른다", "/홍길동 상사 09:00 국가", "조국 2025 통일", "2025 년의 일", "홍길동"])
+    got = apply(spark, lambda c: cleanup.strip_learned(c, words, digits, protected)["text"], ["국가는 홍길동 나라다", "상사 명령에 따른다", "/홍길동 상사 09:00 국가", "조국 2025 통일", "2025 년의 일", "홍길동"])
     assert got == ["국가는 나라다", "상사 명령에 따른다", "국가", "조국 통일", "2025 년의 일", ""]
 
 
