@@ -11,7 +11,7 @@ from lorespark.functions.korean import is_good_blank_answer, keyword_candidates,
 from lorespark.functions.similarity import gram_rows
 from lorespark.functions.text import category_of, let, make_blank, normalize_text, text_of
 from lorespark.operators.quiz import in_groups
-from lorespark.operators.structure import has_tags, is_structured, part_nodes, text_parts
+from lorespark.operators.structure import has_tags, is_structured, part_nodes, sectioned, text_parts
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 #: Phrases worth asking for, in order of precedence; the numbers are the groups that hold them.
@@ -83,16 +83,11 @@ def core_of_title(c: Column) -> Column:
 def _sections(nodes: DataFrame, page: list[str]) -> DataFrame:
     """Nodes with section_no, section, sub_no, sub (titles), and whether these are what the page's question is about.
 
-    A section holds to the end of its run; lines of a run before any section make up one without a title. A keyword is
-    common, and counts for nothing, where more than 0.4 of four titles or more of the page have it.
+    A keyword is common, and counts for nothing, where more than 0.4 of four titles or more of the page have it.
     """
-    whole, order = Window.partitionBy(*page), Window.partitionBy(*page).orderBy("node_no")
-    kind = F.col("kind")
-    core, title = kind.isin("section", "subsection", "content"), kind.isin("section", "subsection") & (F.col("text") != "")
-    before = F.count_if(core).over(Window.partitionBy(*page, "run").orderBy("node_no").rowsBetween(Window.unboundedPreceding, -1))
-    opens = (kind == "section") | (core & (F.coalesce(before, F.lit(0)) == 0))
-    rows = nodes.withColumn("section_no", F.when(core, F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    rows = rows.withColumn("sub_no", F.when(core, F.count_if(kind == "subsection").over(Window.partitionBy(*page, "section_no").orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0))))
+    whole, kind = Window.partitionBy(*page), F.col("kind")
+    title = kind.isin("section", "subsection") & (F.col("text") != "")
+    rows = sectioned(nodes, page)
     rows = rows.withColumn("stems", F.when(title | (kind == "question"), title_stems(F.col("text"))))
     rows = rows.withColumn("question_stems", F.first(F.when(kind == "question", F.col("stems")), ignorenulls=True).over(whole))
     titles = rows.where(title).withColumn("n_titles", F.count("*").over(whole)).select(*page, "n_titles", F.explode(F.array_distinct("stems")).alias("stem"))

@@ -242,6 +242,21 @@ def region_nodes(regions: DataFrame) -> DataFrame:
     return part_nodes(region_parts(regions))
 
 
+def sectioned(node_table: DataFrame, page: list[str] | None = None) -> DataFrame:
+    """Nodes of the core part with ``section_no`` and ``sub_no`` (0 above a section's first subsection), null for others.
+
+    A section holds to the end of its run; lines of a run before any section make up one without a title.
+    """
+    page = page or ["doc_id", "page"]
+    kind = F.col("kind")
+    core = kind.isin("section", "subsection", "content")
+    upto = lambda *more: Window.partitionBy(*page, *more).orderBy("node_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.count_if(core).over(Window.partitionBy(*page, "run").orderBy("node_no").rowsBetween(Window.unboundedPreceding, -1))
+    opens = (kind == "section") | (core & (F.coalesce(before, F.lit(0)) == 0))
+    rows = node_table.withColumn("section_no", F.when(core, F.sum(opens.cast("int")).over(upto())))
+    return rows.withColumn("sub_no", F.when(core, F.count_if(kind == "subsection").over(upto("section_no"))))
+
+
 def emphasis(node_table: DataFrame) -> DataFrame:
     """``doc_id, page, term``: the quoted terms of 2 to 30 characters in a page's question, lines and belief items."""
     quoted = F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorespark.functions import text
-from lorespark.operators import alignment, points, structure
+from lorespark.operators import alignment, comparison, points, structure
 from lorespark.operators.cleanup import lexicon, line_score, lines_of
 from lorespark.operators.sentences import FEW_WORDS, LONG_LINE, sentences_with_headings
-from lorespark.plans.texts import LINES_SQL, documents
+from lorespark.plans.texts import LINES_SQL, documents, key_sql
 from lorespark.sources.tables import read_table
 
 
@@ -97,7 +97,8 @@ def page_nodes(spark, d):
     return found.select("doc_id", "page", "node_no", "kind", F.md5("text").alias("text_md5"), "number", F.array_join("tags", ",").alias("tags"), "starred", "run")
 
 
-def _nodes_sql() -> str:
+def _nodes_sql(digest: str = "md5") -> str:
+    """digest: the function of a node's text, in the column text_md5."""
     section = structure.SECTION.replace(r"(?=\S)(.+)", r"(\S.*)")
     form = lambda forms: f"({[a for a, _ in forms]})[(doc_id * 5 + line_no) % {len(forms)} + 1] || CASE WHEN ({[b for _, b in forms]})[(doc_id * 5 + line_no) % {len(forms)} + 1] = 1 THEN line ELSE '' END"
     head = lambda c: f"trim(regexp_replace(regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '^[^가-힣0-9(\\[]*[:：]\\s*', ''), '^[^가-힣0-9(\\[]+', ''))"
@@ -165,7 +166,7 @@ WITH {LINES_SQL}, formed AS (
   SELECT *, {asked("first")} AS asked, substr(line, length(first) + 2) AS more, {rest("first")} AS behind, {head("line")} AS header FROM joined
 )
 SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY n) AS INT) AS node_no, kind,
-  md5(CASE kind WHEN 'question' THEN CASE WHEN length(line) > length(first) THEN trim(asked || ' ' || more) ELSE asked END WHEN 'section' THEN trim(regexp_extract(line, '{section}', 2)) WHEN 'subsection' THEN trim(regexp_extract(line, '{structure.SUBSECTION}', 1))
+  {digest}(CASE kind WHEN 'question' THEN CASE WHEN length(line) > length(first) THEN trim(asked || ' ' || more) ELSE asked END WHEN 'section' THEN trim(regexp_extract(line, '{section}', 2)) WHEN 'subsection' THEN trim(regexp_extract(line, '{structure.SUBSECTION}', 1))
     WHEN 'table' THEN array_to_string({cells}, ' | ') WHEN 'title' THEN CASE WHEN trim(regexp_extract(header, '{structure.HEADER}', 1)) <> '' THEN trim(regexp_extract(header, '{structure.HEADER}', 1)) || ' (' || trim(regexp_replace(regexp_replace(regexp_extract(header, '{structure.HEADER}', 2), '\s*-\s*', '-', 'g'), '^([^.]*?\d)\s*\.\s*', '\1. ')) || ')'
       ELSE coalesce(nullif(header, ''), line) END ELSE trim(regexp_replace(line, '^●\s*', '')) END) AS text_md5,
   CASE kind WHEN 'question' THEN CAST(CAST(nullif(regexp_extract(trim(regexp_replace(first, '\s+', ' ', 'g')), '{structure.QUESTION_NUMBER}', 1), '') AS INT) AS VARCHAR) WHEN 'section' THEN regexp_extract(line, '{section}', 1) END AS number,
@@ -174,7 +175,67 @@ SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY d
 FROM texts"""
 
 
+def _read_and_true(spark, d):
+    """Nodes of textbook-like texts, and the same with some of them lost or misread."""
+    true = structure.nodes(textbook(spark, d))
+    lost = F.pmod(F.col("node_no") + F.col("doc_id"), F.lit(9)) == 4
+    misread = F.when(F.pmod(F.col("node_no") * 3 + F.col("doc_id"), F.lit(5)) == 0, F.concat("text", F.lit(" x"))).otherwise(F.concat("text", F.lit(" !")))
+    return true.where(~lost).withColumn("text", misread), true
+
+
+def structure_comparison(spark, d):
+    """Fields of true pages, and whether the pages read are right in them."""
+    read, true = _read_and_true(spark, d)
+    return comparison.compared_structure(read, true).select("doc_id", "page", "field", F.md5(F.coalesce("want", F.lit(""))).alias("want_md5"), "ok")
+
+
+def structure_report(spark, d):
+    """How much of each page is right; the text read stands for the raw one."""
+    read, true = _read_and_true(spark, d)
+    raw, marks = comparison.page_texts(read), true.select("doc_id").distinct().withColumn("watermark", F.lit("CLASS/the /zz"))
+    rows = comparison.page_reports(read, true, raw, marks)
+    return rows.select("doc_id", "page", "exact", "total", "pct", F.array_join("watermark_left", ",").alias("watermark_left"))
+
+
+def _compared_sql() -> str:
+    head = rf"trim(regexp_replace(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '^[^가-힣0-9(\[]*[:：]\s*', ''), '^[^가-힣0-9(\[]+', ''))"
+    lesson = rf"trim(regexp_replace(regexp_replace(regexp_extract(h, '{structure.HEADER}', 2), '\s*-\s*', '-', 'g'), '^([^.]*?\d)\s*\.\s*', '\1. '))"
+    both = []
+    for side, rows in (("want", "true_nodes"), ("got", "read_nodes")):
+        both.append(rf"""{side}_cut AS (
+  SELECT *, kind IN ('section', 'subsection', 'content') AS core, coalesce(sum((kind IN ('section', 'subsection', 'content'))::INT) OVER (PARTITION BY doc_id, page, run ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, {head} AS h FROM {rows}
+), {side}_sections AS (
+  SELECT *, CASE WHEN core THEN sum((kind = 'section' OR core AND before = 0)::INT) OVER (PARTITION BY doc_id, page ORDER BY node_no ROWS UNBOUNDED PRECEDING) END AS k FROM {side}_cut
+), {side}_subs AS (
+  SELECT *, CASE WHEN core THEN sum((kind = 'subsection')::INT) OVER (PARTITION BY doc_id, page, k ORDER BY node_no ROWS UNBOUNDED PRECEDING) END AS u FROM {side}_sections
+), {side}_heads AS (
+  SELECT doc_id, page, arg_min(CASE WHEN regexp_extract(h, '{structure.HEADER}', 1) <> '' AND trim(regexp_extract(h, '{structure.HEADER}', 1)) <> '' THEN trim(regexp_extract(h, '{structure.HEADER}', 1)) END, node_no) FILTER (kind = 'title') AS f0,
+    arg_min(CASE WHEN trim(regexp_extract(h, '{structure.HEADER}', 1)) <> '' THEN {lesson} END, node_no) FILTER (kind = 'title') AS f1, arg_min(number, node_no) FILTER (kind = 'question') AS f2, arg_min(t, node_no) FILTER (kind = 'question') AS f3,
+    coalesce(bool_or(starred) FILTER (kind = 'question'), false)::VARCHAR AS f4, arg_min(tags, node_no) FILTER (kind = 'question') AS f5, arg_max(t, node_no) FILTER (kind = 'label') AS f6, coalesce(max(k), 0)::VARCHAR AS f7, count(*) FILTER (kind = 'belief') AS f8 FROM {side}_subs GROUP BY ALL
+), {side} AS (
+  SELECT doc_id, page, unnest({list(comparison.PAGE_FIELDS)}) AS field, unnest([f0, f1, f2, f3, f4, f5, f6, f7, f8::VARCHAR]) AS value FROM {side}_heads
+  UNION ALL SELECT doc_id, page, unnest([k || '. 대제목', k || '. 본문 줄 수', k || '. 소제목 수']), unnest([max(t) FILTER (kind = 'section'), (count(*) FILTER (kind = 'content' AND u = 0))::VARCHAR, (count(*) FILTER (kind = 'subsection'))::VARCHAR]) FROM {side}_subs WHERE core GROUP BY doc_id, page, k
+  UNION ALL SELECT doc_id, page, CASE WHEN u = 0 THEN k || '.' ELSE k || '-' || u END || ' 본문 ' || row_number() OVER (PARTITION BY doc_id, page, k, u ORDER BY node_no), t FROM {side}_subs WHERE kind = 'content'
+  UNION ALL SELECT doc_id, page, k || '-' || u || ' 소제목', t FROM {side}_subs WHERE kind = 'subsection'
+  UNION ALL SELECT doc_id, page, '신념화 ' || row_number() OVER (PARTITION BY doc_id, page ORDER BY node_no), t FROM {side}_subs WHERE kind = 'belief'
+)""")
+    return f"""WITH true_nodes AS (SELECT *, text_md5 AS t FROM ({_nodes_sql("trim")}) n), read_nodes AS (
+  SELECT * REPLACE (CASE WHEN (node_no * 3 + doc_id) % 5 = 0 THEN t || ' x' ELSE t || ' !' END AS t) FROM true_nodes WHERE (node_no + doc_id) % 9 <> 4
+), {", ".join(both)}, compared AS (
+  SELECT w.doc_id, w.page, w.field, w.value, {key_sql("coalesce(g.value, CASE WHEN right(w.field, 2) = ' 수' THEN '0' WHEN w.field = 'question.starred' THEN 'false' END)")} = {key_sql("w.value")} AS ok
+  FROM want w LEFT JOIN got g ON g.doc_id = w.doc_id AND g.page = w.page AND g.field = w.field
+)"""
+
+
+COMPARED_SQL = f"{_compared_sql()} SELECT doc_id, page, field, md5(coalesce(value, '')) AS want_md5, ok FROM compared"
+REPORT_SQL = f"""{_compared_sql()}, texts AS (SELECT doc_id, page, string_agg(t, chr(10)) AS t FROM read_nodes WHERE kind NOT IN ('label', 'table') GROUP BY ALL)
+SELECT doc_id, page, count(*) FILTER (ok) AS exact, count(*) AS total, floor(count(*) FILTER (ok) / count(*)::DOUBLE * 1000 + 0.5) / 10 AS pct,
+  array_to_string(list_filter(['CLASS', 'the', 'zz'], lambda p: contains(coalesce(any_value(t), ''), p)), ',') AS watermark_left FROM compared LEFT JOIN texts USING (doc_id, page) GROUP BY doc_id, page"""
+
+
 QUERIES = {
+    "structure_comparison": (structure_comparison, COMPARED_SQL),
+    "structure_report": (structure_report, REPORT_SQL),
     "page_nodes": (page_nodes, _nodes_sql()),
     "align_versions": (align_versions, None),
     "consensus_lines": (consensus_lines, None),
