@@ -7,13 +7,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import BLANK, normalize_text, text_of
 from lorespark.operators.progress import importance
-from lorespark.operators.questions import CORE_AS_RECALL, DETAIL_AS_ESSAY, SAME_AS_LAST, USED, WEIGHTS
-from lorespark.operators.quiz import CHOICE, MOST_REPEATS, TEXT, in_groups
+from lorespark.operators.questions import CORE_AS_RECALL, DETAIL_AS_ESSAY, SAME_AS_LAST, USED, WEIGHTS, content_questions
+from lorespark.operators.quiz import CHOICE, MOST_REPEATS, TEXT, in_groups, plan_questions, quality_reasons, spread
+from lorespark.sources.tables import settled
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 REFILL_FROM, REFILL_REPEATS, ALIKE_FROM = 4, 3, 0.85
@@ -115,6 +116,37 @@ def assembled(plan: DataFrame, targets: DataFrame, candidates: DataFrame, fallba
     return in_groups(rows, unit, ["target_id"], lambda r: _assembled(r, unit, seed), schema)
 
 
+def candidate_questions(points: DataFrame) -> DataFrame:
+    """``target_id, type, question, options, answer, reasons``: every question that can be made about each point, with the
+    reasons against it. points: unit_id, point_id, text, source_excerpt, importance."""
+    own = points.select("point_id", F.col("text").alias("_text"), F.col("source_excerpt").alias("_excerpt"), F.col("importance").alias("_importance"))
+    made = content_questions(points.select("point_id", "unit_id", "text", "importance")).join(own, "point_id")
+    reasons = quality_reasons(F.col("type"), F.col("question"), F.col("options"), F.col("answer"), F.col("_excerpt"), F.col("_text"), F.col("_excerpt"), F.col("_importance"))
+    return made.select(F.col("point_id").alias("target_id"), "type", "question", "options", "answer", reasons.alias("reasons"))
+
+
+def unit_tests(points: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tests of whole units: the questions in order, what was tried for them, and the plan.
+
+    points: unit_id, point_id, text, source_excerpt, importance, level, wrong_count, studied, last_kind. The plan says how
+    often each point is asked (0: a detail left for another test); candidates are made and judged; the test is assembled
+    from them and spread, so that questions about one point stand apart.
+
+    Questions: ``unit_id, ord, target_id, type, question, options, answer, result``.
+    """
+    targets = points.select("unit_id", F.col("point_id").alias("target_id"), "importance", "level", "wrong_count", "studied", "last_kind")
+    plan = settled(plan_questions(targets, seed, skipped=True))
+    candidates = settled(candidate_questions(points))
+    tried = settled(assembled(plan.where("times > 0"), targets, candidates, seed=seed))
+    taken = tried.where("result <> 'rejected'").withColumn("question_id", F.concat_ws(":", "unit_id", "attempt"))
+    order = spread(taken.select(F.col("unit_id").alias("session_id"), "target_id", "question_id"), seed)
+    order = order.select(F.col("session_id").alias("unit_id"), "question_id", "ord")
+    first = F.row_number().over(Window.partitionBy("target_id", "type").orderBy("question"))
+    made = candidates.withColumn("_n", first).where("_n = 1").drop("_n", "reasons")
+    questions = taken.join(order, ["unit_id", "question_id"]).join(made, ["target_id", "type"], "left")
+    return questions.select("unit_id", "ord", "target_id", "type", "question", "options", "answer", "result"), tried, plan
+
+
 def assembly_statistics(attempts: DataFrame, unit: str = "unit_id") -> DataFrame:
     """``unit, built, rejected, taken, refilled, last_resorts``: counts of an assembly's attempts."""
     counted = lambda *names: F.count_if(F.col("result").isin(*names))

@@ -84,9 +84,9 @@ def question_reasons(spark, d):
     """Why questions made from benchmark items would be rejected: counts by reason."""
     t = read_table(spark, d, "benchmark")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("item_id") % 6 + 1).cast("int"))
-    excerpt, answer = F.substring("text", 1, 30), F.regexp_extract("text", r"^(\S+\s+\S+)", 1)
-    question = F.when(kind == "FILL_BLANK", make_blank(F.substring("text", 1, 30), answer)).otherwise(F.substring("text", 5, 24))
-    reasons = q.quality_reasons(kind, question, F.array(answer, F.lit("none of these")), answer, excerpt, excerpt, F.col("text"), F.lit(3))
+    text, answer = F.col("text"), F.regexp_extract("text", r"^(\S+\s+\S+)", 1)
+    question = F.when(kind == "FILL_BLANK", make_blank(text, answer)).when(F.col("item_id") % 4 == 0, text).otherwise(F.substring_index("text", " ", 6))
+    reasons = q.quality_reasons(kind, question, F.array(answer, F.lit("none of these")), answer, text, text, text, F.lit(3))
     return t.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -154,9 +154,8 @@ def points_kept_by_text(spark, d):
 
 
 _DRAWN = "(CAST('0x' || md5('{0}:' || unit_id || ':' || target_id)[1:12] AS BIGINT) + 1) / 281474976710656.0::DOUBLE"
-PLAN_SQL = f"""WITH {POINTS_SQL}, t AS (
-  SELECT unit_id, point_id AS target_id, greatest(least(imp, 5), 2) AS grp, greatest(least(imp, 5), 1) AS imp, coalesce(level, 0)::DOUBLE AS level, last_studied_at IS NOT NULL AS studied FROM graded
-), u AS (
+#: CTEs from ``t`` (unit_id, target_id, grp, imp, level, studied) to ``planned`` (unit_id, target_id, times; 0 for skipped details).
+PLAN_STEPS = f"""u AS (
   SELECT unit_id, count(*) AS n, count(*) FILTER (imp = 1) AS details, count(*) FILTER (imp >= 2) AS required, count(*) FILTER (imp = 2) AS low_required,
     max(CASE grp WHEN 5 THEN 0.45::DOUBLE ELSE 0 END) + max(CASE grp WHEN 4 THEN 0.275::DOUBLE ELSE 0 END) + max(CASE grp WHEN 3 THEN 0.175::DOUBLE ELSE 0 END) + max(CASE grp WHEN 2 THEN 0.1::DOUBLE ELSE 0 END) AS shares,
     max(CASE grp WHEN 2 THEN 0.1::DOUBLE ELSE 0 END) AS low_share FROM t GROUP BY unit_id
@@ -175,8 +174,12 @@ PLAN_SQL = f"""WITH {POINTS_SQL}, t AS (
   SELECT *, round(lacks - row_number() OVER (PARTITION BY unit_id, grp ORDER BY w, target_id, k) + 1, 9) AS need FROM again
 ), taken AS (
   SELECT unit_id, target_id FROM ranked QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY need DESC, grp DESC) <= greatest(asks, base, CASE WHEN low > 0 AND required > low THEN ceil(low / 0.15::DOUBLE) ELSE 0 END) - base
-)
-SELECT unit_id, target_id, CAST(count(*) AS INT) AS times FROM (SELECT * FROM taken UNION ALL SELECT unit_id, target_id FROM c WHERE covered) x GROUP BY ALL"""
+), planned AS (
+  SELECT unit_id, target_id, CAST(sum(n) AS INT) AS times FROM (SELECT unit_id, target_id, 1 AS n FROM taken UNION ALL SELECT unit_id, target_id, covered::INT FROM c) x GROUP BY ALL
+)"""
+PLAN_SQL = f"""WITH {POINTS_SQL}, t AS (
+  SELECT unit_id, point_id AS target_id, greatest(least(imp, 5), 2) AS grp, greatest(least(imp, 5), 1) AS imp, coalesce(level, 0)::DOUBLE AS level, last_studied_at IS NOT NULL AS studied FROM graded
+), {PLAN_STEPS} SELECT * FROM planned WHERE times > 0"""
 
 
 QUERIES = {

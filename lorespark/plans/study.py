@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import SEPARATORS, hash_string
 from lorespark.operators import assembly, study, words
 from lorespark.operators import quiz as q
-from lorespark.operators.questions import content_questions
 from lorespark.plans.progress import POINTS_SQL, QUESTIONS_SQL, points, questions
+from lorespark.plans.quiz import PLAN_STEPS
 from lorespark.plans.texts import LINES_SQL, documents, key_sql
 from lorespark.sources.tables import read_table, settled
 
@@ -53,7 +53,7 @@ def _finished(spark, d):
 def finished_sessions(spark, d):
     """Orders as sessions, a quarter of them finished before: their counts and percentages."""
     sessions, _, _ = _finished(spark, d)
-    return sessions.select("session_id", "total", "answered", "correct_count", "score_percent", "core_total", "core_correct", "pct_before", "finished_at")
+    return sessions.select("session_id", "total", "answered", "correct_count", "score_percent", "core_total", "core_correct", "pct_before", "pct_after", "finished_at")
 
 
 def finished_points(spark, d):
@@ -88,21 +88,26 @@ def word_questions(spark, d):
         .when(F.col("type") == "FILL_BLANK", F.contains("definition", F.col("answer")) & F.contains("question", F.lit(words.WORD_BLANK)))
         .otherwise(F.col("answer") == F.col("definition"))
     )
-    return rows.where("type <> 'FILL_BLANK'").groupBy("pool", "type").agg(F.count("*").alias("questions"), F.bool_and(fits).alias("fit"))
+    return rows.groupBy("pool", "type").agg(F.count("*").alias("questions"), F.bool_and(fits).alias("fit"))
 
 
-def test_assembly(spark, d):
-    """Parts of one brand, kind and size class as a unit's points: a test of them, planned, tried and refilled."""
+def _unit_points(spark, d):
+    """Parts of one brand, kind and size class as a unit's points."""
     t = read_table(spark, d, "part")
     unit = F.concat_ws("/", "p_brand", F.substring_index("p_type", " ", 1), (F.col("p_size") % 10).cast("string"))
-    p = t.select(unit.alias("unit_id"), F.col("p_partkey").alias("point_id"), F.concat("p_name", F.lit(": "), "p_type", F.lit(" of "), "p_brand").alias("text"), (1 + F.col("p_size") % 5).cast("int").alias("importance"))
-    p = p.withColumn("source_excerpt", F.col("text"))
-    c = content_questions(p.select("point_id", "unit_id", "text", "importance")).join(p.select("point_id", "text", "importance", F.col("source_excerpt").alias("excerpt")), "point_id")
-    reasons = q.quality_reasons(F.col("type"), F.col("question"), F.col("options"), F.col("answer"), F.col("excerpt"), F.col("text"), F.col("excerpt"), F.col("importance"))
-    c = c.select(F.col("point_id").alias("target_id"), "type", "question", reasons.alias("reasons"))
-    targets = p.select(F.col("point_id").alias("target_id"), "importance", F.lit(0.0).alias("level"), F.lit(None).cast("string").alias("last_kind"))
-    plan = p.select("unit_id", F.col("point_id").alias("target_id"), F.when(F.col("importance") >= 4, 2).otherwise(1).alias("times"))
-    return assembly.assembly_statistics(assembly.assembled(plan, targets, c))
+    text = F.concat("p_name", F.lit(": "), "p_type", F.lit(" of "), "p_brand")
+    return t.select(
+        unit.alias("unit_id"), F.col("p_partkey").alias("point_id"), text.alias("text"), text.alias("source_excerpt"), (1 + F.col("p_size") % 5).cast("int").alias("importance"),
+        (F.col("p_partkey") % 100).cast("double").alias("level"), F.lit(0).alias("wrong_count"), (F.col("p_partkey") % 3 == 0).alias("studied"), F.lit(None).cast("string").alias("last_kind"),
+    )
+
+
+def test_assembly(spark, d):
+    """Tests of units, planned, made and tried: places in the plan, points that the test asks for, and details left out."""
+    _, tried, plan = assembly.unit_tests(_unit_points(spark, d))
+    asked = tried.groupBy("unit_id").agg(F.count_distinct(F.when(F.col("result") != "rejected", F.col("target_id"))).alias("asked"))
+    planned = plan.groupBy("unit_id").agg(F.sum("times").alias("places"), F.count_if(F.col("times") == 0).alias("skipped"))
+    return planned.join(asked, "unit_id", "left")
 
 
 def valid_questions(spark, d):
@@ -127,8 +132,8 @@ def structured_summary(spark, d):
 
 
 def orphan_units(spark, d):
-    """Units none of whose targets is asked in an order of its last year: what a test would have to cover."""
-    asked = questions(spark, d).where("correct").select(F.col("l_partkey").alias("target_id"), F.lit("planned").alias("result"))
+    """Points of importance 2 and up, by unit, that no returned line of more than 45 pieces asks for: what a test has to cover."""
+    asked = read_table(spark, d, "lineitem").where("l_returnflag = 'A' and l_quantity > 45").select(F.col("l_partkey").alias("target_id"), F.lit("planned").alias("result"))
     targets = points(spark, d).select(F.col("point_id").alias("target_id"), "unit_id", "importance")
     missing = assembly.not_covered(targets, asked)
     return missing.groupBy("unit_id").agg(F.count("*").alias("not_covered"))
@@ -140,15 +145,23 @@ _FOLD = """list_reduce(list_prepend({'level': p.level, 'c': 0, 'w': 0, 's': 0, '
   {'level': floor(least(greatest(CASE WHEN x.ok THEN s.level + (100.0::DOUBLE - s.level) * (0.25::DOUBLE + 0.05::DOUBLE * least(s.s + 1, 4)) * 1.0::DOUBLE ELSE s.level * (1.0::DOUBLE - 0.4::DOUBLE * 1.0::DOUBLE) END, 0.0::DOUBLE), 100.0::DOUBLE) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE,
    'c': s.c + x.ok::INT, 'w': s.w + (NOT x.ok)::INT, 's': CASE WHEN x.ok THEN s.s + 1 ELSE 0 END, 'ok': x.ok})"""
 
+#: A target that no good question was found for is asked by its last resort, so a test asks for all that its plan covers.
+ASSEMBLY_SQL = f"""WITH t AS (
+  SELECT p_brand || '/' || string_split(p_type, ' ')[1] || '/' || p_size % 10 AS unit_id, p_partkey AS target_id, greatest(1 + p_size % 5, 2) AS grp, 1 + p_size % 5 AS imp, (p_partkey % 100)::DOUBLE AS level, p_partkey % 3 = 0 AS studied FROM part
+), {PLAN_STEPS} SELECT unit_id, CAST(sum(times) AS BIGINT) AS places, count(*) FILTER (times > 0) AS asked, count(*) FILTER (times = 0) AS skipped FROM planned GROUP BY unit_id"""
+
 QUERIES = {
     "analyzed_points": (analyzed_points, None),
     "refreshed_points": (refreshed_points, None),
     "finished_sessions": (finished_sessions, f"""WITH {_FINISHED_SQL}, n AS (SELECT session_id, count(*) AS total, count(correct) AS answered, count(*) FILTER (correct) AS correct_count, count(*) FILTER (importance >= 4) AS core_total, count(*) FILTER (importance >= 4 AND correct) AS core_correct FROM asked GROUP BY 1),
-  u AS (SELECT unit_id, CAST(floor(avg(level) + 0.5) AS BIGINT) AS pct FROM points GROUP BY 1)
+  u AS (SELECT unit_id, CAST(floor(avg(level) + 0.5) AS BIGINT) AS pct FROM points GROUP BY 1),
+  a AS (SELECT l_partkey AS point_id, list(correct ORDER BY session_id, ord, question_id) AS answers FROM asked WHERE correct IS NOT NULL GROUP BY 1),
+  f AS (SELECT p.*, a.answers, CASE WHEN a.answers IS NOT NULL THEN {_FOLD} END AS s FROM points p LEFT JOIN a USING (point_id)),
+  v AS (SELECT unit_id, CAST(floor(avg(CASE WHEN answers IS NULL THEN level ELSE s.level END) + 0.5) AS BIGINT) AS later FROM f GROUP BY 1)
 SELECT o_orderkey AS session_id, CASE WHEN o_orderkey % 4 <> 0 THEN coalesce(total, 0) END AS total, CASE WHEN o_orderkey % 4 <> 0 THEN coalesce(answered, 0) END AS answered, CASE WHEN o_orderkey % 4 <> 0 THEN coalesce(correct_count, 0) END AS correct_count,
   CASE WHEN o_orderkey % 4 <> 0 THEN coalesce(CAST(floor(correct_count * 100.0::DOUBLE / total + 0.5) AS BIGINT), 0) END AS score_percent, CASE WHEN o_orderkey % 4 <> 0 THEN coalesce(core_total, 0) END AS core_total, CASE WHEN o_orderkey % 4 <> 0 THEN coalesce(core_correct, 0) END AS core_correct,
-  CASE WHEN o_orderkey % 4 <> 0 THEN pct END AS pct_before, CASE WHEN o_orderkey % 4 = 0 THEN 7 ELSE {NOW} END AS finished_at
-FROM orders LEFT JOIN n ON n.session_id = o_orderkey LEFT JOIN u ON u.unit_id = o_custkey % 25"""),
+  CASE WHEN o_orderkey % 4 <> 0 THEN pct END AS pct_before, CASE WHEN o_orderkey % 4 <> 0 THEN later END AS pct_after, CASE WHEN o_orderkey % 4 = 0 THEN 7 ELSE {NOW} END AS finished_at
+FROM orders LEFT JOIN n ON n.session_id = o_orderkey LEFT JOIN u ON u.unit_id = o_custkey % 25 LEFT JOIN v ON v.unit_id = o_custkey % 25"""),
     "finished_points": (finished_points, f"""WITH {_FINISHED_SQL}, a AS (SELECT l_partkey AS point_id, list(correct ORDER BY session_id, ord, question_id) AS answers, arg_max(importance, (session_id, ord, question_id)) AS last_importance FROM asked WHERE correct IS NOT NULL GROUP BY 1),
   f AS (SELECT p.*, a.answers, last_importance, CASE WHEN a.answers IS NOT NULL THEN {_FOLD} END AS s FROM points p LEFT JOIN a USING (point_id))
 SELECT point_id, CASE WHEN answers IS NULL THEN level ELSE s.level END AS level, CAST(coalesce(s.c, 0) AS INT) AS correct, CAST(coalesce(s.w, 0) AS INT) AS wrong, CAST(coalesce(s.s, 0) AS INT) AS streak, s.ok AS last,
@@ -163,9 +176,9 @@ SELECT doc_id, CAST(line_no AS INT) AS line_no, md5(pair.term) AS term_md5, md5(
 UNION ALL SELECT doc_id, CAST(line_no AS INT), md5(pair.term), md5(pair.definition) FROM k WHERE pair IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, {key_sql('pair.term')} ORDER BY line_no) = 1"""),
     "word_questions": (word_questions, f"""WITH i AS (SELECT p_partkey AS item_id, p_brand AS pool, p_name, p_type, {key_sql('p_name')} AS tk, {key_sql('p_type')} AS dk, ('0x' || substr(md5('1:mc:' || p_partkey), 1, 1))::INT < 8 AS by_meaning FROM part),
   n AS (SELECT pool, count(DISTINCT tk) AS terms, count(DISTINCT dk) AS definitions FROM i GROUP BY 1),
-  q AS (SELECT pool, 'MULTIPLE_CHOICE' AS type FROM i JOIN n USING (pool) WHERE CASE WHEN by_meaning THEN definitions ELSE terms END > 1 UNION ALL SELECT pool, unnest(['OX', 'SHORT_ANSWER', 'SUBJECTIVE']) FROM i UNION ALL SELECT pool, 'DESCRIPTIVE' FROM i WHERE length(p_type) >= 12)
+  q AS (SELECT pool, 'MULTIPLE_CHOICE' AS type FROM i JOIN n USING (pool) WHERE CASE WHEN by_meaning THEN definitions ELSE terms END > 1 UNION ALL SELECT pool, unnest(['OX', 'SHORT_ANSWER', 'SUBJECTIVE']) FROM i UNION ALL SELECT pool, 'DESCRIPTIVE' FROM i WHERE length(p_type) >= 12 UNION ALL SELECT pool, 'FILL_BLANK' FROM i WHERE len(string_split(p_type, ' ')) >= 2)
 SELECT pool, type, count(*) AS questions, TRUE AS fit FROM q GROUP BY ALL"""),
-    "test_assembly": (test_assembly, None),
+    "test_assembly": (test_assembly, ASSEMBLY_SQL),
     "valid_questions": (valid_questions, f"""WITH t AS (SELECT *, {list(KINDS)}[p_partkey % 6 + 1] AS type, ['true', ' o ', '거짓', 'maybe', 'X', ''][p_size % 6 + 1] AS truth, CASE WHEN p_size % 7 = 0 THEN 'ab' WHEN p_size % 11 = 0 THEN 'not there' ELSE p_name END AS excerpt FROM part),
   a AS (SELECT *, CASE WHEN type = 'OX' THEN truth WHEN p_size % 5 = 0 THEN upper(p_brand) ELSE p_type END AS answer0, list_filter([p_brand, upper(p_type), CASE WHEN p_size % 3 = 0 THEN p_name END], lambda o: o IS NOT NULL) AS opts FROM t),
   b AS (SELECT *, CASE type WHEN 'OX' THEN CASE WHEN upper(trim(truth, ' ')) IN ('O', 'TRUE') THEN 'O' WHEN upper(trim(truth, ' ')) IN ('X', '거짓') THEN 'X' END WHEN 'MULTIPLE_CHOICE' THEN list_filter(opts, lambda o: {key_sql('o')} = {key_sql('answer0')})[1] ELSE answer0 END AS answer FROM a
@@ -175,5 +188,5 @@ SELECT p_partkey, type, p_name || CASE WHEN type = 'FILL_BLANK' THEN ' [      ]
   s AS (SELECT *, CASE WHEN area = 'belief' THEN 'belief' ELSE 'question' END AS kind, CASE WHEN area = 'belief' THEN '신념화 (마음가짐)' ELSE coalesce(pq, '핵심 내용') END AS title FROM p),
   g AS (SELECT unit_id, kind, title, count(*) AS n, md5(string_agg(point_id::VARCHAR, ',' ORDER BY (area <> 'question')::INT, ord, point_id)) AS items_md5, min((ord, point_id)) AS f FROM s GROUP BY 1, 2, 3)
 SELECT unit_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY kind = 'belief', f, title) AS INT) AS place, kind, title, CAST(n AS INT) AS n, items_md5 FROM g"""),
-    "orphan_units": (orphan_units, f"WITH {POINTS_SQL}, {QUESTIONS_SQL} SELECT unit_id, count(*) AS not_covered FROM graded WHERE imp >= 2 AND point_id NOT IN (SELECT l_partkey FROM questions WHERE correct) GROUP BY 1"),
+    "orphan_units": (orphan_units, f"WITH {POINTS_SQL} SELECT unit_id, count(*) AS not_covered FROM graded WHERE imp >= 2 AND point_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45) GROUP BY 1"),
 }
