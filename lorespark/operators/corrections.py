@@ -151,7 +151,7 @@ def suggestion_applied(text: Column, from_: Column, to: Column) -> Column:
     """The text with the first place that reads as ``from_`` (white space aside) put to ``to``."""
     letters = F.filter(F.split(F.regexp_replace(text_of(from_), r"\s+", ""), ""), lambda x: x != "")
     pattern = F.array_join(F.transform(letters, lambda x: F.regexp_replace(x, r"([\\.*+?^$|(){}\[\]])", r"\\$1")), r"\s*")
-    found = F.regexp_extract(text, pattern, 0)
+    found = F.coalesce(F.regexp_substr(text, pattern), F.lit(""))
     at = F.instr(text, found)
     done = F.concat(F.substring(text, F.lit(1), at - 1), to, F.substring(text, at + F.length(found), F.length(text)))
     return F.when((F.size(letters) > 0) & (found != ""), done).otherwise(text)

@@ -182,7 +182,7 @@ def is_structured(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def is_table_row(line: Column) -> Column:
-    return F.contains(line, F.lit("|")) & (F.size(_cells(line)) >= 2)
+    return F.contains(text_of(line), F.lit("|")) & (F.size(_cells(text_of(line))) >= 2)
 
 
 def _cells(line: Column) -> Column:
@@ -285,11 +285,12 @@ def structure_from_texts(texts: DataFrame, analyzed: DataFrame) -> tuple[DataFra
 
     texts: doc_id, n, text; analyzed: as :func:`continued_pages` takes it. Pages are counted through the texts in order.
     """
-    found = part_nodes(text_parts(texts, ["doc_id", "n"]), ["doc_id", "n"])
-    found = found.withColumn("page", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("n", "page")))
+    by = ["doc_id", "text_no"]
+    found = part_nodes(text_parts(texts.withColumnRenamed("n", "text_no"), by), by)
+    found = found.withColumn("page", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text_no", "page")))
     of = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("text")), F.when(F.col("kind") == kind, F.col("node_no")))
     pages = found.groupBy("doc_id", "page").agg(of("question").alias("question"), of("label").alias("page_label"))
-    return found.drop("n"), continued_pages(pages, analyzed)
+    return found.drop("text_no"), continued_pages(pages, analyzed)
 
 
 def render_question(number: Column, tags: Column, starred: Column, text: Column) -> Column:
