@@ -12,6 +12,7 @@ from lorespark.functions.similarity import gram_rows
 from lorespark.functions.text import category_of, let, make_blank, normalize_text, text_of
 from lorespark.operators.quiz import in_groups
 from lorespark.operators.structure import has_tags, is_structured, part_nodes, sectioned, text_parts
+from lorespark.sources.tables import settled
 
 # ---- Fixed values -------------------------------------------------------------------------------------------------
 #: Phrases worth asking for, in order of precedence; the numbers are the groups that hold them.
@@ -87,7 +88,7 @@ def _sections(nodes: DataFrame, page: list[str]) -> DataFrame:
     """
     whole, kind = Window.partitionBy(*page), F.col("kind")
     title = kind.isin("section", "subsection") & (F.col("text") != "")
-    rows = sectioned(nodes, page)
+    rows = settled(sectioned(nodes, page))
     rows = rows.withColumn("stems", F.when(title | (kind == "question"), title_stems(F.col("text"))))
     rows = rows.withColumn("question_stems", F.first(F.when(kind == "question", F.col("stems")), ignorenulls=True).over(whole))
     titles = rows.where(title).withColumn("n_titles", F.count("*").over(whole)).select(*page, "n_titles", F.explode(F.array_distinct("stems")).alias("stem"))
@@ -115,7 +116,7 @@ def page_points(nodes: DataFrame) -> DataFrame:
     A page's titles are gathered for its outline and lists, its lines are not. nodes: as structure.nodes makes them.
     """
     page = ["doc_id", "page"]
-    rows = _sections(nodes, page)
+    rows = settled(_sections(nodes, page))
     kind = F.col("kind")
     asked = F.concat(F.when(F.col("number").isNotNull(), F.concat(F.lit("Q"), "number", F.lit(". "))).otherwise(""), "text")
     heads = rows.groupBy(*page).agg(

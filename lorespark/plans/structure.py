@@ -72,10 +72,10 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS
 
 #: What lines of documents get in turn, so that they read as pages of a textbook: a beginning, and whether the line follows it.
 FORMS = (
-    ("", 1), ("국가와 군대 ", 1), ("Q3. (★헌법, 수호) ", 1), ("", 1), ("핵심 내용 1. ", 1), ("● ", 1), ("- ", 1), ("신념화", 0), ("", 1), ("● 나는 ", 1), ("핵 심", 0), ("내용", 0), ("2) ", 1),
+    ("", 1), ("국가와 군대 ", 1), ("Q3. (★헌법, 수호) ", 1), ("", 1), ("핵심 내용 1. ", 1), ("1가지 ", 1), ("● ", 1), ("- ", 1), ("신념화", 0), ("", 1), ("● 나는 ", 1), ("핵 심", 0), ("내용", 0), ("2) ", 1),
     ("‘용어’ ", 1), ("가 | 나 | ", 1), ("", 1), ("신념화 ● ", 1), ("1.5 ", 1), ("0 7, ", 1), ("정말 그런가?", 0), ("", 1), ("12. ☆ ", 1), ("핵심 내용", 0),
 )
-TAGS = (("", 1), ("[질문] Q2. ", 1), ("", 1), ("[핵심 내용]", 0), ("1. ", 1), ("", 1), ("- ", 1), ("", 1), ("[신념화]", 0), ("● ", 1), ("", 1), ("[쪽] ", 1), ("[질문] (x) ", 1), ("[핵심내용] 3. ", 1), ("[제목] 국가 ", 1), ("[신념화] ● ", 1), ("나는, ", 1))
+TAGS = (("", 1), ("[질문] Q2. ", 1), ("", 1), ("[핵심 내용]", 0), ("1. ", 1), ("두 가지 ", 1), ("- ", 1), ("- ", 1), ("", 1), ("[신념화]", 0), ("● ", 1), ("", 1), ("[쪽] ", 1), ("[질문] (x) ", 1), ("[핵심내용] 3. ", 1), ("[제목] 국가 ", 1), ("[신념화] ● ", 1), ("나는, ", 1))
 
 
 def textbook(spark, d):
@@ -175,6 +175,17 @@ SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY d
 FROM texts"""
 
 
+def page_points(spark, d):
+    """How many points of each kind the pages of textbook-like texts have."""
+    rows = points.page_points(structure.nodes(textbook(spark, d)))
+    count = lambda condition: F.count_if(condition)
+    core = F.col("area") == "core"
+    return rows.groupBy("doc_id", "page").agg(
+        count(F.col("area") == "question").alias("questions"), count(F.col("category") == "목록").alias("lists"), count(core & ~F.col("category").isin("목록", "표")).alias("lines"),
+        count(F.col("category") == "표").alias("table_rows"), count(F.col("area") == "belief").alias("beliefs"), F.sum(F.when(F.col("area") != "question", F.length("text"))).alias("characters"),
+    )
+
+
 def _read_and_true(spark, d):
     """Nodes of textbook-like texts, and the same with some of them lost or misread."""
     true = structure.nodes(textbook(spark, d))
@@ -227,6 +238,27 @@ def _compared_sql() -> str:
 )"""
 
 
+_NUMBER = "CASE " + " ".join(f"WHEN e = '{word}' THEN {n}" for word, n in points.NUMBER_WORDS.items()) + " WHEN e = '' THEN 0 ELSE CAST(e AS BIGINT) END"
+#: Which titles a question is about is judged by Korean keywords, so its point is counted, and the length of the others compared.
+POINTS_SQL = rf"""{_compared_sql()}, lines AS (
+  SELECT *, coalesce(regexp_matches(trim(lag(t) OVER (PARTITION BY doc_id, page, k, u ORDER BY node_no)), '{points.CONNECTIVE}'), false) AS goes_on FROM want_subs WHERE kind = 'content'
+), islands AS (
+  SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id, page, k, u ORDER BY node_no) AS island FROM lines
+), joined AS (
+  SELECT doc_id, page, k, u, island, string_agg(t, ' ' ORDER BY node_no) AS t, regexp_extract(string_agg(t, ' ' ORDER BY node_no), '{points.ENUMERATION}', 1) AS e FROM islands GROUP BY ALL
+), subs AS (
+  SELECT doc_id, page, k, list(t ORDER BY node_no) AS titles FROM want_subs WHERE kind = 'subsection' GROUP BY ALL
+), core AS (
+  SELECT j.*, coalesce(u = 0 AND {_NUMBER} > 0 AND len(titles) >= {_NUMBER}, false) AS is_list, titles, {_NUMBER} AS n FROM joined j LEFT JOIN subs s ON s.doc_id = j.doc_id AND s.page = j.page AND s.k = j.k
+), heads AS (
+  SELECT doc_id, page, arg_min(t, node_no) FILTER (kind = 'question') AS q, list(t ORDER BY node_no) FILTER (kind = 'section' AND t <> '') AS titles FROM want_subs GROUP BY ALL
+), every AS (
+  SELECT doc_id, page, 'questions' AS what, q || ' — ' || array_to_string(titles[:{points.OUTLINE}], ' / ') AS t FROM heads WHERE q <> '' AND len(titles) > 0
+  UNION ALL SELECT doc_id, page, CASE WHEN is_list THEN 'lists' ELSE 'lines' END, CASE WHEN is_list THEN t || ': ' || array_to_string(titles[:n], ', ') ELSE t END FROM core
+  UNION ALL SELECT doc_id, page, CASE kind WHEN 'table' THEN 'table_rows' ELSE 'beliefs' END, t FROM want_subs WHERE kind IN ('table', 'belief')
+)
+SELECT doc_id, page, count(*) FILTER (what = 'questions') AS questions, count(*) FILTER (what = 'lists') AS lists, count(*) FILTER (what = 'lines') AS lines, count(*) FILTER (what = 'table_rows') AS table_rows, count(*) FILTER (what = 'beliefs') AS beliefs,
+  CAST(sum(length(t)) FILTER (what <> 'questions') AS BIGINT) AS characters FROM every GROUP BY doc_id, page"""
 COMPARED_SQL = f"{_compared_sql()} SELECT doc_id, page, field, md5(coalesce(value, '')) AS want_md5, ok FROM compared"
 REPORT_SQL = f"""{_compared_sql()}, texts AS (SELECT doc_id, page, string_agg(t, chr(10)) AS t FROM read_nodes WHERE kind NOT IN ('label', 'table') GROUP BY ALL)
 SELECT doc_id, page, count(*) FILTER (ok) AS exact, count(*) AS total, floor(count(*) FILTER (ok) / count(*)::DOUBLE * 1000 + 0.5) / 10 AS pct,
@@ -234,6 +266,7 @@ SELECT doc_id, page, count(*) FILTER (ok) AS exact, count(*) AS total, floor(cou
 
 
 QUERIES = {
+    "page_points": (page_points, POINTS_SQL),
     "structure_comparison": (structure_comparison, COMPARED_SQL),
     "structure_report": (structure_report, REPORT_SQL),
     "page_nodes": (page_nodes, _nodes_sql()),

@@ -33,8 +33,9 @@ def register_views(spark: SparkSession, folder: str, names: list[str]) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once: a checkpoint in the session's checkpoint folder; where none is set, the plan as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """The same rows, computed once: a checkpoint in the session's checkpoint folder; where none is set, kept in memory and
+    on disk while there is room, and computed again where a part is lost."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
