@@ -60,22 +60,28 @@ def best_path(a: list[str], b: list[str], least: float, prefer: str) -> list[tup
     return out[::-1]
 
 
-def align_pages(left: DataFrame, right: DataFrame, page: str = "page", least: float = ALIGN_FROM) -> DataFrame:
-    """``page, left_no, right_no``: the lines of two readings of each page, aligned; null where a line stands alone.
+def aligned(left: DataFrame, right: DataFrame, keys: list[str], least: float = ALIGN_FROM) -> DataFrame:
+    """``*keys, pos, left_no, right_no``: the lines of two readings of each page, aligned, in order; null where a line stands alone.
 
-    left, right: page, line_no, line. A match must be strictly better than leaving both lines alone.
+    left, right: keys, line_no, line. A match must be strictly better than leaving both lines alone.
     """
 
     def align(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("line_no"), b.sort_values("line_no")
         path = best_path(a["key"].tolist(), b["key"].tolist(), least, "uld")
         an, bn = a["line_no"].tolist(), b["line_no"].tolist()
-        rows = [(key[0], None if i is None else an[i], None if j is None else bn[j]) for i, j in path]
-        return pd.DataFrame(rows, columns=[page, "left_no", "right_no"]).astype({"left_no": "Int64", "right_no": "Int64"})
+        rows = [(*key, n, None if i is None else an[i], None if j is None else bn[j]) for n, (i, j) in enumerate(path)]
+        return pd.DataFrame(rows, columns=[*keys, "pos", "left_no", "right_no"]).astype({"left_no": "Int64", "right_no": "Int64"})
+
+    keyed = lambda t: t.select(*keys, "line_no", normalize_text(F.col("line")).alias("key"))
+    kinds = dict(left.dtypes)
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return keyed(left).groupBy(*keys).cogroup(keyed(right).groupBy(*keys)).applyInPandas(align, f"{fields}, pos int, left_no bigint, right_no bigint")
 
-    keyed = lambda t: t.select(page, "line_no", normalize_text(F.col("line")).alias("key"))
-    kind = dict(left.dtypes)[page]
-    return keyed(left).groupBy(page).cogroup(keyed(right).groupBy(page)).applyInPandas(align, f"{page} {kind}, left_no bigint, right_no bigint")
+
+def align_pages(left: DataFrame, right: DataFrame, page: str = "page", least: float = ALIGN_FROM) -> DataFrame:
+    """``page, left_no, right_no``: as :func:`aligned`, for pages named by one column."""
+    return aligned(left, right, [page], least).drop("pos")
 
 
 def grouped_readings(readings: DataFrame, page: str = "page", least: float = JOIN_FROM) -> DataFrame:
