@@ -4,7 +4,7 @@ from lorespark.operators import watermarks
 
 PAGES = {
     1: ["우리가 지켜야 하는 대한민국", "홍길동 / 2025-01-01 09:00", "국군의 / 홍길동 / 사명은 무겁다", "헌법을 홍길동 지킨다", "홍길동은 이름이다", "1. 헌법의 뜻 2025 나라", "2025 년의 일이다", "정신전력 - 5"],
-    2: ["상사/홍길동/", "나라를 09:00 지킨다", "2025-01-01 회의", "● 본문 2025-01-01 09:00 이어진다", "· 둘째", "※※※", "ㄱㄴㄷ 가", "5"],
+    2: ["상사/홍길동/", "나라를 09:00 지킨다", "2025-01-01 회의", "● 본문 2025-01-01 09:00 이어진다", "· 둘째 항목이다", "※※※", "ㄱㄴㄷ 가", "5"],
 }
 KINDS = {1: "page", 2: "block"}
 
@@ -30,7 +30,7 @@ def test_cleaned_document(spark):
     got = [(r.clean, r.dropped) for r in rows]
     assert got == [
         ("우리가 지켜야 하는 대한민국", None), (None, "watermark"), ("국군의 무겁다", None), ("헌법을 홍길동 지킨다", None), ("홍길동은 이름이다", None), ("1. 헌법의 뜻 나라", None), ("2025 년의 일이다", None), (None, "pageNumber"),
-        (None, "watermark"), ("나라를 지킨다", None), (None, "noise"), ("● 본문 이어진다", None), ("● 둘째", None), (None, "noise"), (None, "noise"), (None, "noise"),
+        (None, "watermark"), ("나라를 지킨다", None), (None, "noise"), ("● 본문 이어진다", None), ("● 둘째 항목이다", None), (None, "noise"), (None, "noise"), ("5", None),
     ]
     log = [(r.page, r.line, r.type, r["from"]) for r in watermarks.cleaning_log(watermarks.cleaned_document(regions(spark))).orderBy("page", "line", "n").collect()]
     assert (1, 3, "watermark", "홍길동 / 사명은") in log and (1, 6, "watermark", "2025") in log and (2, 2, "watermark", "09:00") in log
