@@ -65,8 +65,9 @@ def jamo_edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(0.0)).otherwise(F.levenshtein(ja, jb) / longer)
 
 
-def fuzzy_includes(needle: Column, haystack: Column, ratio: float = 0.34, longest: int = 40) -> Column:
-    """Whether a window of the haystack, as long as the needle or one more or less, is close to it."""
+def fuzzy_includes(needle: Column, haystack: Column, ratio: float = 0.34, longest: int | None = 40) -> Column:
+    """Whether a window of the haystack, as long as the needle or one more or less, is close to it. longest: of needles that are
+    compared so (None: any)."""
     k, h = normalize_text(needle), normalize_text(haystack)
     n, m = F.length(k), F.length(h)
 
@@ -74,10 +75,15 @@ def fuzzy_includes(needle: Column, haystack: Column, ratio: float = 0.34, longes
         places = F.when(m >= size, F.sequence(F.lit(1), F.greatest(m - size + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.exists(places, lambda i: jamo_edit_ratio(k, F.substring(h, i, size)) <= ratio)
 
-    near = (n <= longest) & F.exists(F.array(F.greatest(n - 1, F.lit(1)), n, n + 1), window_near)
+    near = (F.lit(True) if longest is None else n <= longest) & F.exists(F.array(F.greatest(n - 1, F.lit(1)), n, n + 1), window_near)
     return F.when(n == 0, F.lit(False)).when(F.contains(h, k), F.lit(True)).otherwise(near)
 
 
+def term_supported(term: Column, excerpt: Column) -> Column:
+    """Whether an excerpt has a term, but for a letter or two misread, however long the term is."""
+    return fuzzy_includes(term, excerpt, longest=None)
+
+
 def is_grounded(text: Column, excerpt: Column, context: Column, least: float = 0.6) -> Column:
     return (containment(text, excerpt) >= least) | (containment(text, context) >= min(0.85, least + 0.2))
 
