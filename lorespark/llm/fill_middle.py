@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorespark.llm.scratch import prepare, text_version
+from lorespark.llm.scratch import fresh, prepare, text_version
 from lorespark.llm.words import slices
 
 UNIT = 8192
@@ -219,14 +219,13 @@ def _digested(pieces: DataFrame) -> DataFrame:
 def _for_all_rows(documents: DataFrame, id_column: str, text: str, found: DataFrame) -> DataFrame:
     """The documents' columns other than the text, with the found ones; clashing columns (whatever their case) give way."""
     new = {c.lower() for c in found.columns[2:]} | {text.lower()} - {id_column.lower()}
-    rows = documents.select(
-        *(F.col(f"`{c}`") for c in documents.columns if c.lower() not in new),
-        F.col(f"`{id_column}`").alias("_of_id"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_of_text"),
-    ).withColumn("_of_version", text_version("_of_text")).drop("_of_text")
-    found = found.withColumnRenamed("id", "_id").withColumnRenamed("version", "_version")
-    same = rows["_of_id"].eqNullSafe(found["_id"]) & (rows["_of_version"] == found["_version"])
-    return rows.join(found, same).drop("_of_id", "_of_version", "_id", "_version")
+    kept = [c for c in documents.columns if c.lower() not in new]
+    of_id, of_text, name, version = (fresh(documents, n) for n in ("_of_id", "_of_text", "_id", "_version"))
+    rows = documents.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{id_column}`").alias(of_id), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(of_text))
+    rows = rows.withColumn(of_text, text_version(of_text))
+    found = found.withColumnRenamed("id", name).withColumnRenamed("version", version)
+    same = rows[of_id].eqNullSafe(found[name]) & (rows[of_text] == found[version])
+    return rows.join(found, same).drop(of_id, of_text, name, version)
 
 
 def filled(documents: DataFrame, id_column: str = "doc_id", text: str = "text", unit: int = UNIT, seed: int = SEED) -> DataFrame:

@@ -141,6 +141,12 @@ def test_texts_are_filled_and_restored(spark, unit):
     assert all(r.restored_sha256 == sha(t or "") for r, (_, t, _, _) in zip(sorted(digested, key=lambda r: (str(r.doc_id), r.restored_sha256)), sorted(rows, key=lambda r: (str(r[0]), sha(r[1] or ""))), strict=True))
 
 
+def test_columns_named_as_inner_ones_stay(spark):
+    documents = spark.createDataFrame([(1, "some text", 7, 8, 9), (1, "some text", 6, 8, 9)], "doc_id long, text string, _id int, _of_text int, version int")
+    found = fill_middle.digests(documents).collect()
+    assert {(r["_id"], r["_of_text"], r.version) for r in found} == {(7, 8, 9), (6, 8, 9)} and len({r.output_sha256 for r in found}) == 1
+
+
 def test_restored_from_other_outputs(spark):
     rows = [(1, "<P>a<S>c<M>b", "psm"), (1, "<P>a<S>c<M>b", "plain"), (2, None, None), (3, "<P>a", "psm"), (4, "<S>c<P>a<M>b", "spm")]
     found = fill_middle.restored(spark.createDataFrame(rows, "doc_id long, output string, form string"))
