@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import SEPARATORS, hash_string
 from lorespark.operators import assembly, study, words
-from lorespark.operators import quiz as q
 from lorespark.plans.progress import POINTS_SQL, QUESTIONS_SQL, points, questions
 from lorespark.plans.quiz import PLAN_STEPS
 from lorespark.plans.texts import LINES_SQL, documents, key_sql
