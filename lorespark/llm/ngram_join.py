@@ -19,6 +19,9 @@ at least the threshold; two empty sets count as equal.
    exactly once, no pair is emitted, and no task holds more than two blocks. Exact set intersections give each node's
    number of links and its linked component.
 
+Most documents meet no other. Labels, nodes and texts that cannot pass the joins of steps 3 and 4 are left out by a bitmap
+(:mod:`lorespark.llm.sieve`) before they are shuffled.
+
 Extra columns are ignored. Null texts count as empty. Rows with the same id are separate documents. A class is named
 by its least doc_id (null if all are null). Very long texts are read whole; one text's shingles (8 bytes a word) are the
 least that a task holds.
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.components import components
 from lorespark.llm.scratch import Workspace, fresh, prepare, text_version
+from lorespark.llm.sieve import thinned
 from lorespark.llm.words import Words, mix, run_hashes, slices
 
 SHINGLE = 5
@@ -150,8 +154,11 @@ def candidate_edges(nodes: DataFrame, work: Workspace, depth: int = DEPTH) -> Da
     named = nodes.where("labels is not null").withColumn("name", F.xxhash64("node"))
     labels = named.select("name", F.posexplode("labels").alias("tree", "label")).select("name", "tree", _trie_node(shortest))
     crowded = work.write(labels.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at"), "crowded")
-    trees = labels.join(crowded, "at", "left_semi").groupBy("name").agg(F.collect_set("tree").alias("trees"))
-    matched = named.join(work.write(trees, "trees"), "name").select("node", "stop", "labels", F.explode("trees").alias("tree"))
+    # Few labels are crowded, and few nodes have any: the others are left out before they would be shuffled. (An inner
+    # join with distinct keys: Spark would push a semi-join below the bitmap.)
+    trees = thinned(labels, [F.col("at")], crowded, [F.col("at")]).join(crowded, "at").groupBy("name").agg(F.collect_set("tree").alias("trees"))
+    trees = work.write(trees, "trees")
+    matched = thinned(named, [F.col("name")], trees, [F.col("name")]).join(trees, "name").select("node", "stop", "labels", F.explode("trees").alias("tree"))
     matched = work.write(matched.select("node", "stop", "tree", F.element_at("labels", F.col("tree") + 1).alias("label")), "matched")
     edges = None
     for length in range(depth, shortest - 1, -1):
@@ -281,7 +288,9 @@ def similar_documents(
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
     placed = candidates.join(work.write(candidates.groupBy("group").agg(blocks.alias("blocks")), "sizes"), "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A node's text is that of one row; _shingle_sets leaves out a row whose words are not the node's.
-    source = _source(documents, id_column, text)
+    # Only texts that may be a candidate's are shuffled.
+    keeper = F.col("keeper")
+    source = thinned(_source(documents, id_column, text), [F.col("doc_id"), F.col("version")], candidates, [keeper.doc_id, keeper.version])
     own = source.doc_id.eqNullSafe(placed.keeper.doc_id) & source.version.eqNullSafe(placed.keeper.version)
     sets = _shingle_sets(source.join(placed, own).select("group", "block", "blocks", "node", "copies", "text"))
     sets = work.write(sets.dropDuplicates(["node"]), "sets")
