@@ -17,6 +17,8 @@ from lorespark.sources.tables import latest, settled
 CORE_CONTENT, BELIEF = "핵심 내용", "신념화 (마음가짐)"
 SOURCE, KEYWORD, KEYWORD_END = "자료: “{}”", " → 핵심어는 ‘{}’", "입니다."
 ANALYSIS_VERSION = 4
+#: Materials of so many sentences are compared sentence by sentence.
+FEW_SENTENCES = 64
 # -------------------------------------------------------------------------------------------------------------------
 #: What a point has learnt, with the value of a new one.
 LEARNING = {"study_level": "double", "correct_count": "int", "wrong_count": "int", "streak": "int", "last_result": "boolean", "last_studied_at": "bigint", "last_question_type": "string"}
@@ -24,18 +26,31 @@ FRESH = {"study_level": 0.0, "correct_count": 0, "wrong_count": 0, "streak": 0}
 ANALYSIS = ("text", "source_excerpt", "heading", "importance", "category", "question_target", "blank_text", "answer", "explanation")
 
 
-def _repeats(sentences: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, repeats: in how many other sentences of its material a sentence's keyword occurs.
+def _repeats(sentences: DataFrame, keys: list[str], few: int = FEW_SENTENCES) -> DataFrame:
+    """keys, n, repeats: in how many other sentences of its material a sentence's keyword occurs, where it does in any.
 
-    Sentences and keywords meet on the keyword's first one, two, four or eight characters, and are compared only then.
+    Sentences of a material that has up to ``few`` are compared in one row. In larger ones, sentences and distinct
+    keywords meet on the digest of the keyword's first one, two, four or eight characters; texts follow for pairs
+    that have met.
     """
-    pieces = F.array_distinct(F.flatten(F.array(*(pieces_of_key(F.col("sentence"), n) for n in (1, 2, 4, 8)))))
-    other = sentences.select(*keys, F.col("n").alias("_m"), F.col("sentence").alias("_other"), F.explode(pieces).alias("_piece"))
+    rows = sentences.select(*keys, "n", "sentence", "keyword").withColumn("_size", F.count("*").over(Window.partitionBy(*keys))).where("_size > 1")
+    small = rows.where(F.col("_size") <= few).groupBy(*keys).agg(F.collect_list(F.struct("n", "sentence", "keyword")).alias("_all"))
+    others = lambda s: F.size(F.filter("_all", lambda o: (o["n"] != s["n"]) & F.contains(o["sentence"], s["keyword"])))
+    counted = F.transform(F.filter("_all", lambda s: s["keyword"] != ""), lambda s: F.struct(s["n"].alias("n"), others(s).alias("repeats")))
+    small = small.select(*keys, F.explode(counted).alias("_c")).select(*keys, "_c.n", "_c.repeats")
+
+    large = rows.where(F.col("_size") > few)
+    digests = F.transform(F.flatten(F.array(*(pieces_of_key(F.col("sentence"), n) for n in (1, 2, 4, 8)))), lambda p: F.xxhash64(p))
+    pieces = large.select(*keys, F.col("n").alias("_m"), F.explode(F.array_distinct(digests)).alias("_piece"))
     size = F.length("keyword")
     prefix = F.when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1)
-    asked = sentences.where("keyword <> ''").select(*keys, "n", "keyword", F.substring(F.col("keyword"), F.lit(1), prefix).alias("_piece"))
-    met = asked.join(other, [*keys, "_piece"]).where(F.contains("_other", F.col("keyword")) & (F.col("n") != F.col("_m")))
-    return met.groupBy(*keys, "n").agg(F.count("*").cast("int").alias("repeats"))
+    asked = large.where("keyword <> ''").select(*keys, "keyword").distinct().withColumn("_piece", F.xxhash64(F.substring(F.col("keyword"), F.lit(1), prefix)))
+    met = asked.join(pieces, [*keys, "_piece"]).select(*keys, "keyword", "_m")
+    met = met.join(large.select(*keys, F.col("n").alias("_m"), F.col("sentence").alias("_other")), [*keys, "_m"]).where(F.contains("_other", F.col("keyword")))
+    totals = met.groupBy(*keys, "keyword").agg(F.count("*").cast("int").alias("_total"))
+    # A keyword is a part of its own sentence.
+    large = large.select(*keys, "n", "keyword").join(totals, [*keys, "keyword"]).select(*keys, "n", (F.col("_total") - 1).alias("repeats"))
+    return small.unionByName(large).where("repeats > 0")
 
 
 def enriched(text: Column, excerpt: Column) -> Column:
@@ -71,7 +86,8 @@ def analyzed_points(materials: DataFrame, id_column: str = "material_id", text:
     # By sentences, as materials differ in length.
     rows = latest(rows.repartition(id_column, "n").withColumn("_key", normalize_text(F.col("sentence"))), [id_column, "_key"], [F.col("n")]).drop("_key")
     first = F.get(F.filter(keyword_candidates(F.col("sentence")), lambda k: ~k["generic"]), F.lit(0))["stem"]
-    rows = rows.withColumn("keyword", F.coalesce(first, F.lit("")))
+    # Kept, as the sentences are read again for their repeats: in one plan, all that makes them would stand in it four times.
+    rows = settled(rows.withColumn("keyword", F.coalesce(first, F.lit(""))))
     rows = rows.join(_repeats(rows, keys), [*keys, "n"], "left")
     order = Window.partitionBy(*keys).orderBy("n")
     headed = F.col("heading") != ""

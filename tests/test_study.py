@@ -25,6 +25,22 @@ def test_analyzed_points(spark):
         assert r.answer is None or r.answer in r.text and r.answer in r.explanation
 
 
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_repeats_of_keywords(spark, few):
+    """The same counts whether sentences are compared in one row or meet on digests; nothing is exploded for small materials."""
+    texts = {(1, 0): ("세포막은 세포", "세포막"), (1, 1): ("세포막과 세포막", "세포막"), (1, 2): ("세포", "세포"), (1, 3): ("막", ""), (2, 0): ("abcdefghij x", "abcdefghij"), (2, 1): ("abcdefghi x", "x"), (3, 0): ("홀로", "홀로")}
+    frame = spark.createDataFrame([(*k, *v) for k, v in texts.items()], "material_id long, n int, sentence string, keyword string")
+    found = {(r.material_id, r.n): r.repeats for r in study._repeats(frame, ["material_id"], few).collect()}
+    wanted = {k: sum(m != k and m[0] == k[0] and word in s for m, (s, _) in texts.items()) for k, (_, word) in texts.items() if word}
+    assert found == {k: n for k, n in wanted.items() if n} == {(1, 0): 1, (1, 1): 1, (1, 2): 2, (2, 1): 1}
+
+
+def test_sentences_are_made_once(spark):
+    """The plan of the points starts from kept sentences: what makes them does not stand in it again for each reader."""
+    plan = study.analyzed_points(spark.createDataFrame([(1, TEXT)], "material_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan and "posexplode" not in plan.split("InMemoryRelation")[0]
+
+
 def learnt(spark, rows):
     made = settled(study.analyzed_points(spark.createDataFrame(rows, "material_id long, text string")))
     values = {"study_level": 50.0, "correct_count": 3, "wrong_count": 1, "streak": 2, "last_result": True, "last_studied_at": 9, "last_question_type": "OX"}
