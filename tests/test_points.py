@@ -1,5 +1,9 @@
 """Points: phrase blanks, points of pages, and matching with an earlier version."""
 
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from lorespark.operators import points, structure
@@ -80,6 +84,35 @@ def test_matched_points(spark):
     assert points.matched_points(old, new.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 60, 1 << 30])
+def test_matched_points_of_large_groups(spark, block):
+    """Compared where they lie or in pairs of blocks, points match as they do one by one."""
+    rng = random.Random(5)
+    words = ["심장은", "혈액을", "뇌는", "몸을", "𝒳𝒴", "조절하는", "기관이다", "우리", "세포가", "aa aa"]
+    line = lambda: " ".join(rng.choices(words, k=rng.randint(0, 5)))
+    old = [(g, f"o{g}:{i}", i, line()) for g in range(4) for i in range(25)]
+    new = [(g, 1000 * g + i, i, old[25 * (g % 4) + rng.randrange(25)][3] + rng.choice(["", "", " 또", "!"]) if rng.random() < 0.7 else line()) for g in range(1, 5) for i in range(25)]
+    key = lambda t: t.replace(" ", "").replace("!", "")
+    grams = lambda t: Counter(key(t)[i : i + 2] for i in range(len(key(t)) - 1))
+    wanted, used = set(), set()
+    for g, n, _, t in new:
+        same = [o for o in old if o[0] == g and key(o[3]) == key(t)]
+        if same and not any(key(x[3]) == key(t) and x[0] == g and x[1] < n for x in new):
+            wanted.add((g, n, same[-1][1]))
+            used |= {n, same[-1][1]}
+    for g, n, _, t in new:
+        for o in [] if n in used else old:
+            a, b = grams(o[3]), grams(t)
+            c, size = (a & b).total(), a.total() + b.total()
+            if o[0] == g and o[1] not in used and c and (c / a.total() >= 0.9 or 2 * c / size >= 0.8):
+                wanted.add((g, n, o[1]))
+                used |= {n, o[1]}
+                break
+    frames = spark.createDataFrame(old, "material_id int, id string, ord int, text string"), spark.createDataFrame(new, "material_id int, id long, ord int, text string")
+    found = [(r.material_id, r.new_id, r.old_id) for r in points.matched_points(*frames, block=block).collect()]
+    assert len(found) == len(set(found)) > 30 and set(found) == wanted
+
+
 def test_content_questions(spark):
     from lorespark.operators import questions
 
