@@ -41,13 +41,20 @@ def is_page_number(c: Column) -> Column:
 
 def text_quality(c: Column) -> Column:
     """0..1: the share of letters, digits and (at 0.6) usual marks; Latin strewn into Hangul costs up to 0.5."""
-    bare = F.regexp_replace(text_of(c), r"\s+", "")
-    n = F.length(bare)
-    hangul, latin = count_of(bare, "가-힣"), count_of(bare, "A-Za-z")
-    marks = count_of(bare, GOOD_MARKS[1:-1])
-    share = (hangul + latin + count_of(bare, "0-9") + 0.6 * marks) / n
-    mixed = F.when((hangul >= 3) & (latin > 0) & (latin < hangul), F.least(F.lit(0.5), latin / n * 2.5)).otherwise(F.lit(0.0))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - mixed)))
+    return let(F.regexp_replace(text_of(c), r"\s+", ""), _quality)
+
+
+def _quality(bare: Column) -> Column:
+    """text_quality of a text without white space; every count is made once."""
+    counts = {"hangul": count_of(bare, "가-힣"), "latin": count_of(bare, "A-Za-z"), "digits": count_of(bare, "0-9"), "marks": count_of(bare, GOOD_MARKS[1:-1])}
+
+    def quality(x: Column) -> Column:
+        n, hangul, latin = x["n"], x["hangul"], x["latin"]
+        share = (hangul + latin + x["digits"] + 0.6 * x["marks"]) / n
+        mixed = F.when((hangul >= 3) & (latin > 0) & (latin < hangul), F.least(F.lit(0.5), latin / n * 2.5)).otherwise(F.lit(0.0))
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - mixed)))
+
+    return let(F.struct(F.length(bare).alias("n"), *(v.alias(k) for k, v in counts.items())), quality)
 
 
 def line_score(text: Column, confidence: Column) -> Column:
@@ -56,18 +63,24 @@ def line_score(text: Column, confidence: Column) -> Column:
 
 def noise_reason(c: Column, page_level: bool = True, stem_count: Column | None = None) -> Column:
     """The first reason to drop a line, or null: blank, symbols, loose letters, low quality, or (in a region) a shred."""
-    bare = F.regexp_replace(text_of(c), r"\s+", "")
-    hangul, loose = count_of(bare, "가-힣"), count_of(bare, "ㄱ-ㅎㅏ-ㅣ")
-    reason = (
-        F.when(bare == "", "blank")
-        .when(count_of(bare, "가-힣0-9A-Za-z") == 0, "symbols")
-        .when((loose >= 2) & (loose >= hangul * 0.5), "loose_letters")
-        .when(text_quality(c) < (0.25 if page_level else 0.45), "low_quality")
-    )
-    if page_level:
-        return reason
-    shred = (hangul >= 1) & (hangul <= 2) & (F.length(bare) <= 4) & ~bare.rlike("^[0-9]") & (F.coalesce(F.lit(0) if stem_count is None else stem_count, F.lit(0)) < 2)
-    return reason.when(shred, "shred")
+    stems = F.coalesce(F.lit(0) if stem_count is None else stem_count, F.lit(0))
+
+    def judged(bare: Column) -> Column:
+        counts = F.struct(count_of(bare, "가-힣").alias("hangul"), count_of(bare, "ㄱ-ㅎㅏ-ㅣ").alias("loose"))
+
+        def reason(x: Column) -> Column:
+            first = (
+                F.when(bare == "", "blank")
+                .when(count_of(bare, "가-힣0-9A-Za-z") == 0, "symbols")
+                .when((x["loose"] >= 2) & (x["loose"] >= x["hangul"] * 0.5), "loose_letters")
+                .when(_quality(bare) < (0.25 if page_level else 0.45), "low_quality")
+            )
+            shred = (x["hangul"] >= 1) & (x["hangul"] <= 2) & (F.length(bare) <= 4) & ~bare.rlike("^[0-9]") & (stems < 2)
+            return first if page_level else first.when(shred, "shred")
+
+        return let(counts, reason)
+
+    return let(F.regexp_replace(text_of(c), r"\s+", ""), judged)
 
 
 def normalize_bullets(c: Column) -> Column:
@@ -192,7 +205,7 @@ def strip_learned(c: Column, words: Column, digits: Column, protected: Column) -
     words, digits, protected: arrays; protected words occur in the text with particles, so they go only next to other
     pieces of a watermark.
     """
-    tokens = F.filter(F.split(F.trim(text_of(c)), r"\s+"), lambda x: x != "")
+    tokens = lambda text: F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
 
     def judged(all_: Column) -> Column:
         mark = lambda x: F.coalesce(F.contains(x, F.lit("/")) | F.array_contains(words, F.regexp_replace(x, "/", "")) | F.array_contains(digits, x), F.lit(False))
@@ -219,7 +232,10 @@ def strip_learned(c: Column, words: Column, digits: Column, protected: Column) -
     left = lambda tokens: F.transform(F.filter(tokens, lambda t: ~t["gone"]), lambda t: t["x"])
     gone = lambda tokens, why: F.transform(F.filter(tokens, lambda t: t["gone"]), lambda t: F.struct(F.trim(t["x"]).alias("from"), F.lit(why).alias("why")))
     both = lambda first: let(numbers(left(first)), lambda second: F.struct(F.array_join(left(second), " ").alias("text"), F.concat(gone(first, WHY_WORD), gone(second, WHY_NUMBER)).alias("removed")))
-    return let(let(tokens, judged), both)
+    # A line that holds none of them stays as it is, but for white space.
+    met = lambda known, text: F.exists(known, lambda x: F.contains(text, x))
+    same = lambda text: F.struct(F.array_join(tokens(text), " ").alias("text"), F.array().cast("array<struct<from:string,why:string>>").alias("removed"))
+    return let(text_of(c), lambda text: F.when(met(words, text) | met(digits, text), let(let(tokens(text), judged), both)).otherwise(same(text)))
 
 
 def clean_lines(lines: DataFrame, terms: DataFrame | None = None) -> DataFrame:

@@ -26,6 +26,30 @@ DATE_TIME = f"({c.DATE_TIME})"
 DICTIONARY = ("words", "digits", "dates", "protected", "frequent")
 
 
+def _chains(line: Column) -> Column:
+    """The slash chains of a line; looked for only where there is a slash, as they are sought from every character."""
+    return F.when(F.contains(line, F.lit("/")), F.regexp_extract_all(line, F.lit(CHAIN), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
+def _marks(line: Column) -> Column:
+    """``array<struct<mark, chain>>``: the printed marks of a line, chains first."""
+    chains = F.transform(F.filter(_chains(line), lambda x: c.watermark_chain(x)), lambda x: F.struct(F.trim(x).alias("mark"), F.lit(True).alias("chain")))
+    return F.concat(chains, F.transform(F.regexp_extract_all(line, F.lit(DATE_TIME), F.lit(1)), lambda x: F.struct(x.alias("mark"), F.lit(False).alias("chain"))))
+
+
+def _entries(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
+def _pieces(mark: Column, chain: Column) -> Column:
+    """``array<struct<kind, value>>``: what a mark is made of, and the mark itself."""
+    names = F.filter(F.split(mark, r"[/\s]+"), lambda p: chain & p.rlike(NAME))
+    clock = F.regexp_replace(F.regexp_extract(mark, CLOCK, 0), r"\s+", "")
+    digits = F.concat(F.regexp_extract_all(mark, F.lit(r"(\d{2,})"), F.lit(1)), F.when(clock != "", F.array(clock)).otherwise(F.array().cast("array<string>")))
+    dates = F.transform(F.regexp_extract_all(mark, F.lit(f"({c.DATE})"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", ""))
+    return F.concat(_entries("word", names), _entries("digits", digits), _entries("date", dates), _entries("sample", F.array(mark)))
+
+
 def learned_pieces(lines: DataFrame) -> DataFrame:
     """``doc_id, kind, value, pages, first``: the pieces of each document's printed marks.
 
@@ -33,17 +57,9 @@ def learned_pieces(lines: DataFrame) -> DataFrame:
     ``sample`` (the marks themselves, the first twelve). pages: on how many pages it was seen; first: (page, line, place) of the
     first. lines: doc_id, page, line_no, line.
     """
-    chains = F.transform(F.filter(F.regexp_extract_all("line", F.lit(CHAIN), F.lit(1)), lambda x: c.watermark_chain(x)), lambda x: F.struct(F.trim(x).alias("mark"), F.lit(True).alias("chain")))
-    times = F.transform(F.regexp_extract_all("line", F.lit(DATE_TIME), F.lit(1)), lambda x: F.struct(x.alias("mark"), F.lit(False).alias("chain")))
-    marks = lines.withColumn("line", text_of(F.col("line"))).where(F.col("line").rlike(CHAIN) | F.col("line").rlike(DATE_TIME))
-    marks = marks.select("doc_id", "page", "line_no", F.posexplode(F.concat(chains, times)).alias("place", "m")).select("doc_id", "page", "line_no", "place", "m.*")
-    pieces = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-    names = F.filter(F.split("mark", r"[/\s]+"), lambda p: F.col("chain") & p.rlike(NAME))
-    clock = F.regexp_replace(F.regexp_extract("mark", CLOCK, 0), r"\s+", "")
-    digits = F.concat(F.regexp_extract_all("mark", F.lit(r"(\d{2,})"), F.lit(1)), F.when(clock != "", F.array(clock)).otherwise(F.array().cast("array<string>")))
-    dates = F.transform(F.regexp_extract_all("mark", F.lit(f"({c.DATE})"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", ""))
-    found = F.concat(pieces("word", names), pieces("digits", digits), pieces("date", dates), pieces("sample", F.array("mark")))
-    rows = marks.select("doc_id", "page", "line_no", "place", F.explode(found).alias("p")).select("doc_id", "page", "line_no", "place", "p.*")
+    marks = lines.withColumn("line", text_of(F.col("line"))).where(F.contains("line", F.lit("/")) | F.col("line").rlike(DATE_TIME))
+    marks = marks.select("doc_id", "page", "line_no", F.posexplode(_marks(F.col("line"))).alias("place", "m")).select("doc_id", "page", "line_no", "place", "m.*")
+    rows = marks.select("doc_id", "page", "line_no", "place", F.explode(_pieces(F.col("mark"), F.col("chain"))).alias("p")).select("doc_id", "page", "line_no", "place", "p.*")
     counted = rows.groupBy("doc_id", "kind", "value").agg(F.count_distinct("page").alias("pages"), F.min(F.struct("page", "line_no", "place")).alias("first"))
     turn = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("first", "value"))
     return counted.withColumn("n", turn).where(f"kind <> 'sample' or n <= {SAMPLES}").drop("n")
@@ -55,20 +71,29 @@ def _words(lines: DataFrame) -> DataFrame:
 
 def dictionaries(lines: DataFrame) -> DataFrame:
     """``doc_id, marks``: a document's words, digits and dates, its protected words (names that the text has with a particle,
-    so that they may be content), and the frequent ones among the words that chains begin with (stems seen twice)."""
-    learnt = learned_pieces(lines)
-    names = learnt.where("kind = 'word'").select("doc_id", F.col("value").alias("stem"))
-    stems = _words(lines).withColumn("stem", strip_particle(F.col("word")))
-    inflected = stems.where((F.col("word") != F.col("stem")) & ~F.contains("word", F.lit("/"))).select("doc_id", "stem").distinct()
-    protected = names.join(inflected, ["doc_id", "stem"]).select("doc_id", F.lit("protected").alias("kind"), F.col("stem").alias("value"))
-    heads = lines.select("doc_id", F.explode(F.regexp_extract_all(text_of(F.col("line")), F.lit(CHAIN), F.lit(1))).alias("chain"))
-    heads = heads.select("doc_id", strip_particle(F.trim(F.get(F.split("chain", "/"), F.lit(0)))).alias("stem")).where("stem <> ''").distinct()
-    common = stems.join(heads, ["doc_id", "stem"]).groupBy("doc_id", "stem").agg(F.count("*").alias("n")).where("n >= 2")
-    common = common.select("doc_id", F.lit("frequent").alias("kind"), F.col("stem").alias("value"))
-    every = learnt.select("doc_id", "kind", "value").unionByName(protected).unionByName(common)
-    kinds = dict(zip(("word", "digits", "date", "protected", "frequent"), DICTIONARY, strict=True))
-    sets = [F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("value")))).alias(name) for kind, name in kinds.items()]
-    return every.where("kind <> 'sample'").groupBy("doc_id").agg(F.struct(*sets).alias("marks"))
+    so that they may be content), and the frequent ones among the words that chains begin with (stems seen twice).
+
+    Only lines with marks are looked at for pieces, and only words that hold a name or a chain's first word for stems.
+    """
+    line = text_of(F.col("line"))
+    head = lambda chain: strip_particle(F.trim(F.get(F.split(chain, "/"), F.lit(0))))
+    found = F.concat(F.flatten(F.transform(_marks(line), lambda m: _pieces(m["mark"], m["chain"]))), _entries("head", F.transform(_chains(line), head)))
+    pieces = lines.where(F.contains(line, F.lit("/")) | line.rlike(DATE_TIME)).select("doc_id", F.explode(found).alias("p")).select("doc_id", "p.*").where("kind <> 'sample' and value <> ''")
+    of = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("value"))))
+    known = pieces.groupBy("doc_id").agg(of("word").alias("words"), of("digits").alias("digits"), of("date").alias("dates"), of("head").alias("heads"))
+
+    sought = F.array_union("words", "heads")
+    rows = lines.select("doc_id", line.alias("line")).join(known.select("doc_id", "words", "heads"), "doc_id")
+    rows = rows.withColumn("here", F.filter(sought, lambda x: F.contains("line", x))).where(F.size("here") > 0)
+    words = rows.select("doc_id", "words", "heads", F.explode(F.filter(F.split("line", r"\s+"), lambda w: F.exists("here", lambda x: F.contains(w, x)))).alias("word"))
+    words = words.withColumn("stem", strip_particle(F.col("word")))
+    inflected = F.array_contains("words", F.col("stem")) & (F.col("word") != F.col("stem")) & ~F.contains("word", F.lit("/"))
+    stems = words.groupBy("doc_id", "stem").agg(F.max(inflected).alias("inflected"), F.count_if(F.array_contains("heads", F.col("stem"))).alias("n"))
+    seen = lambda condition: F.sort_array(F.collect_set(F.when(condition, F.col("stem"))))
+    stems = stems.groupBy("doc_id").agg(seen(F.col("inflected")).alias("protected"), seen(F.col("n") >= 2).alias("frequent"))
+    none = F.array().cast("array<string>")
+    marks = F.struct("words", "digits", "dates", F.coalesce("protected", none).alias("protected"), F.coalesce("frequent", none).alias("frequent"))
+    return known.join(stems, "doc_id", "left").select("doc_id", marks.alias("marks"))
 
 
 def strip_marks(line: Column, marks: Column) -> Column:
@@ -96,7 +121,7 @@ def strip_marks(line: Column, marks: Column) -> Column:
             F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b["put"], F.lit("")))), ""),
             F.transform(F.filter(found, lambda f: f["gone"].isNotNull()), lambda f: reason(f["gone"], c.WHY_CHAIN)),
         )
-        return F.when(F.contains(text, F.lit("/")), let(F.transform(F.regexp_extract_all(text, F.lit(CHAIN), F.lit(1)), chain), judged)).otherwise(state(text, none))
+        return F.when(F.contains(text, F.lit("/")), let(F.transform(_chains(text), chain), judged)).otherwise(state(text, none))
 
     def cut(pattern: str, why: str):
         return lambda s: state(F.regexp_replace(s["text"], pattern, " "), F.concat(s["removed"], F.transform(F.regexp_extract_all(s["text"], F.lit(f"({pattern})"), F.lit(1)), lambda x: reason(F.trim(x), why))))
@@ -128,14 +153,17 @@ def cleaned_document(regions: DataFrame) -> DataFrame:
     shreds are known is the document's. Terms are unified afterwards, see cleanup.term_map.
     """
     rows = marked_lines(regions.where(F.col("line").rlike(r"\S")))
-    lexicon = _words(regions).groupBy("doc_id", strip_particle(F.col("word")).alias("stem")).agg(F.count("*").alias("n"))
+    # Shreds are of four letters at most, and only regions are judged for them.
+    judged = regions.where("kind not in ('label', 'page')").select("doc_id").distinct()
+    lexicon = _words(regions.join(judged, "doc_id", "left_semi")).withColumn("stem", strip_particle(F.col("word"))).where(F.length("stem") <= 4)
+    lexicon = lexicon.groupBy("doc_id", "stem").agg(F.count("*").alias("n"))
     rows = rows.withColumn("stem", strip_particle(F.trim("text"))).join(lexicon, ["doc_id", "stem"], "left")
     end = F.max("line_no").over(Window.partitionBy("doc_id", "page", "kind", "index"))
     rows = rows.withColumn("last", end)
     edge = F.col("kind").isin("footer", "page_footer", "header") | ((F.col("kind") == "page") & (F.col("line_no") >= F.col("last") - 1))
     text, whole_page = F.col("text"), F.col("kind") == "page"
     noise = F.when(F.col("kind") != "label", F.when(whole_page, c.noise_reason(text)).otherwise(c.noise_reason(text, False, F.col("n"))))
-    dropped = F.when(text == "", "watermark").when(edge & c.is_page_number(text), "pageNumber").when(noise.isNotNull(), "noise")
+    dropped = F.when(text == "", "watermark").when(edge & c.is_page_number(text), "pageNumber").when(F.col("noise").isNotNull(), "noise")
     rows = rows.withColumn("noise", noise).withColumn("dropped", dropped).withColumn("bullets", c.normalize_bullets(text))
     clean = F.when(F.col("dropped").isNull(), F.when(F.col("kind") == "label", text).otherwise(F.col("bullets")))
     entry = lambda type_, from_, to, why: F.struct(F.lit(type_).alias("type"), from_.alias("from"), to.alias("to"), why.alias("why"))

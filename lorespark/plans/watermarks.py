@@ -39,9 +39,8 @@ def watermark_log(spark, d):
 def cleaning_reasons(spark, d):
     """How many lines of each page go, by reason, and how many entries the log has by type."""
     rows = w.cleaned_document(printed(spark, d))
-    gone = rows.groupBy("doc_id", F.coalesce("dropped", F.lit("kept")).alias("what")).agg(F.count("*").alias("n"))
-    log = w.cleaning_log(rows).groupBy("doc_id", F.concat(F.lit("log:"), "type").alias("what")).agg(F.count("*").alias("n"))
-    return gone.unionByName(log)
+    told = F.concat(F.array(F.coalesce("dropped", F.lit("kept"))), F.transform("log", lambda e: F.concat(F.lit("log:"), e["type"])))
+    return rows.select("doc_id", F.explode(told).alias("what")).groupBy("doc_id", "what").agg(F.count("*").alias("n"))
 
 
 _PRINTED = f"""{LINES_SQL}, printed AS (

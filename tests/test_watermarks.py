@@ -57,3 +57,17 @@ def test_words_in_a_row(spark):
     none = F.array().cast("array<string>")
     assert [r[0] for r in frame.select(strip_learned(F.col("t"), words, F.array(F.lit("09:00")), F.array(F.lit("상사")))["text"]).collect()] == ["나는 상사 나라", "나는 상사 나라", "나라"]
     assert [r[0] for r in frame.select(strip_learned(F.col("t"), words, none, none)["text"]).collect()] == ["나는 나라", "나는 나라", "09:00 나라"]
+
+
+def test_lines_are_read_a_few_times_only(spark, sf_dir):
+    """Lines are read for what is learnt, for stems, and to be cleaned; the log is counted with the lines that go."""
+    from lorespark.plans import watermarks as plans
+
+    leaves = lambda frame: frame._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves(plans.cleaning_reasons(spark, sf_dir)) <= 4 and leaves(plans.watermark_log(spark, sf_dir)) <= 4
+
+
+def test_frequent_and_protected_words(spark):
+    lines = ["국군은 / 홍길동 / 2025-01-01", "국군의 국군은 뜻", "(홍길동은)", "끝/", "끝 끝에 a끝", "상사/나라/"]
+    marks = watermarks.dictionaries(regions(spark, {1: lines})).first().marks
+    assert (marks.words, marks.protected, marks.frequent) == (["국군은", "나라", "상사", "홍길동"], ["홍길동"], ["국군", "끝"])
