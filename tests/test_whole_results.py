@@ -31,3 +31,16 @@ def test_orders_beyond_30_days_are_counted_by_date(spark, tmp_path):
 def test_rare_stems_are_in_the_lexicon(spark, tmp_path):
     d = saved(tmp_path, documents="SELECT 1::BIGINT AS doc_id, 'once (twice,' || chr(10) || 'twice ' || repeat('often ', 20) AS text, 'en' AS lang, 's' AS source")
     assert {tuple(r) for r in texts.lexicon_counts(spark, d).collect()} == {("once", 1), ("twice", 2), ("often", 20)}
+
+
+def test_pieces_by_a_pattern(spark, sf_dir):
+    """All substrings of a length by code points; no expression is evaluated for every character of a document."""
+    from pyspark.sql import functions as F
+
+    from lorespark.functions.similarity import pieces_of_key
+
+    keys = ["", "ab", "abcd", "a𝒳𝒴b", "𝒳", "가\n나\x00다", "é‍x"]
+    frame = spark.createDataFrame([(k,) for k in keys], "k string")
+    for n in (1, 2, 3):
+        assert [r[0] for r in frame.select(pieces_of_key(F.col("k"), n)).collect()] == [[k[i : i + n] for i in range(len(k) - n + 1)] for k in keys]
+    assert "lambda" not in texts.excerpt_in_context(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
