@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorespark.operators import corrections, structure
 from lorespark.plans import structure as pages_
 from lorespark.plans.texts import documents, key_sql
-from lorespark.sources.tables import read_table
+from lorespark.sources.tables import read_table, settled
 
 
 def request_batches(spark, d):
@@ -117,6 +117,7 @@ def continued_pages(spark, d):
     """Pages of textbook-like texts matched with an analysis in which some pages are missing, moved or without a question."""
     n = structure.nodes(pages_.textbook(spark, d))
     p = n.groupBy("doc_id", "page").agg(F.max(F.when(F.col("kind") == "question", F.md5("text"))).alias("question"), F.max(F.when(F.col("kind") == "label", F.col("text"))).alias("page_label"))
+    p = settled(p)  # the analysis and its two readings are made of it
     old = p.where("page % 3 <> 0").select("doc_id", (F.col("page") + F.col("doc_id") % 2).cast("int").alias("page"), F.when(F.col("page") % 4 != 1, F.col("question")).alias("question"), F.concat(F.lit("p"), "page").alias("page_label"))
     old = old.withColumn("unverified", F.array("page_label"))
     return structure.continued_pages(p, old).select("doc_id", "page", "from_page", F.md5("page_label").alias("label_md5"), F.array_join("unverified", ",").alias("unverified"))

@@ -154,3 +154,16 @@ def test_parts_against_a_line_by_line_reader(spark, lines):
 def test_long_texts_take_linear_time(spark):
     text = "\n".join(f"{i % 90}. 줄 {i}" if i % 5 else f"Q{i % 100}. 질문 {i}?" for i in range(30_000))
     assert structure.nodes(spark.createDataFrame([(1, text)], "doc_id int, text string")).count() == 30_000
+
+
+def test_lines_are_judged_once(spark):
+    """What a line is, is told before lines become rows, and no filter on rows tells it again."""
+    from lorespark.operators import structure
+
+    frame = spark.createDataFrame([(1, "[질문] Q1. 왜?\u3000\n\ufeff \n신 념 화 ● 나는\n내용\n\t본문 x\x0b")], "doc_id int, text string")
+    rows = structure._events(frame, ["doc_id"], "text").where("event is distinct from 'skip'")
+    assert [(r.n, r.line, r.event, r.area, r.rest) for r in rows.orderBy("n").collect()] == [(0, "[질문] Q1. 왜?", "question", "core", "Q1. 왜?"), (2, "신 념 화 ● 나는", None, "core", ""), (3, "내용", None, "core", ""), (4, "본문 x", None, "core", "")]
+    untagged = structure._events(frame.selectExpr("doc_id", "replace(text, '[질문] ', '') as text"), ["doc_id"], "text").orderBy("n").collect()
+    assert [(r.event, r.area, r.rest) for r in untagged] == [("question", "core", ""), ("label", "belief", "● 나는"), ("skip", "core", ""), (None, "core", "")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter " in x and ("regexp" in x or "RLIKE" in x)]
